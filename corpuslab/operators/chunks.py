@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
+from corpuslab.plans.scale import compute_once
 
 
 def sentence_rows(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -26,28 +27,34 @@ def ngram_rows(docs: DataFrame, keys: Sequence[str], text: str, n: int) -> DataF
     )
 
 
-def _chunk_starts(items: Column, limit: int) -> Column:
-    """Greedy packing over array<struct<words, cost>>: 0-based indexes that open a chunk."""
-    indexed = F.transform(items, lambda x, i: F.struct(i.alias("i"), x.words.alias("words"), x.cost.alias("cost")))
-    empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
+def _spans(items: Column, limit: int) -> Column:
+    """Greedy packing over array<struct<words, cost>>: array<struct<start, length>> of the
+    chunks, carried in the fold so that nothing is evaluated per chunk."""
+    indexed = F.transform(
+        items, lambda x, i: F.struct(i.alias("i"), x["words"].alias("words"), x["cost"].alias("cost"))
+    )
+    empty = F.struct(
+        F.array().cast("array<struct<start:int,length:int>>").alias("done"),
+        F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(-1).alias("last"),
+    )
+
+    def span(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), (end - start).alias("length")))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (x.i > 0) & (acc.n + x.cost <= limit)
+        stays = (x["i"] == 0) | (acc["n"] + x["cost"] <= limit)
         return F.struct(
-            F.when(fits, acc.starts).otherwise(F.concat(acc.starts, F.array(x.i))).alias("starts"),
-            F.when(fits, acc.n + x.words).otherwise(x.words).alias("n"),
+            F.when(stays, acc["done"]).otherwise(F.concat(acc["done"], span(acc["start"], x["i"]))).alias("done"),
+            F.when(stays, acc["start"]).otherwise(x["i"]).alias("start"),
+            F.when(stays, acc["n"] + x["words"]).otherwise(x["words"]).alias("n"),
+            x["i"].alias("last"),
         )
 
-    return F.aggregate(indexed, empty, step, lambda acc: acc.starts)
-
+    def close(acc: Column) -> Column:
+        tail = F.concat(acc["done"], span(acc["start"], acc["last"] + 1))
+        return F.when(acc["last"] >= 0, tail).otherwise(acc["done"])
 
-def _slices(values: Column, starts: Column) -> Column:
-    """Cut an array at the given 0-based starts."""
-    def cut(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.try_element_at(starts, k + 2), F.size(values))
-        return F.slice(values, start + 1, end - start)
-
-    return F.transform(starts, cut)
+    return F.aggregate(indexed, empty, step, close)
 
 
 def pack_sentences(
@@ -56,39 +63,30 @@ def pack_sentences(
     """Greedy sentence packing: a sentence joins the chunk while words so far plus its cost
     stay within ``limit``. ``costs`` names an array<int> column aligned with the sentences
     (for example subword counts); by default a sentence costs its words."""
-    base = docs.withColumn("_s", tx.sentences(F.col(text))).withColumn(
-        "_n", F.transform("_s", lambda s: F.size(tx.words(s)))
-    )
+    base = compute_once(docs, _s=tx.sentences(F.col(text)))
+    base = compute_once(base, _n=F.transform("_s", lambda s: F.size(tx.words(s))))
     cost = F.col(costs) if costs else F.col("_n")
-    return (
-        base.withColumn(
-            "_starts",
-            _chunk_starts(
-                F.zip_with("_n", cost, lambda w, c: F.struct(w.alias("words"), c.alias("cost"))), limit
-            ),
-        )
-        .withColumn("_chunks", _slices(F.col("_s"), F.col("_starts")))
-        .select(*keys, F.posexplode("_chunks").alias("chunk_pos", "_c"))
-        .select(*keys, "chunk_pos", tx.strip_space(F.array_join("_c", " ")).alias("chunk"))
+    items = F.zip_with("_n", cost, lambda w, c: F.struct(w.alias("words"), c.alias("cost")))
+    return base.select(*keys, "_s", F.posexplode(_spans(items, limit)).alias("chunk_pos", "_at")).select(
+        *keys, "chunk_pos", tx.strip_space(F.array_join(_cut("_s"), " ")).alias("chunk")
     )
 
 
+def _cut(values: str) -> Column:
+    return F.slice(values, F.col("_at.start") + 1, F.col("_at.length"))
+
+
 def pack_with_frames(
     docs: DataFrame, keys: Sequence[str], annotated: str, limit: int = 512
 ) -> DataFrame:
     """Greedy packing of array<struct<sentence, frames>>; sentences without frames are
     skipped and every chunk carries the words of its sentences' frames."""
+    base = compute_once(docs, _s=F.filter(annotated, lambda s: F.size(s["frames"]) > 0))
+    base = compute_once(base, _n=F.transform("_s", lambda s: F.size(tx.words(s["sentence"]))))
+    items = F.transform("_n", lambda w: F.struct(w.alias("words"), w.alias("cost")))
     return (
-        docs.withColumn("_s", F.filter(annotated, lambda s: F.size(s["frames"]) > 0))
-        .withColumn("_n", F.transform("_s", lambda s: F.size(tx.words(s["sentence"]))))
-        .withColumn(
-            "_starts",
-            _chunk_starts(
-                F.transform("_n", lambda w: F.struct(w.alias("words"), w.alias("cost"))), limit
-            ),
-        )
-        .withColumn("_chunks", _slices(F.col("_s"), F.col("_starts")))
-        .select(*keys, F.posexplode("_chunks").alias("chunk_pos", "_c"))
+        base.select(*keys, "_s", F.posexplode(_spans(items, limit)).alias("chunk_pos", "_at"))
+        .select(*keys, "chunk_pos", _cut("_s").alias("_c"))
         .select(
             *keys,
             "chunk_pos",
@@ -99,7 +97,7 @@ def pack_with_frames(
 
 
 def sentence_frames(annotations: DataFrame, key: str) -> DataFrame:
-    """One row per document: array<struct<sent_pos, frames>> with frames in order.
+    """One row per document: map of sentence position to its frames in order.
 
     annotations: (key, sent_pos, frame_pos, frame). Rows are gathered per sentence first,
     then per document; a document's annotations are bounded by its own length.
@@ -110,33 +108,22 @@ def sentence_frames(annotations: DataFrame, key: str) -> DataFrame:
         ).alias("frames")
     )
     return per_sentence.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("sent_pos", "frames"))).alias("sent_frames")
+        F.map_from_entries(F.collect_list(F.struct("sent_pos", "frames"))).alias("sent_frames")
     )
 
 
 def annotate_sentences(docs: DataFrame, annotations: DataFrame, key: str, text: str) -> DataFrame:
     """Adds annotated: array<struct<sentence, frames>>, a sentence without annotation
     keeping an empty list and empty sentences dropped."""
-    frames = sentence_frames(annotations, key)
     none = F.array().cast("array<string>")
-    lookup = F.map_from_entries(F.coalesce("sent_frames", F.array().cast(
-        "array<struct<sent_pos:int,frames:array<string>>>")))
+    paired = F.transform(
+        tx.sentences(F.col(text)),
+        lambda s, i: F.struct(
+            s.alias("sentence"), F.coalesce(F.try_element_at(F.col("sent_frames"), i), none).alias("frames")
+        ),
+    )
     return (
-        docs.join(frames, key, "left")
-        .withColumn("_s", tx.sentences(F.col(text)))
-        .withColumn("_f", lookup)
-        .withColumn(
-            "annotated",
-            F.filter(
-                F.transform(
-                    "_s",
-                    lambda s, i: F.struct(
-                        s.alias("sentence"),
-                        F.coalesce(F.try_element_at(F.col("_f"), i), none).alias("frames"),
-                    ),
-                ),
-                lambda s: F.length(s["sentence"]) > 0,
-            ),
-        )
-        .drop("_s", "_f", "sent_frames")
+        docs.join(sentence_frames(annotations, key), key, "left")
+        .withColumn("annotated", F.filter(paired, lambda s: F.length(s["sentence"]) > 0))
+        .drop("sent_frames")
     )

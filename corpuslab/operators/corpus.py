@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import bounded_rows
+from corpuslab.plans.scale import bounded_rows, compute_once
 
 # The section keywords.
 IMPORTANT_SECTIONS = [
@@ -87,29 +87,23 @@ def assemble(docs: DataFrame, key: str, label: str, title: str) -> DataFrame:
 def with_section_texts(prepared: DataFrame) -> DataFrame:
     """Adds section_texts: names zipped with the split full text (the shorter side decides);
     a repeated name keeps its first position and its last text."""
-    return (
-        prepared.withColumn("_parts", F.split("full_text", tx.SECTION_MARK))
-        .withColumn(
-            "_pairs",
-            F.slice(
-                F.arrays_zip(F.col("section_names").alias("name"), F.col("_parts").alias("text")),
-                F.lit(1),
-                F.least(F.size("section_names"), F.size("_parts")),
-            ),
-        )
-        .withColumn("_names", F.array_distinct("_pairs.name"))
-        .withColumn(
-            "section_texts",
-            F.transform(
-                "_names",
-                lambda n: F.struct(
-                    n.alias("name"),
-                    F.element_at(F.filter("_pairs", lambda p: p["name"] == n), -1)["text"].alias("text"),
-                ),
-            ),
-        )
-        .drop("_parts", "_pairs", "_names")
+    parts = F.split("full_text", tx.SECTION_MARK)
+    pairs = F.slice(
+        F.arrays_zip(F.col("section_names").alias("name"), parts.alias("text")),
+        F.lit(1),
+        F.least(F.size("section_names"), F.size(parts)),
     )
+    base = compute_once(prepared, _pairs=pairs)
+    return base.withColumn(
+        "section_texts",
+        F.transform(
+            F.array_distinct("_pairs.name"),
+            lambda n: F.struct(
+                n.alias("name"),
+                F.element_at(F.filter("_pairs", lambda p: p["name"] == n), -1)["text"].alias("text"),
+            ),
+        ),
+    ).drop("_pairs")
 
 
 def section_rows(prepared: DataFrame, key: str) -> DataFrame:

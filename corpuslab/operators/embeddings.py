@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.functions.vectors import doubles, mean_vector
-from corpuslab.plans.scale import spread_join
+from corpuslab.plans.scale import compute_once, spread_join
 
 FEATURE_GROUPS = ("struc", "struc+cat", "cat", "struc+emb", "cat+emb", "emb", "all")
 
@@ -77,7 +77,7 @@ def multi_hot(
     slots = F.transform(
         F.array_distinct(values), lambda v: F.array_position(F.lit(list(names)), v).cast("int") - 1
     )
-    return nodes.withColumn("_at", slots).select(
+    return compute_once(nodes, _at=slots).select(
         key,
         F.transform(
             F.sequence(F.lit(0), F.lit(len(names) - 1)),

@@ -44,16 +44,22 @@ def document_frequency(train_terms: DataFrame) -> DataFrame:
     return train_terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def weigh(terms: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts times idf(by.., term, idf), each document scaled to unit length; terms without
+    a training frequency are dropped."""
+    weighted = spread_join(terms, idf, [*by, "term"], [key]).withColumn(
+        "value", F.col("value") * F.col("idf")
+    )
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*by, key)))
+    return weighted.withColumn("value", F.col("value") / length).select(*terms.columns)
+
+
 def tfidf(terms: DataFrame, frequency: DataFrame, n_docs: int, key: str) -> DataFrame:
-    """Smoothed, length-normalised weights; terms without a training frequency are dropped."""
+    """Smoothed, length-normalised weights from document frequencies of the training side."""
     idf = frequency.select(
         "term", (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
     )
-    weighted = spread_join(terms, idf, ["term"], [key]).withColumn(
-        "value", F.col("value") * F.col("idf")
-    ).drop("idf")
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
-    return weighted.withColumn("value", F.col("value") / length)
+    return weigh(terms, idf, key)
 
 
 def fit_features(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,28 +15,41 @@ from corpuslab.operators.features import KINDS, PROFILE_LIMITS
 # The open interval that means a mixed document.
 MIXED_BAND = (0.33, 0.67)
 SCORE_DIGITS = 12
+MAX_PROFILE_ROWS = 1_000_000
 
 
 def dictionary_scores(
-    profile: DataFrame, key: str, class_profiles: DataFrame, names: Sequence[str], kinds: Sequence[str]
+    profile: DataFrame,
+    key: str,
+    class_profiles: DataFrame,
+    names: Sequence[str],
+    configs: Mapping[str, Sequence[str]],
 ) -> DataFrame:
-    """(key, scores): one score per label in index order, zeros included.
+    """(key, config, scores): one score per label in index order, zeros included, for every
+    configuration (name -> n-gram kinds) in one pass.
 
     ``class_profiles`` (label, n, ngram, weight) holds at most sum(PROFILE_LIMITS) rows per
     label and ``names`` is a checked dimension, so its size is bounded and it is broadcast;
     the profile keeps its partitioning by key and the sum needs no shuffle.
     """
-    lengths = [KINDS[k] for k in kinds]
-    assert len(names) * sum(PROFILE_LIMITS.values()) <= 1_000_000
-    wanted = class_profiles.filter(F.col("n").isin(*lengths)).select(
+    if len(names) * sum(PROFILE_LIMITS.values()) > MAX_PROFILE_ROWS:
+        raise ValueError("too many labels for a broadcast class profile")
+    wanted = class_profiles.select(
         "n", "ngram", F.col("label").alias("_label"), F.col("weight").alias("_g")
     )
     matched = profile.join(F.broadcast(wanted), ["n", "ngram"], "left")
-    per_label = [
-        F.coalesce(F.sum(F.when(F.col("_label") == name, F.col("weight") * F.col("_g"))), F.lit(0.0))
-        for name in names
-    ]
-    return matched.groupBy(key).agg(F.array(*per_label).alias("scores"))
+
+    def total(name: str, kinds: Sequence[str]) -> Column:
+        hit = (F.col("_label") == name) & F.col("n").isin(*(KINDS[k] for k in kinds))
+        return F.coalesce(F.sum(F.when(hit, F.col("weight") * F.col("_g"))), F.lit(0.0))
+
+    scored = F.array(
+        *(
+            F.struct(F.lit(c).alias("config"), F.array(*(total(n, kinds) for n in names)).alias("scores"))
+            for c, kinds in configs.items()
+        )
+    )
+    return matched.groupBy(key).agg(scored.alias("s")).select(key, F.explode("s").alias("s")).select(key, "s.*")
 
 
 def score_rows(scored: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -47,6 +47,14 @@ def widen_scan(df: DataFrame) -> DataFrame:
     return df
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row. The optimizer merges a plain projection
+    into a later lambda that reads it, which would evaluate it again for every element; a
+    one-row generator is not merged."""
+    made = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select("*", F.inline(F.array(made)))
+
+
 def bounded_rows(df: DataFrame, limit: int = MAX_INLINE_ROWS) -> list:
     """Collect a table that must be small; raise instead of truncating when it is not."""
     rows = df.limit(limit + 1).collect()
