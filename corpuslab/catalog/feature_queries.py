@@ -183,16 +183,16 @@ weights AS MATERIALIZED (SELECT doc_id, label, term, w / sqrt(sum(w * w) OVER (P
 
 def profile_sql(texts: str, keys: str, seq: str) -> str:
     """Top n-grams per ``keys`` from ``texts`` with doc_id and text columns."""
+    carried = keys if "doc_id" in keys else f"{keys}, doc_id"
     return f"""(
-WITH w AS (SELECT *, row_number() OVER (PARTITION BY {keys}, doc_id ORDER BY pos) AS at FROM (
-  SELECT {keys}, {"doc_id," if keys != "doc_id" and "doc_id" not in keys.split(", ") else ""} unnest({WORDS.format('text')}) AS word,
-         generate_subscripts({WORDS.format('text')}, 1) AS pos FROM {texts})),
+WITH w AS (SELECT {carried}, unnest({WORDS.format('text')}) AS word,
+           generate_subscripts({WORDS.format('text')}, 1) AS pos FROM {texts}),
 nx AS (SELECT *, lead(word) OVER (PARTITION BY {keys}, doc_id ORDER BY pos) AS w2,
        lead(word, 2) OVER (PARTITION BY {keys}, doc_id ORDER BY pos) AS w3 FROM w),
-g AS (SELECT {keys}, 1 AS n, word AS ngram, {seq} AS at FROM nx
+g AS (SELECT {keys}, 1 AS n, word AS ngram, {seq} AS o FROM nx
       UNION ALL SELECT {keys}, 2, word || ' ' || w2, {seq} FROM nx WHERE w2 IS NOT NULL
       UNION ALL SELECT {keys}, 3, word || ' ' || w2 || ' ' || w3, {seq} FROM nx WHERE w3 IS NOT NULL),
-c AS (SELECT {keys}, n, ngram, count(*) AS cnt, min(at) AS first FROM g GROUP BY {keys}, n, ngram),
+c AS (SELECT {keys}, n, ngram, count(*) AS cnt, min(o) AS first FROM g GROUP BY {keys}, n, ngram),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY {keys}, n ORDER BY cnt DESC, first) <= CASE n WHEN 1 THEN 100 ELSE 30 END)
 SELECT {keys}, n::BIGINT AS n, ngram, cnt, cnt / sum(cnt) OVER (PARTITION BY {keys}, n) AS weight FROM k)"""
 

@@ -16,13 +16,13 @@ def sentence_rows(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 def word_chunk_rows(docs: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFrame:
-    return docs.withColumn("_w", tx.words(F.col(text))).select(
+    return compute_once(docs, _w=tx.words(F.col(text))).select(
         *keys, F.posexplode(tx.word_chunks(F.col("_w"), size)).alias("chunk_pos", "chunk")
     )
 
 
 def ngram_rows(docs: DataFrame, keys: Sequence[str], text: str, n: int) -> DataFrame:
-    return docs.withColumn("_w", tx.words(F.col(text))).select(
+    return compute_once(docs, _w=tx.words(F.col(text))).select(
         *keys, F.posexplode(tx.ngrams(F.col("_w"), n)).alias("pos", "ngram")
     )
 

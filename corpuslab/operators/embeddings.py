@@ -32,10 +32,14 @@ def mean_word_vectors(
     zero = F.array_repeat(F.lit(0.0), width)
     known = spread_join(counted, word_vectors, ["word"], [key], "left")
     return (
-        known.withColumn("n", F.when(F.col("vec").isNull(), F.lit(0.0)).otherwise(F.col("n")))
+        known.withColumn("hit", F.when(F.col("vec").isNull(), F.lit(0.0)).otherwise(F.col("n")))
         .withColumn("vec", F.coalesce(doubles(F.col("vec")), zero))
         .groupBy(key)
-        .agg(F.sum("n").alias("hits"), mean_vector(F.col("vec"), F.col("n")).alias("vec"))
+        .agg(
+            F.sum("hit").alias("hits"),
+            # a group of unknown words still needs a positive total weight
+            mean_vector(F.col("vec"), F.greatest("hit", F.lit(1e-300))).alias("vec"),
+        )
         .select(key, F.when(F.col("hits") > 0, F.col("vec")).otherwise(zero).alias("vec"))
     )
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import global_rank, spread_join
+from corpuslab.plans.scale import compute_once, global_rank, spread_join
 
 # How many n-grams of each length a profile keeps.
 PROFILE_LIMITS = {1: 100, 2: 30, 3: 30}
@@ -51,7 +51,7 @@ def weigh(terms: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ()) ->
         "value", F.col("value") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*by, key)))
-    return weighted.withColumn("value", F.col("value") / length).select(*terms.columns)
+    return weighted.withColumn("value", F.try_divide(F.col("value"), length)).select(*terms.columns)
 
 
 def tfidf(terms: DataFrame, frequency: DataFrame, n_docs: int, key: str) -> DataFrame:
@@ -87,23 +87,22 @@ def _counted(rows: DataFrame, keys: Sequence[str], limits: Mapping[int, int]) ->
         rows.withColumn("_rn", F.row_number().over(most))
         .filter(F.col("_rn") <= max(limits.values()))
         .filter(F.col("n").isNull() | (F.col("_rn") <= limit))
-        .withColumn("weight", F.col("cnt") / F.sum("cnt").over(of_n))
+        .withColumn("weight", F.try_divide("cnt", F.sum("cnt").over(of_n)))
         .select(*keys, "n", "ngram", "cnt", "weight")
     )
 
 
 def _exploded(docs: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int]) -> DataFrame:
     """One row per n-gram; a document without any keeps one row of nulls."""
-    tagged = [
-        F.transform(
+    def tagged(n: int) -> Column:
+        return F.transform(
             tx.ngrams(F.col("_w"), n),
-            lambda g, i, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"), i.alias("pos")),
+            lambda g, i: F.struct(F.lit(n).alias("n"), g.alias("ngram"), i.alias("pos")),
         )
-        for n in lengths
-    ]
+
     return (
-        docs.withColumn("_w", tx.words(F.col(text)))
-        .select(*keys, F.explode_outer(F.concat(*tagged)).alias("g"))
+        compute_once(docs, _w=tx.words(F.col(text)))
+        .select(*keys, F.explode_outer(F.concat(*(tagged(n) for n in lengths))).alias("g"))
         .select(*keys, "g.*")
     )
 

@@ -127,7 +127,7 @@ def count_votes(answers: DataFrame, key: str) -> DataFrame:
 
 
 def normalise_scores(totals: DataFrame, key: str) -> DataFrame:
-    return totals.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy(key)))
+    return totals.withColumn("share", F.try_divide("score", F.sum("score").over(Window.partitionBy(key))))
 
 
 def decide(
@@ -148,9 +148,8 @@ def decide(
     answer = F.col("best")
     if mixed is not None:
         low, high = band
-        inside = F.exists(
-            "all", lambda s: (s / F.col("total") > F.lit(low)) & (s / F.col("total") < F.lit(high))
-        )
+        share = lambda s: F.try_divide(s, F.col("total"))
+        inside = F.exists("all", lambda s: (share(s) > F.lit(low)) & (share(s) < F.lit(high)))
         answer = F.when(inside, F.lit(mixed)).otherwise(answer)
     return per_doc.select(key, answer.alias("yhat"))
 
