@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("text_queries", "corpus_queries", "feature_queries", "scoring_queries", "model_queries")
+_MODULES = ("text_queries", "corpus_queries", "feature_queries", "scoring_queries", "model_queries", "graph_queries")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -295,13 +295,13 @@ QUALIFY row_number() OVER (PARTITION BY test_key, k, weights ORDER BY round(s, 9
 WITH base AS (SELECT doc_id, quality::VARCHAR AS label, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS place,
   count(*) OVER (PARTITION BY quality) AS size FROM labels),
 names AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx, count(*) OVER () AS n, size FROM (SELECT DISTINCT label, size FROM base)),
-asks AS (SELECT b.*, r.round, s.similar, ('0x' || substr(md5(concat_ws('|', doc_id, r.round, s.similar, 42)), 1, 8))::BIGINT AS draw
-  FROM base b CROSS JOIN range(15) r(round) CROSS JOIN (VALUES (1), (0)) s(similar)),
-aim AS (SELECT a.*, CASE WHEN similar = 1 THEN a.label ELSE o.label END AS want,
-  CASE WHEN similar = 1 THEN (place + 1 + draw % greatest(a.size - 1, 1)) % a.size ELSE draw % o.size END AS spot
+asks AS (SELECT b.*, r.round, s.alike, ('0x' || substr(md5(concat_ws('|', doc_id, r.round, s.alike, 42)), 1, 8))::BIGINT AS draw
+  FROM base b CROSS JOIN range(15) r(round) CROSS JOIN (VALUES (1), (0)) s(alike)),
+aim AS (SELECT a.*, CASE WHEN alike = 1 THEN a.label ELSE o.label END AS want,
+  CASE WHEN alike = 1 THEN (place + 1 + draw % greatest(a.size - 1, 1)) % a.size ELSE draw % o.size END AS spot
   FROM asks a JOIN names m ON m.label = a.label JOIN names o ON o.idx = (m.idx + 1 + draw % greatest(m.n - 1, 1)) % m.n
-  WHERE (similar = 1 AND a.size > 1) OR (similar = 0 AND m.n > 1))
-SELECT aim.doc_id AS anchor, b.doc_id AS partner, round, similar::BIGINT AS similar FROM aim JOIN base b ON b.label = want AND b.place = spot""",
+  WHERE (alike = 1 AND a.size > 1) OR (alike = 0 AND m.n > 1))
+SELECT aim.doc_id AS anchor, b.doc_id AS partner, round, alike::BIGINT AS "similar" FROM aim JOIN base b ON b.label = want AND b.place = spot""",
     "confusion": f"SELECT lang, y, yhat, count(*) AS n FROM ({LABELLED}) GROUP BY lang, y, yhat",
     "accuracy_f1": f"SELECT source, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM ({f1_sql('(' + LABELLED + ')', 'source')})",
     "class_report": f"""WITH {PER_LABEL},

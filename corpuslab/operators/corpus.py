@@ -199,7 +199,7 @@ def encode_label(label: Column, names: Sequence[str]) -> Column:
 
 
 def decode_label(index: Column, names: Sequence[str]) -> Column:
-    return F.try_element_at(F.lit(list(names)), index + 1)
+    return F.try_element_at(F.lit(list(names)), (index + 1).cast("int"))
 
 
 def align_sections(texts: DataFrame, frames: DataFrame, key: str) -> DataFrame:

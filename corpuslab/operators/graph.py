@@ -241,8 +241,8 @@ def structure(degree: DataFrame, paths: DataFrame, cluster: DataFrame, ranks: Da
 
 
 def node_features(struc: DataFrame, cat: DataFrame, emb: DataFrame) -> DataFrame:
-    """(id, struc, cat, emb), one row per node."""
-    return struc.join(cat, "id").join(emb, "id").select("id", "struc", "cat", "emb")
+    """(id, struc, cat, emb), one row per node. emb: (id, vec)."""
+    return struc.join(cat, "id").join(emb, "id").select("id", "struc", "cat", F.col("vec").alias("emb"))
 
 
 def index_nodes(nodes: DataFrame) -> DataFrame:
