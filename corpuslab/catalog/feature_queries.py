@@ -44,12 +44,15 @@ def _lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.documents(spark, sf_dir).withColumn("text", F.lower("text"))
 
 
-def _class_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.class_profile(st.wide_documents(spark, sf_dir).withColumn("text", F.lower("text")), "label", "doc_id", "text")
+DICT_LIMITS = scoring.profile_limits(experiments.DICTIONARY_CONFIGS)
+
+
+def _class_profiles(spark: SparkSession, sf_dir: str, limits=DICT_LIMITS) -> DataFrame:
+    return features.class_profile(_lowered(spark, sf_dir), "label", "doc_id", "text", limits)
 
 
 def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _class_profiles(spark, sf_dir).select(
+    return _class_profiles(spark, sf_dir, features.PROFILE_LIMITS).select(
         "label", F.col("n").cast("long").alias("n"), "ngram", "cnt", F.round("weight", 9).alias("weight")
     )
 
@@ -58,7 +61,7 @@ def _dict_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     docs = _lowered(spark, sf_dir)
     names = corpus.label_names(docs)
     scored = scoring.dictionary_scores(
-        features.ngram_profile(docs, "doc_id", "text"), "doc_id", _class_profiles(spark, sf_dir), names,
+        features.ngram_profile(docs, "doc_id", "text", DICT_LIMITS), "doc_id", _class_profiles(spark, sf_dir), names,
         experiments.DICTIONARY_CONFIGS,
     )
     return scored, names

@@ -12,6 +12,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 # Fixed value: the sentence boundary (after . ! ?, before a capital, not inside parentheses).
 SENTENCE_BREAK = rf"(?<=[.!?]){SPACE}+(?=[A-Z]){SPACE}*(?![^()]*\))"
+PLAIN_BREAK = rf"(?<=[.!?]){SPACE}+(?=[A-Z])"
 
 # Fixed value: a vectoriser term, two or more word characters.
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -39,7 +40,7 @@ def empty_brackets(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, rf"{SPACE}+"), "")
 
 
 def drop_noise(text: Column, noise: Sequence[str]) -> Column:
@@ -70,7 +71,9 @@ def terms(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, SENTENCE_BREAK)
+    """The parenthesis guard looks ahead to the next bracket at every boundary; a text
+    without ')' cannot fail it, so it is split without the guard."""
+    return F.when(text.contains(")"), F.split(text, SENTENCE_BREAK)).otherwise(F.split(text, PLAIN_BREAK))
 
 
 def word_chunks(tokens: Column, size: int) -> Column:
@@ -81,11 +84,13 @@ def word_chunks(tokens: Column, size: int) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
+    """n neighbouring words joined by a space; ``tokens`` should be a computed column."""
     if n == 1:
         return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    joined = F.transform(
+        tokens, lambda w, i: F.concat_ws(" ", w, *(F.get(tokens, i + j) for j in range(1, n)))
+    )
+    return F.slice(joined, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
 
 
 def frame_words(frame: Column) -> Column:

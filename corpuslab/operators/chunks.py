@@ -67,13 +67,14 @@ def pack_sentences(
     base = compute_once(base, _n=F.transform("_s", lambda s: F.size(tx.words(s))))
     cost = F.col(costs) if costs else F.col("_n")
     items = F.zip_with("_n", cost, lambda w, c: F.struct(w.alias("words"), c.alias("cost")))
-    return base.select(*keys, "_s", F.posexplode(_spans(items, limit)).alias("chunk_pos", "_at")).select(
-        *keys, "chunk_pos", tx.strip_space(F.array_join(_cut("_s"), " ")).alias("chunk")
+    cut = lambda at: tx.strip_space(F.array_join(_part("_s", at), " "))
+    return compute_once(base, _at=_spans(items, limit)).select(
+        *keys, F.posexplode(F.transform("_at", cut)).alias("chunk_pos", "chunk")
     )
 
 
-def _cut(values: str) -> Column:
-    return F.slice(values, F.col("_at.start") + 1, F.col("_at.length"))
+def _part(values: str, at: Column) -> Column:
+    return F.slice(values, at["start"] + 1, at["length"])
 
 
 def pack_with_frames(
@@ -84,15 +85,12 @@ def pack_with_frames(
     base = compute_once(docs, _s=F.filter(annotated, lambda s: F.size(s["frames"]) > 0))
     base = compute_once(base, _n=F.transform("_s", lambda s: F.size(tx.words(s["sentence"]))))
     items = F.transform("_n", lambda w: F.struct(w.alias("words"), w.alias("cost")))
-    return (
-        base.select(*keys, "_s", F.posexplode(_spans(items, limit)).alias("chunk_pos", "_at"))
-        .select(*keys, "chunk_pos", _cut("_s").alias("_c"))
-        .select(
-            *keys,
-            "chunk_pos",
-            tx.strip_space(F.array_join("_c.sentence", " ")).alias("chunk"),
-            F.array_join(F.transform(F.flatten("_c.frames"), tx.frame_words), " ").alias("frame_text"),
-        )
+    spans = compute_once(base, _at=_spans(items, limit))
+    return spans.select(*keys, F.posexplode(F.transform("_at", lambda at: _part("_s", at))).alias("chunk_pos", "_c")).select(
+        *keys,
+        "chunk_pos",
+        tx.strip_space(F.array_join("_c.sentence", " ")).alias("chunk"),
+        F.array_join(F.transform(F.flatten("_c.frames"), tx.frame_words), " ").alias("frame_text"),
     )
 
 

@@ -23,10 +23,12 @@ def dictionary_predictions(
     configs: Mapping[str, Sequence[str]] = DICTIONARY_CONFIGS,
 ) -> DataFrame:
     """(model_type, data_type, key, y, yhat) for every text view (key, text, label)."""
+    limits = scoring.profile_limits(configs)
+    class_profiles = cut_lineage(class_profiles)  # a few rows per label, read by every view
     runs = []
     for data_type, view in views.items():
         scored = scoring.dictionary_scores(
-            features.ngram_profile(view, key, "text"), key, class_profiles, names, configs
+            features.ngram_profile(view, key, "text", limits), key, class_profiles, names, configs
         )
         answers = scoring.predict_lowest(scored, [key, "config"], names)
         runs.append(

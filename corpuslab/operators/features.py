@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import compute_once, global_rank, spread_join
+from corpuslab.plans.scale import compute_once, cut_lineage, global_rank, spread_join
 
 # How many n-grams of each length a profile keeps.
 PROFILE_LIMITS = {1: 100, 2: 30, 3: 30}
@@ -66,7 +66,7 @@ def fit_features(
     train: DataFrame, test: DataFrame, key: str, text: str, kind: str = "bow", keep: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test features over the training vocabulary."""
-    train_terms = bag_of_words(train, key, text, keep)
+    train_terms = cut_lineage(bag_of_words(train, key, text, keep))  # read twice or more
     test_terms = bag_of_words(test, key, text, keep)
     if kind == "bow":
         return train_terms, in_vocabulary(test_terms, document_frequency(train_terms), key)
@@ -122,14 +122,18 @@ def ngram_profile(
 def class_profile(
     docs: DataFrame,
     label: str,
-    seq: str,
+    key: str,
     text: str,
     limits: Mapping[int, int] = PROFILE_LIMITS,
 ) -> DataFrame:
-    """Top n-grams of each class over all of its texts. Counts combine before the shuffle
-    and the limit is applied per task first, so a dominant class is never in one place."""
-    rows = _exploded(docs.select(label, seq, text), [label, seq], text, list(limits))
-    counted = rows.filter("ngram is not null").groupBy(label, "n", "ngram").agg(
-        F.count("*").alias("cnt"), F.min(F.struct(seq, "pos")).alias("first")
+    """Top n-grams of each class over all of its texts, ties to the earliest in (key,
+    position) order. Counts combine per document, then per task, and the limit is applied
+    per task before the classes meet, so a dominant class is never in one place."""
+    rows = _exploded(docs.select(label, key, text).repartition(key), [label, key], text, list(limits))
+    per_doc = rows.filter("ngram is not null").groupBy(key, label, "n", "ngram").agg(
+        F.count("*").alias("c"), F.min("pos").alias("p")
     )
-    return _counted(counted, [label], limits)
+    counted = per_doc.groupBy(label, "n", "ngram").agg(
+        F.sum("c").alias("cnt"), F.min(key).alias("_doc"), F.min_by("p", key).alias("_pos")
+    )
+    return _counted(counted.withColumn("first", F.struct("_doc", "_pos")).drop("_doc", "_pos"), [label], limits)

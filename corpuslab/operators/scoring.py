@@ -18,6 +18,12 @@ SCORE_DIGITS = 12
 MAX_PROFILE_ROWS = 1_000_000
 
 
+def profile_limits(configs: Mapping[str, Sequence[str]]) -> dict[int, int]:
+    """The n-gram lengths the configurations use, with their limits."""
+    used = {KINDS[kind] for kinds in configs.values() for kind in kinds}
+    return {n: top for n, top in PROFILE_LIMITS.items() if n in used}
+
+
 def dictionary_scores(
     profile: DataFrame,
     key: str,

@@ -149,12 +149,17 @@ def spread_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    copies: int = 16,
+    copies: int | None = None,
 ) -> DataFrame:
     """Join a long table with a far smaller one (one row per key), splitting every key's
-    rows over ``copies`` tasks. AQE turns it into a broadcast when the small side measures
-    small enough at run time."""
+    rows over ``copies`` tasks, by default an eighth of the shuffle partitions (at most 32).
+    AQE turns it into a broadcast when the small side measures small enough at run time."""
     on = list(on)
+    if copies is None:
+        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = max(1, min(32, partitions // 8))
+    if copies == 1:
+        return facts.join(dim, on, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
