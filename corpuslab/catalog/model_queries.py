@@ -29,8 +29,8 @@ def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training documents of split 0 with their fold, and their terms."""
     train, _ = st.first_split(spark, sf_dir)
     folds = splits.stratified_folds(train.select("doc_id", "label"), "label", "doc_id")
-    terms = features.bag_of_words(train, "doc_id", "text").join(folds, "doc_id")
-    return folds, terms
+    folds = cut_lineage(folds)
+    return folds, cut_lineage(features.bag_of_words(train, "doc_id", "text").join(folds, "doc_id"))
 
 
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:

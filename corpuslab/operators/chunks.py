@@ -97,10 +97,10 @@ def pack_with_frames(
 def sentence_frames(annotations: DataFrame, key: str) -> DataFrame:
     """One row per document: map of sentence position to its frames in order.
 
-    annotations: (key, sent_pos, frame_pos, frame). Rows are gathered per sentence first,
-    then per document; a document's annotations are bounded by its own length.
+    annotations: (key, sent_pos, frame_pos, frame). One shuffle by document; rows are then
+    gathered per sentence and per document in place, bounded by the document's own length.
     """
-    per_sentence = annotations.groupBy(key, "sent_pos").agg(
+    per_sentence = annotations.repartition(key).groupBy(key, "sent_pos").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("frame_pos", "frame"))), lambda f: f["frame"]
         ).alias("frames")

@@ -45,37 +45,37 @@ def score_report(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def bayes_split_metrics(
-    view: DataFrame, key: str, names: Sequence[str], kind: str = "bow", n_splits: int = 5, folds: int = 5
+    view: DataFrame, key: str, names: Sequence[str], kinds: Sequence[str] = ("bow",), n_splits: int = 5, folds: int = 5
 ) -> DataFrame:
-    """(split, point, f1, accuracy): per split the grid is searched on stratified folds of the
-    training side and the chosen smoothing is tested.
+    """(feature_type, split, point, f1, accuracy): per split the grid is searched on
+    stratified folds of the training side and the chosen smoothing is tested.
 
-    Term counts are taken once and shared by all splits; the split is a column of one plan.
+    Term counts are taken once for all splits and feature kinds; the split is a column of
+    one plan.
     """
+    unknown = set(kinds) - {"bow", "tfidf"}
+    if unknown:
+        raise ValueError(f"unknown feature kinds {sorted(unknown)}")
     alphas = search.GRIDS["bayes"]["alpha"]
     roles = cut_lineage(
-        splits.stratified_splits(view.select(key, "label"), key, "label", n_splits).select(
-            key, "label", "split", "role"
-        )
+        splits.stratified_splits(view.select(key, "label"), key, "label", n_splits).select(key, "label", "split", "role")
     )
     counts = cut_lineage(features.bag_of_words(view, key, "text"))
-    # one row per document: the roles of a document travel with its terms
-    train_docs = roles.filter("role = 'train'")
-    test_docs = roles.filter("role = 'test'")
-    folded = cut_lineage(_folds_by_split(train_docs, key, folds))
-    train = counts.join(folded.select(key, "label", "split", "fold"), key)
-    test = counts.join(test_docs.select(key, "label", "split"), key)
-    if kind == "tfidf":
-        train, test = _tfidf_by_split(train, test, folded, key)
-    elif kind != "bow":
-        raise ValueError(f"feature kind must be 'bow' or 'tfidf', not {kind!r}")
-    cv = bayes.bayes_predictions(
-        train, folded, train, folded, key, names, alphas, by=["split"], fold="fold", folds=folds
-    )
-    chosen = search.best_point(search.fold_scores(cv, ["split"]), ["split"])
-    tested = bayes.bayes_predictions(train, folded, test, test_docs, key, names, alphas, by=["split"])
-    kept = tested.join(F.broadcast(chosen.select("split", "point")), ["split", "point"])  # a row per split
-    return metrics.accuracy_f1(kept, ["split", "point"])
+    folded = cut_lineage(_folds_by_split(roles.filter("role = 'train'").drop("role"), key, folds))
+    test_docs = roles.filter("role = 'test'").drop("role")
+    raw = counts.join(folded, key), counts.join(test_docs, key)
+    runs = []
+    for kind in kinds:
+        train, test = raw if kind == "bow" else _tfidf_by_split(*raw, folded, key)
+        train = cut_lineage(train)  # read as training and as validation side
+        cv = bayes.bayes_predictions(
+            train, folded, train, folded, key, names, alphas, by=["split"], fold="fold", folds=folds
+        )
+        chosen = search.best_point(search.fold_scores(cv, ["split"]), ["split"])
+        tested = bayes.bayes_predictions(train, folded, test, test_docs, key, names, alphas, by=["split"])
+        kept = tested.join(F.broadcast(chosen.select("split", "point")), ["split", "point"])  # a row per split
+        runs.append(metrics.accuracy_f1(kept, ["split", "point"]).withColumn("feature_type", F.lit(kind)))
+    return union_all(runs)
 
 
 def _folds_by_split(train_docs: DataFrame, key: str, folds: int) -> DataFrame:
@@ -103,14 +103,10 @@ def bayes_report(
 ) -> DataFrame:
     """(model_type, feature_type, data_type, best and mean scores, best_params)."""
     alphas = search.GRIDS["bayes"]["alpha"]
-    runs = []
-    for kind in kinds:
-        for data_type, view in views.items():
-            runs.append(
-                bayes_split_metrics(view, key, names, kind).withColumn("feature_type", F.lit(kind)).withColumn(
-                    "data_type", F.lit(data_type)
-                )
-            )
+    runs = [
+        bayes_split_metrics(view, key, names, kinds).withColumn("data_type", F.lit(data_type))
+        for data_type, view in views.items()
+    ]
     by = ["feature_type", "data_type"]
     all_runs = cut_lineage(union_all(runs))
     best = metrics.best_params(all_runs, by, "point").withColumn(
