@@ -193,7 +193,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def bayes_sql(model: str, docs: str, tests: str, test_docs: str, digits: int) -> str:
+def bayes_sql(model: str, docs: str, tests: str, test_docs: str) -> str:
     """CTEs scores(doc_id, alpha, y, label, score) and chosen(doc_id, alpha, yhat)."""
     return f"""
 alphas AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 1.0::DOUBLE), (2, 10.0::DOUBLE)) AS a(point, alpha)),
@@ -227,6 +227,36 @@ x AS (SELECT own AS fold, t.* FROM train t JOIN folds USING (doc_id)),
 xd AS (SELECT own AS fold, doc_id, label FROM folds)"""
 
 
+ALL_MODELS = f"""bag AS MATERIALIZED ({BAG}), sp AS MATERIALIZED ({split_sql(5)}),
+dfs AS (SELECT split, term, count(*) AS df FROM bag JOIN sp USING (doc_id) WHERE role = 'train' GROUP BY split, term),
+ns AS (SELECT split, count(*) AS n FROM sp WHERE role = 'train' GROUP BY split),
+wraw AS (SELECT split, role, bag.doc_id, bag.label, term, value * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
+  FROM bag JOIN sp USING (doc_id) JOIN dfs USING (split, term) JOIN ns USING (split)),
+feat AS MATERIALIZED (SELECT 0 AS kind, split, role, bag.doc_id, bag.label, term, value FROM bag JOIN sp USING (doc_id)
+  UNION ALL SELECT 1, split, role, doc_id, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY split, doc_id)) FROM wraw),
+folds AS MATERIALIZED (SELECT split, doc_id, label, ntile(5) OVER (PARTITION BY split, label ORDER BY doc_id) - 1 AS own FROM sp WHERE role = 'train'),
+kinds AS (SELECT * FROM (VALUES (0), (1)) AS v(kind)),
+m AS MATERIALIZED (SELECT kind * 100 + split * 10 + k AS fold, doc_id, feat.label, term, CASE WHEN own = k THEN 0.0::DOUBLE ELSE value END AS value
+    FROM feat JOIN folds USING (split, doc_id) CROSS JOIN range(5) r(k)
+  UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label, term, value FROM feat WHERE role = 'train'),
+td AS (SELECT kind * 100 + split * 10 + k AS fold, doc_id, label FROM folds CROSS JOIN kinds CROSS JOIN range(5) r(k) WHERE own <> k
+  UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label FROM sp CROSS JOIN kinds WHERE role = 'train'),
+x AS (SELECT kind * 100 + split * 10 + own AS fold, feat.doc_id, feat.label, term, value FROM feat JOIN folds USING (split, doc_id)
+  UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label, term, value FROM feat WHERE role = 'test'),
+xd AS (SELECT kind * 100 + split * 10 + own AS fold, doc_id, label FROM folds CROSS JOIN kinds
+  UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label FROM sp CROSS JOIN kinds WHERE role = 'test')"""
+BAYES_REPORT = f"""WITH {ALL_MODELS}, {bayes_sql('m', 'td', 'x', 'xd')},
+runs AS MATERIALIZED (SELECT *, fold // 100 AS kind, (fold % 100) // 10 AS split, fold % 10 AS k FROM ({f1_sql('chosen', 'fold, point')})),
+cv AS (SELECT kind, split, point, avg(f1) AS cv_f1 FROM runs WHERE k < 9 GROUP BY kind, split, point),
+best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY kind, split ORDER BY round(cv_f1, 12) DESC, point) = 1),
+tested AS (SELECT runs.* FROM runs JOIN best USING (kind, split, point) WHERE k = 9),
+params AS (SELECT kind, point FROM tested QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(f1, 12) DESC, split) = 1)
+SELECT 'bayes' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS feature_type, 'full_text' AS data_type,
+  round_even(max(f1), 2) AS best_f1, round_even(avg(f1), 2) AS avg_f1, round_even(max(accuracy), 2) AS best_accuracy, round_even(avg(accuracy), 2) AS avg_accuracy,
+  '{{''alpha'': ' || any_value(CASE params.point WHEN 0 THEN '0.1' WHEN 1 THEN '1.0' ELSE '10.0' END) || '}}' AS best_params
+FROM tested JOIN params USING (kind) GROUP BY kind"""
+
+
 def knn_sql(weights: str, distance: str, k: int) -> str:
     return f"""{TFIDF}, tr AS ({weights.format('train')}), te AS ({weights.format('test')}),
 trs AS (SELECT doc_id, any_value(label) AS label, sum(value) AS s1, sum(value * value) AS s2 FROM tr GROUP BY doc_id),
@@ -278,10 +308,11 @@ QUERIES = {
 }
 
 ORACLE = {
-    "naive_bayes": f"WITH {ONE_MODEL}, {bayes_sql('m', 'td', 'x', 'xd', 5)} SELECT doc_id, alpha, s.y, s.label, round(score, 5) AS score, yhat FROM scores s JOIN chosen USING (doc_id, alpha)",
-    "grid_search": f"""WITH {FOLDS}, {bayes_sql('m', 'td', 'x', 'xd', 5)},
+    "naive_bayes": f"WITH {ONE_MODEL}, {bayes_sql('m', 'td', 'x', 'xd')} SELECT doc_id, alpha, s.y, s.label, round(score, 5) AS score, yhat FROM scores s JOIN chosen USING (doc_id, alpha)",
+    "grid_search": f"""WITH {FOLDS}, {bayes_sql('m', 'td', 'x', 'xd')},
 cv AS (SELECT point, avg(f1) AS cv_f1 FROM ({f1_sql('chosen', 'point, fold')}) GROUP BY point)
 SELECT point::BIGINT AS point, round(cv_f1, 6) AS cv_f1, row_number() OVER (ORDER BY round(cv_f1, 12) DESC, point) = 1 AS best FROM cv""",
+    "bayes_report": BAYES_REPORT,
     "knn_euclid": f"WITH {knn_sql(_WEIGHTS, _EUCLID, 8)} SELECT test_key, rank, train_key, y_train, round(dist, 6) AS dist FROM ranked",
     "knn_manhattan": f"WITH {knn_sql(_COUNTS, _MANHATTAN, 8)} SELECT test_key, rank, train_key, y_train, round(dist, 6) AS dist FROM ranked",
     "knn_vote": f"""WITH {knn_sql(_WEIGHTS, _EUCLID, 20)},
