@@ -102,7 +102,7 @@ def sentence_frames(annotations: DataFrame, key: str) -> DataFrame:
     """
     per_sentence = annotations.repartition(key).groupBy(key, "sent_pos").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("frame_pos", "frame"))), lambda f: f["frame"]
+            F.sort_array(F.collect_list(F.struct("frame_pos", "frame"))), lambda f: f["frame"]
         ).alias("frames")
     )
     return per_sentence.groupBy(key).agg(

@@ -25,23 +25,18 @@ def mean_word_vectors(
     counted = (
         docs.select(key, text)
         .repartition(key)
-        .select(key, F.explode_outer(tx.words(F.col(text))).alias("word"))
+        .select(key, F.explode(tx.words(F.col(text))).alias("word"))
         .groupBy(key, "word")
         .agg(F.count("*").cast("double").alias("n"))
     )
+    known = spread_join(counted, word_vectors, ["word"], [key])
+    means = known.groupBy(key).agg(mean_vector(F.col("vec"), F.col("n")).alias("vec"))
+    return _or_zeros(docs, means, key, width)
+
+
+def _or_zeros(every: DataFrame, vectors: DataFrame, key: str, width: int) -> DataFrame:
     zero = F.array_repeat(F.lit(0.0), width)
-    known = spread_join(counted, word_vectors, ["word"], [key], "left")
-    return (
-        known.withColumn("hit", F.when(F.col("vec").isNull(), F.lit(0.0)).otherwise(F.col("n")))
-        .withColumn("vec", F.coalesce(doubles(F.col("vec")), zero))
-        .groupBy(key)
-        .agg(
-            F.sum("hit").alias("hits"),
-            # a group of unknown words still needs a positive total weight
-            mean_vector(F.col("vec"), F.greatest("hit", F.lit(1e-300))).alias("vec"),
-        )
-        .select(key, F.when(F.col("hits") > 0, F.col("vec")).otherwise(zero).alias("vec"))
-    )
+    return every.select(key).join(vectors, key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
 
 
 def mean_pool(vectors: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
@@ -55,8 +50,7 @@ def mean_features(nodes: DataFrame, features: DataFrame, key: str, width: int) -
     features: (key, feature, vec), several rows for a chunked feature, which is pooled first.
     """
     pooled = mean_pool(mean_pool(features, [key, "feature"]), [key])
-    zero = F.array_repeat(F.lit(0.0), width)
-    return nodes.select(key).join(pooled, key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+    return _or_zeros(nodes, pooled, key, width)
 
 
 def lowered_values(single: Sequence[str], multi: Sequence[str]) -> Column:

@@ -28,13 +28,12 @@ def dictionary_predictions(
     runs = []
     for data_type, view in views.items():
         scored = scoring.dictionary_scores(
-            features.ngram_profile(view, key, "text", limits), key, class_profiles, names, configs
+            features.ngram_profile(view.withColumnRenamed("label", "y"), key, "text", limits, ["y"]),
+            key, class_profiles, names, configs, ["y"],
         )
-        answers = scoring.predict_lowest(scored, [key, "config"], names)
+        answers = scoring.predict_lowest(scored, [key, "y", "config"], names)
         runs.append(
-            answers.join(view.select(key, F.col("label").alias("y")), key).select(
-                F.col("config").alias("model_type"), F.lit(data_type).alias("data_type"), key, "y", "yhat"
-            )
+            answers.select(F.col("config").alias("model_type"), F.lit(data_type).alias("data_type"), key, "y", "yhat")
         )
     return union_all(runs)
 

@@ -108,15 +108,15 @@ def _exploded(docs: DataFrame, keys: Sequence[str], text: str, lengths: Sequence
 
 
 def ngram_profile(
-    docs: DataFrame, key: str, text: str, limits: Mapping[int, int] = PROFILE_LIMITS
+    docs: DataFrame, key: str, text: str, limits: Mapping[int, int] = PROFILE_LIMITS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Top n-grams per document with their share of the kept counts (no further shuffle
-    after documents are placed by key)."""
-    rows = _exploded(docs.select(key, text).repartition(key), [key], text, list(limits))
-    counted = rows.groupBy(key, "n", "ngram").agg(
+    after documents are placed by key). ``keep`` carries columns fixed per document."""
+    rows = _exploded(docs.select(key, *keep, text).repartition(key), [key, *keep], text, list(limits))
+    counted = rows.groupBy(key, *keep, "n", "ngram").agg(
         F.count("ngram").alias("cnt"), F.min("pos").alias("first")
     )
-    return _counted(counted, [key], limits)
+    return _counted(counted, [key, *keep], limits)
 
 
 def class_profile(

@@ -188,7 +188,8 @@ def pagerank(
     exactly ``rounds`` rounds. Dangling mass is spread evenly.
 
     One shuffle per round: contributions and a zero row per node meet in one aggregation
-    with map-side combine. Two scalars per round reach the driver.
+    with map-side combine. The dangling mass is a scalar subquery; only the total change
+    reaches the driver.
     """
     n = nodes.count()
     if hot is None:
@@ -201,8 +202,8 @@ def pagerank(
         .select("id", F.lit(1.0 / n).alias("r"), F.col("w").isNull().alias("dangling"))
     )
     for _ in range(rounds if rounds is not None else max_rounds):
-        lost = state.filter("dangling").agg(F.sum("r")).first()[0] or 0.0
-        base = (1.0 - damping) / n + damping * lost / n
+        lost = state.filter("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0))).scalar()
+        base = F.lit((1.0 - damping) / n) + F.lit(damping / n) * lost
         flow = hot_join(weighted, state.select(F.col("id").alias("src"), "r"), "src", hot, ["dst"]).select(
             F.col("dst").alias("id"),
             (F.col("r") * F.col("w")).alias("in"),
@@ -214,7 +215,7 @@ def pagerank(
             flow.unionByName(keep)
             .groupBy("id")
             .agg(F.sum("in").alias("in"), F.max("was").alias("was"), F.max("dangling").alias("dangling"))
-            .select("id", (F.lit(base) + F.lit(damping) * F.col("in")).alias("r"), "was", "dangling")
+            .select("id", (base + F.lit(damping) * F.col("in")).alias("r"), "was", "dangling")
         )
         if rounds is None:
             change = state.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]

@@ -41,6 +41,6 @@ def lemmatise(
     return (
         tagged.select(key, spots.alias("spots"))
         .groupBy(key)
-        .agg(F.array_sort(F.flatten(F.collect_list("spots"))).alias("kept"))
+        .agg(F.sort_array(F.flatten(F.collect_list("spots"))).alias("kept"))
         .select(key, F.array_join("kept.w", " ").alias("text"))
     )

@@ -30,8 +30,9 @@ def dictionary_scores(
     class_profiles: DataFrame,
     names: Sequence[str],
     configs: Mapping[str, Sequence[str]],
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, config, scores): one score per label in index order, zeros included, for every
+    """(key, *keep, config, scores): one score per label in index order, zeros included, for every
     configuration (name -> n-gram kinds) in one pass.
 
     ``class_profiles`` (label, n, ngram, weight) holds at most sum(PROFILE_LIMITS) rows per
@@ -55,7 +56,8 @@ def dictionary_scores(
             for c, kinds in configs.items()
         )
     )
-    return matched.groupBy(key).agg(scored.alias("s")).select(key, F.explode("s").alias("s")).select(key, "s.*")
+    keys = [key, *keep]
+    return matched.groupBy(*keys).agg(scored.alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
 
 
 def score_rows(scored: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -100,7 +102,7 @@ def similarity_first_chunk(
     """
     scored = label_similarity(chunks, [key, "chunk_pos"], labels)
     listed = scored.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_pos", "scores"))).alias("by_chunk")
+        F.sort_array(F.collect_list(F.struct("chunk_pos", "scores"))).alias("by_chunk")
     )
     ranked = F.transform(
         F.sequence(F.lit(0), F.lit(len(names) - 1)),
