@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.functions.vectors import doubles, mean_vector
-from corpuslab.plans.scale import compute_once, spread_join
+from corpuslab.plans.scale import compute_once, fits_broadcast, spread_join
 
 FEATURE_GROUPS = ("struc", "struc+cat", "cat", "struc+emb", "cat+emb", "emb", "all")
 
@@ -29,7 +29,10 @@ def mean_word_vectors(
         .groupBy(key, "word")
         .agg(F.count("*").cast("double").alias("n"))
     )
-    known = spread_join(counted, word_vectors, ["word"], [key])
+    if fits_broadcast(word_vectors, row_bytes=8 * width + 64):  # documents stay in place
+        known = counted.join(F.broadcast(word_vectors), "word")
+    else:
+        known = spread_join(counted, word_vectors, ["word"], [key])
     means = known.groupBy(key).agg(mean_vector(F.col("vec"), F.col("n")).alias("vec"))
     return _or_zeros(docs, means, key, width)
 

@@ -86,24 +86,34 @@ def _counted(rows: DataFrame, keys: Sequence[str], limits: Mapping[int, int]) ->
     return (
         rows.withColumn("_rn", F.row_number().over(most))
         .filter(F.col("_rn") <= max(limits.values()))
-        .filter(F.col("n").isNull() | (F.col("_rn") <= limit))
+        .filter(F.col("_rn") <= limit)
         .withColumn("weight", F.try_divide("cnt", F.sum("cnt").over(of_n)))
         .select(*keys, "n", "ngram", "cnt", "weight")
     )
 
 
 def _exploded(docs: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int]) -> DataFrame:
-    """One row per n-gram; a document without any keeps one row of nulls."""
-    def tagged(n: int) -> Column:
-        return F.transform(
-            tx.ngrams(F.col("_w"), n),
-            lambda g, i: F.struct(F.lit(n).alias("n"), g.alias("ngram"), i.alias("pos")),
+    """One row per n-gram; a document without any keeps one row with a null n-gram.
+
+    Words are zipped with their successors once, so the n-grams of a position are built from
+    plain columns inside generated code.
+    """
+    longest = max(lengths)
+    shifted = [F.slice("_w", i + 1, F.greatest(F.size("_w"), F.lit(1))).alias(f"w{i}") for i in range(longest)]
+    placed = compute_once(docs, _w=tx.words(F.col(text))).select(
+        *keys, F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "_z")
+    )
+
+    def gram(n: int) -> Column:
+        return F.struct(
+            F.lit(n).alias("n"),
+            F.concat(*(x for i in range(n) for x in ([F.lit(" ")] if i else []) + [F.col(f"_z.w{i}")])).alias("ngram"),
         )
 
     return (
-        compute_once(docs, _w=tx.words(F.col(text)))
-        .select(*keys, F.explode_outer(F.concat(*(tagged(n) for n in lengths))).alias("g"))
-        .select(*keys, "g.*")
+        placed.select(*keys, "pos", F.explode(F.array(*(gram(n) for n in lengths))).alias("g"))
+        .select(*keys, "pos", "g.*")
+        .filter(F.col("ngram").isNotNull() | (F.col("pos").isNull() & (F.col("n") == min(lengths))))
     )
 
 

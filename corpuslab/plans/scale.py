@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 MAX_INLINE_ROWS = 10_000
+BROADCAST_BYTES = 64 << 20
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
@@ -143,6 +144,12 @@ def running(
     )
 
 
+def fits_broadcast(dim: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
+    """Whether a table measures below the broadcast budget; counting stops at the bound."""
+    most = budget // row_bytes
+    return dim.limit(most + 1).count() <= most
+
+
 def spread_join(
     facts: DataFrame,
     dim: DataFrame,
