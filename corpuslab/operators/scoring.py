@@ -11,6 +11,7 @@ from corpuslab.functions.vectors import cosine, doubles, first_max
 from corpuslab.operators.corpus import decode_label
 from corpuslab.operators.embeddings import mean_pool
 from corpuslab.operators.features import KINDS, PROFILE_LIMITS
+from corpuslab.plans.scale import compute_once
 
 # The open interval that means a mixed document.
 MIXED_BAND = (0.33, 0.67)
@@ -98,21 +99,26 @@ def similarity_first_chunk(
 ) -> DataFrame:
     """Predict the label whose list of chunk scores is lexicographically greatest.
 
-    chunks: (key, chunk_pos, vec). A document's list has one small entry per chunk.
+    chunks: (key, chunk_pos, vec). Lists are never gathered: of two labels the greater list
+    is decided at the first chunk where they differ, a minimum that combines before the
+    shuffle, so a document of any number of chunks is spread over tasks.
     """
     scored = label_similarity(chunks, [key, "chunk_pos"], labels)
-    listed = scored.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("chunk_pos", "scores"))).alias("by_chunk")
-    )
-    ranked = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)),
-        lambda j: F.struct(
-            F.transform("by_chunk", lambda c: F.round(F.element_at(c["scores"], j + 1), SCORE_DIGITS)).alias("list"),
-            (-j).alias("neg"),
-        ),
+    rounded = F.transform("scores", lambda s: F.round(s, SCORE_DIGITS))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    duel = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))
+    met = (
+        compute_once(scored, _s=rounded)
+        .select(key, "chunk_pos", "_s", duel.alias("d"))
+        .withColumn("gap", F.signum(F.get("_s", F.col("d.i")) - F.get("_s", F.col("d.j"))))
+        .groupBy(key, "d")
+        # null positions are ignored, so only chunks where the two differ are compared
+        .agg(F.min_by("gap", F.when(F.col("gap") != 0, F.col("chunk_pos"))).alias("won"))
     )
-    return listed.withColumn("_best", F.array_max(ranked)).select(
-        key, decode_label(-F.col("_best.neg"), names).alias("yhat")
+    loser = F.when(F.col("won") < 0, F.col("d.i")).otherwise(F.col("d.j"))  # equal lists: the later label
+    left = F.array_except(F.lit(list(range(len(names)))), F.collect_set(loser))
+    return met.groupBy(key).agg(left.alias("_left")).select(
+        key, decode_label(F.element_at("_left", 1), names).alias("yhat")
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.plans.scale import global_rank
+from corpuslab.plans.scale import global_rank, measured
 
 HASH_BUCKET_DIGITS = 3  # 16**3 buckets per stratum
 
@@ -32,7 +32,7 @@ def _cut_points(rows: DataFrame, strata: Sequence[str], key: str, take: Column,
     )
     in_bucket = Window.partitionBy(*strata).orderBy("_h", key)
     return (
-        rows.join(F.broadcast(located), [*strata, "_bucket"])
+        rows.join(measured(located), [*strata, "_bucket"])
         .withColumn("_rn", F.row_number().over(in_bucket))
         .filter(F.col("_rn") == F.col("_left"))
         .select(*strata, F.struct("_h", key).alias(name))
@@ -53,7 +53,7 @@ def hash_split(
     out, role = rows, F.lit(rest)
     for i, (_, take) in enumerate(cuts):
         points = _cut_points(slim, strata, key, take, f"_cut{i}")
-        out = out.join(F.broadcast(points), list(strata), "left")
+        out = out.join(measured(points), list(strata), "left")
     for i, (name, _) in reversed(list(enumerate(cuts))):
         inside = F.struct(F.col("_h"), F.col(key)) <= F.col(f"_cut{i}")
         role = F.when(F.coalesce(inside, F.lit(False)), F.lit(name)).otherwise(role)
@@ -88,6 +88,6 @@ def stratified_folds(docs: DataFrame, label: str, seq: str, k: int = 5) -> DataF
     fold = F.when(F.col("_r") < edge, F.floor(F.col("_r") / (small + 1))).otherwise(
         longer + F.floor((F.col("_r") - edge) / F.greatest(small, F.lit(1)))
     )
-    return ranked.join(F.broadcast(sizes), label).withColumn("fold", fold.cast("int")).select(
+    return ranked.join(measured(sizes), label).withColumn("fold", fold.cast("int")).select(
         *docs.columns, "fold"
     )

@@ -150,6 +150,13 @@ def fits_broadcast(dim: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES
     return dim.limit(most + 1).count() <= most
 
 
+def measured(df: DataFrame, limit: int = MAX_INLINE_ROWS) -> DataFrame:
+    """Materialise a table expected to be small and mark it for broadcast only if it counts
+    at most ``limit`` rows; a larger one is joined by shuffle."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= limit else small
+
+
 def spread_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -50,3 +50,13 @@ def test_balance_limits_before_the_shuffle(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_class_profiles_limit_before_the_classes_meet(spark):
+    text = plan(QUERIES["class_profile"](spark, DIR))
+    assert "Partial" in text and "WindowGroupLimit" in text
+
+
+def test_first_chunk_vote_combines_before_the_shuffle(spark):
+    text = plan(QUERIES["cosine_first_chunk"](spark, DIR))
+    assert "partial_min_by" in text
