@@ -40,7 +40,7 @@ def alpha_stop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = st.documents(spark, sf_dir).select("doc_id", tx.words(F.lower("text")).alias("tokens"))
+    docs = st.wide_documents(spark, sf_dir).select("doc_id", tx.words(F.lower("text")).alias("tokens"))
     return lexicon.lemmatise(docs, "doc_id", "tokens", st.lexicon(spark, sf_dir))
 
 

@@ -120,8 +120,11 @@ def annotate_sentences(docs: DataFrame, annotations: DataFrame, key: str, text:
             s.alias("sentence"), F.coalesce(F.try_element_at(F.col("sent_frames"), i), none).alias("frames")
         ),
     )
+    # both sides are placed by document, so the merge join adds no shuffle
+    frames = sentence_frames(annotations, key).hint("merge")
     return (
-        docs.join(sentence_frames(annotations, key), key, "left")
+        docs.repartition(key)
+        .join(frames, key, "left")
         .withColumn("annotated", F.filter(paired, lambda s: F.length(s["sentence"]) > 0))
         .drop("sent_frames")
     )
