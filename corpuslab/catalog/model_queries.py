@@ -76,12 +76,24 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All k and weight choices of the grid from one list of 20 neighbours."""
     names = corpus.label_names(st.documents(spark, sf_dir))
     near = cut_lineage(_neighbours(spark, sf_dir, "tfidf", "euclidean", 20))
-    runs = [
-        neighbors.vote(near, k, w, names).select("test_key", F.lit(k).cast("long").alias("k"), F.lit(w).alias("weights"), "yhat")
-        for k in search.GRIDS["knn"]["n_neighbors"]
-        for w in search.GRIDS["knn"]["weights"]
+    grid = search.GRIDS["knn"]
+    rows = neighbors.vote_grid(near, grid["n_neighbors"], grid["weights"], names)
+    return rows.withColumn("k", F.col("k").cast("long"))
+
+
+def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean fold macro F1 of all 32 grid points on term counts."""
+    names = corpus.label_names(st.documents(spark, sf_dir))
+    folds, terms = _folded(spark, sf_dir)
+    points = search.grid_points(search.GRIDS["knn"])
+    scores = search.fold_scores(neighbors.grid_predictions(terms, folds, "doc_id", names, points), [])
+    described = [
+        F.struct(F.lit(i).alias("point"), *(F.lit(p[n]).alias(n) for n in ("metric", "n_neighbors", "weights")))
+        for i, p in enumerate(points)
     ]
-    return experiments.union_all(runs)
+    return scores.withColumn("p", F.element_at(F.array(*described), F.col("point") + 1)).select(
+        "p.metric", F.col("p.n_neighbors").cast("long").alias("n_neighbors"), "p.weights", F.round("cv_f1", 6).alias("cv_f1")
+    )
 
 
 def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +280,26 @@ near AS MATERIALIZED (SELECT tes.doc_id AS test_key, trs.doc_id AS train_key, tr
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY test_key ORDER BY dist, train_key) AS rank FROM near QUALIFY rank <= {k})"""
 
 
+KNN_GRID = f"""WITH {FOLDS},
+sq AS MATERIALIZED (SELECT t.doc_id, any_value(t.label) AS label, any_value(own) AS own, sum(value) AS s1, sum(value * value) AS s2
+  FROM train t JOIN folds USING (doc_id) GROUP BY t.doc_id),
+ov AS (SELECT a.doc_id AS ka, b.doc_id AS kb, sum(a.value * b.value) AS dotp, sum(least(a.value, b.value)) AS mins
+  FROM train a JOIN train b USING (term) GROUP BY a.doc_id, b.doc_id),
+near AS MATERIALIZED (SELECT x.doc_id AS test_key, x.own, x.label AS y, z.doc_id AS train_key, z.label AS y_train, metric,
+  CASE metric WHEN 'euclidean' THEN round(sqrt(round(greatest(x.s2 + z.s2 - 2.0::DOUBLE * coalesce(dotp, 0), 0), 9)), 9)
+              ELSE round(greatest(x.s1 + z.s1 - 2.0::DOUBLE * coalesce(mins, 0), 0), 9) END AS dist
+  FROM sq x JOIN sq z ON z.own <> x.own CROSS JOIN (VALUES ('euclidean'), ('manhattan')) AS g(metric)
+  LEFT JOIN ov ON ov.ka = x.doc_id AND ov.kb = z.doc_id),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY metric, test_key ORDER BY dist, train_key) AS rank FROM near QUALIFY rank <= 20),
+low AS (SELECT metric, test_key, min(dist) AS lo FROM ranked GROUP BY metric, test_key),
+grid AS (SELECT * FROM (VALUES (1), (2), (4), (8), (12), (15), (17), (20)) AS g(k) CROSS JOIN (VALUES ('uniform'), ('distance')) AS w(weights)),
+sums AS (SELECT metric, test_key, own, y, k, weights, y_train, sum(CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE WHEN lo = 0 THEN (dist = 0)::INT::DOUBLE ELSE 1.0::DOUBLE / dist END) AS s
+  FROM ranked JOIN low USING (metric, test_key) JOIN grid ON rank <= k GROUP BY metric, test_key, own, y, k, weights, y_train),
+answers AS (SELECT metric, k, weights, own, y, y_train AS yhat FROM sums
+  QUALIFY row_number() OVER (PARTITION BY metric, test_key, k, weights ORDER BY round(s, 9) DESC, y_train) = 1)
+SELECT metric, k::BIGINT AS n_neighbors, weights, round(avg(f1), 6) AS cv_f1 FROM ({f1_sql('answers', 'metric, k, weights, own')}) GROUP BY metric, k, weights"""
+
+
 _EUCLID = "round(sqrt(round(greatest(trs.s2 + tes.s2 - 2.0::DOUBLE * coalesce(dotp, 0), 0), 9)), 9)"
 _MANHATTAN = "round(greatest(trs.s1 + tes.s1 - 2.0::DOUBLE * coalesce(mins, 0), 0), 9)"
 _WEIGHTS = "SELECT doc_id, label, term, value FROM weights WHERE role = '{0}'"
@@ -290,6 +322,7 @@ QUERIES = {
     "knn_euclid": knn_euclid,
     "knn_manhattan": knn_manhattan,
     "knn_vote": knn_vote,
+    "knn_grid": knn_grid,
     "contrastive_pairs": contrastive_pairs,
     "linear_svm": linear_svm,
     "mlp": mlp,
@@ -322,6 +355,7 @@ sums AS (SELECT test_key, k, weights, y_train, sum(CASE WHEN weights = 'uniform'
   FROM ranked JOIN low USING (test_key) JOIN grid ON rank <= k GROUP BY test_key, k, weights, y_train)
 SELECT test_key, k::BIGINT AS k, weights, y_train AS yhat FROM sums
 QUALIFY row_number() OVER (PARTITION BY test_key, k, weights ORDER BY round(s, 9) DESC, y_train) = 1""",
+    "knn_grid": KNN_GRID,
     "contrastive_pairs": """
 WITH base AS (SELECT doc_id, quality::VARCHAR AS label, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS place,
   count(*) OVER (PARTITION BY quality) AS size FROM labels),
