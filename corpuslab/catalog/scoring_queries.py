@@ -109,6 +109,21 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.join(banded, "doc_id")
 
 
+def decision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed scores, entailment with the mixed band and votes against the first chunk's class."""
+    first = st.chunk_vectors(spark, sf_dir).filter("chunk_pos = 0")
+    plain = first.select("doc_id", F.col("label").alias("y"))
+    which = (F.col("label").cast("int") % 2).cast("int")
+    hypothesis = first.select("doc_id", corpus.decode_label(which, HYPOTHESES).alias("y"))
+    decisions = {
+        "auto": zero_shot_auto(spark, sf_dir),
+        "manual": zero_shot_manual(spark, sf_dir),
+        "vote": majority_vote(spark, sf_dir).select("doc_id", "yhat"),
+    }
+    report = experiments.decision_report(decisions, {"auto": plain, "manual": hypothesis, "vote": plain}, "doc_id")
+    return report.select("experiment_type", F.round("f1_score", 6).alias("f1_score"), F.round("accuracy", 6).alias("accuracy"))
+
+
 COS = f"""d AS MATERIALIZED ({DIMS}),
 means AS MATERIALIZED (SELECT label, dim, avg(value) AS m FROM d GROUP BY label, dim),
 lens AS (SELECT label, sqrt(sum(m * m)) AS len FROM means GROUP BY label)"""
@@ -153,6 +168,7 @@ QUERIES = {
     "zero_shot_auto": zero_shot_auto,
     "skipped_docs": skipped_docs,
     "majority_vote": majority_vote,
+    "decision_report": decision_report,
 }
 
 ORACLE = {
@@ -169,6 +185,12 @@ SELECT embed_type, round(f1, 6) AS f1_score, round(accuracy, 6) AS accuracy FROM
     "zero_shot_manual": f"WITH {LOGITS} {_decide_sql('totals', MIXED)}",
     "zero_shot_auto": f"WITH {CHUNK_COS}, {_AUTO} {_decide_sql('auto', None)}",
     "skipped_docs": f"WITH {LOGITS} SELECT doc_id * 5 + chunk_pos AS doc_id, label FROM logits WHERE n > c AND n >= e",
+    "decision_report": f"""WITH {CHUNK_COS}, {_VOTES}, {_AUTO}, {LOGITS},
+truth AS (SELECT vec_id // 5 AS doc_id, label::VARCHAR AS y, CASE label % 2 WHEN 0 THEN 'Quantitative' ELSE 'Qualitative' END AS h FROM embeddings WHERE vec_id % 5 = 0),
+decided AS (SELECT 'auto' AS experiment_type, y, yhat FROM ({_decide_sql('auto', None)}) JOIN truth USING (doc_id)
+  UNION ALL SELECT 'manual', h, yhat FROM ({_decide_sql('totals', MIXED)}) JOIN truth USING (doc_id)
+  UNION ALL SELECT 'vote', y, CASE yhat WHEN '0' THEN '{MIXED}' ELSE yhat END FROM ({_decide_sql('votes', None)}) JOIN truth USING (doc_id))
+SELECT experiment_type, round(f1, 6) AS f1_score, round(accuracy, 6) AS accuracy FROM ({f1_sql('decided', 'experiment_type')})""",
     "majority_vote": f"""WITH {CHUNK_COS}, {_VOTES}
 SELECT doc_id, CASE p.yhat WHEN '0' THEN '{MIXED}' ELSE p.yhat END AS yhat, b.yhat AS yhat_band
 FROM ({_decide_sql('votes', None)}) p JOIN ({_decide_sql('votes', MIXED)}) b USING (doc_id)""",

@@ -123,3 +123,13 @@ def similarity_report(chunks: DataFrame, truth: DataFrame, key: str, labels: Col
         scoring.similarity_mean(chunks, key, labels, names).withColumn("embed_type", F.lit("avg")),
     ])
     return score_report(answers.join(truth, key), ["embed_type"])
+
+
+def decision_report(decisions: Mapping[str, DataFrame], truth: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """(experiment_type, f1_score, accuracy) of document decisions (key, yhat); documents
+    without a decision leave the evaluation. truth: (key, y) per experiment."""
+    answers = union_all([
+        decided.join(truth[name], key).select(F.lit(name).alias("experiment_type"), "y", "yhat")
+        for name, decided in decisions.items()
+    ])
+    return score_report(answers, ["experiment_type"])
