@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import quality
-from corpuslab.llm.common import spread, table
+from corpuslab.llm import bpe, mixing, quality, simhash
+from corpuslab.llm.common import spread, table, word_count
+from corpuslab.llm.queries import vocabulary
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,7 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(scored, cutoffs).filter("kept").select(*DOCUMENTS)
 
 
-STAGES = [("quality rules", quality_rules)]
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays."""
+    found = simhash.near_duplicates(spread(docs))
+    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENTS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; those it does not take go."""
+    sized = spread(docs).select("doc_id", "source", word_count("text").alias("size"))
+    mixed = mixing.mix(sized.withColumn("weight", mixing.length_weight(F.col("size"))))
+    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    taken = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*DOCUMENTS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the decoded bytes."""
+    ranks, pattern = vocabulary(), public_tokenizers.PATTERN
+    decoded = bpe.decode(bpe.encode(spread(docs), ranks, pattern), ranks, pattern)
+    return bpe.digests(decoded, keep_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_dedup),
+    ("source mixing", source_mixing),
+    ("byte-level BPE", byte_bpe),
+]
 ORACLE_SQL = None
 
 

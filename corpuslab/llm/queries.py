@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import quality
-from corpuslab.llm.common import spread, table
+from corpuslab.llm import bpe, mixing, quality, simhash
+from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    mixed = mixing.mix(sized.withColumn("weight", mixing.length_weight(F.col("size"))))
+    return mixed.select("doc_id", "source_size", "target", "taken", "size")
+
+
+def vocabulary() -> bytes:
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ranks, pattern = vocabulary(), public_tokenizers.PATTERN
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     stats = cut_lineage(quality.add_statistics(docs).select("doc_id", "lang", "_s"))
@@ -19,7 +38,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(docs).select(
+        "doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op8_simhash": op8_simhash,
+    "op3_byte_bpe": op3_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
