@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, mixing, quality, simhash
+from corpuslab.llm import bpe, mixing, quality, simhash, suffix
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.llm.queries import vocabulary
 
@@ -26,6 +26,13 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENTS)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings go from the texts; every document stays, even if nothing of it is left."""
+    docs = spread(docs)
+    left = suffix.remove_repeats(docs, suffix.repeats(docs), carry=["lang", "source"])
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*DOCUMENTS)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those it does not take go."""
     sized = spread(docs).select("doc_id", "source", word_count("text").alias("size"))
@@ -45,6 +52,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", simhash_dedup),
+    ("suffix-array dedup", suffix_dedup),
     ("source mixing", source_mixing),
     ("byte-level BPE", byte_bpe),
 ]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, mixing, quality, simhash
+from corpuslab.llm import bpe, mixing, quality, simhash, suffix
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
@@ -44,10 +44,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffix.remove_repeats(docs, suffix.repeats(docs)).drop("kept")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op8_simhash": op8_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
