@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, mixing, quality, simhash, suffix
+from corpuslab.llm import archives, bpe, extraction, mixing, quality, simhash, suffix, urls
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
@@ -38,6 +38,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+#: The rules of the URL query (fixed values of its contract).
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return simhash.near_duplicates(docs).select(
@@ -51,6 +72,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
