@@ -42,10 +42,11 @@ from pyspark.sql import window as W
 
 from corpuslab.plans.scale import cut_lineage
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Text bytes that a task joins at a time, positions hashed at a time, bytes of a suffix array.
-CHUNK, STEP, BLOCK = 32 << 20, 1 << 16, 2 << 20
-HOT_SHARE = 1e-5
+CHUNK, STEP, BLOCK = 16 << 20, 1 << 16, 2 << 20
+#: An anchor is dealt string by string beyond this share of all segments, and this many of them.
+HOT_SHARE, HOT_ROWS = 1e-5, 2_000
 _ODD = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _PLACE = np.uint64((1 << 17) - 1)  # a place among the grams of a step
@@ -124,6 +125,16 @@ def _windows(start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarr
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[of], of
 
 
+def _bodies(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of segments."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    out = np.empty(len(start), dtype=np.uint64)
+    for at in range(0, len(start), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = [digest(view[s:e]) for s, e in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
+    return out.view(np.int64)
+
+
 def _joined(anchor, body, doc, start, stop, own, ids):
     """Places of the earliest of equal segments, and the merged spans of the others. Segments are in
     order of their start in the chunk, ``own`` is their start in the document."""
@@ -148,7 +159,6 @@ def _segment_rows(batches, length, hot):
         start, stop, doc, anchor = cut_segments(data, bounds, length)
         if not len(start):
             continue
-        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
         if len(hot):
             place = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
             single = hot[place] == anchor
@@ -158,7 +168,7 @@ def _segment_rows(batches, length, hot):
             doc = np.concatenate((doc[~single], doc[single][of]))
             order = np.argsort(start, kind="stable")
             start, stop, doc, anchor = start[order], stop[order], doc[order], anchor[order]
-        body = np.array([digest(view[s:e]) for s, e in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+        body = _bodies(data, start, stop)
         anchor = np.where(anchor == 0, body, anchor)
         own = start - bounds[doc]
         kept, d, s, e = _joined(anchor, body, doc, start, stop, own, ids)
@@ -179,21 +189,24 @@ def segments(docs: DataFrame, length: int = LENGTH, hot: Iterable[int] = ()) ->
 
 
 def hot_anchors(docs: DataFrame, length: int = LENGTH, share: float = HOT_SHARE) -> list[int]:
-    """Anchors with more than ``share`` of all segments. A task reports those that are frequent in
-    a chunk, after joining equal ones, and the number of its segments; at most 2 / share rows
-    can pass the final filter."""
+    """Anchors with more than ``share`` of all segments, where a chunk's equal segments count once. A
+    chunk reports the anchors that are frequent in it and the number of its segments; at most
+    2 / share rows can pass the final filter."""
 
     def run(batches):
         for _, data, bounds in _chunks(batches):
             start, stop, _, anchor = cut_segments(data, bounds, length)
-            found, counts = np.unique(anchor, return_counts=True)
-            often = counts >= max(4, share * len(anchor) / 2)
+            _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(counts[inverse] >= max(4, share * len(anchor) / 2))
+            different = np.unique(np.stack((anchor[often], _bodies(data, start[often], stop[often])), axis=1), axis=0)
+            found, counts = np.unique(different[:, 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.append(found[often], 0)), pa.array(np.append(counts[often], len(anchor)))], ["anchor", "n"])
+                pa.array(np.append(found, 0)), pa.array(np.append(counts, len(anchor)))], ["anchor", "n"])
 
     counted = cut_lineage(docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
     total = counted.filter("anchor = 0").agg(F.sum("n")).first()[0] or 0
-    return [r.anchor for r in counted.filter((F.col("anchor") != 0) & (F.col("n") > max(16, share * total / 2))).collect()]
+    return [r.anchor for r in counted.filter(
+        (F.col("anchor") != 0) & (F.col("n") > max(HOT_ROWS, share * total / 2))).select("anchor").collect()]
 
 
 class SuffixArray:
@@ -316,10 +329,15 @@ def _edge_bytes(batches):
                 *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["anchor", "doc", "pos", "raw"])
 
 
+def _keyed(docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The texts by id. Both joins on the id read this, so that their shuffle of the texts is one."""
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *carry).filter("doc is not null")
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc, cuts): for each document with a repeated string, the spans to remove as an array of
     positions ``start << 31 | bytes``; they may overlap."""
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("doc is not null")
+    plain = _keyed(docs, key, text)
     found = segments(plain, length, hot_anchors(plain, length))
     equal = W.Window.partitionBy("anchor", "body").orderBy("doc", F.shiftright("pos", 31))
     ranked = found.withColumn("_place", F.dense_rank().over(equal)).withColumn(
@@ -361,7 +379,7 @@ def remove_repeats(
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, spans in zip(*(batch.column(c).to_pylist() for c in ("_text", "cuts")), strict=True):
+            for raw, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts")), strict=True):
                 raw = (raw or "").encode("utf-8")
                 runs = merged(spans, len(raw))
                 edges = [0, *(x for r in runs for x in r), len(raw)]
@@ -370,11 +388,15 @@ def remove_repeats(
                 rows.append((kept.decode("utf-8", "ignore"), len(raw), len(raw) - len(kept), len(runs), digest))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(i) for i in range(len(carry) + 1)),
+                batch.column("doc"), *(batch.column(c) for c in carry),
                 *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *carry, *made])
 
-    rows = docs.select(F.col(key).cast("long").alias("_doc"), F.col(key), *carry, F.col(text).cast("string").alias("_text"))
-    rows = rows.join(cuts.withColumnRenamed("doc", "_doc"), "_doc", "left").select(key, *carry, "_text", "cuts")
-    schema = T.StructType([*(rows.schema[c] for c in (key, *carry)), *(
+    rows = _keyed(docs, key, text, carry).join(cuts, "doc", "left")
+    idless = docs.filter(F.col(key).isNull()).select(
+        F.lit(None).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *carry).withColumn(
+        "cuts", F.lit(None).cast("array<bigint>"))
+    rows = rows.select("doc", "text", *carry, "cuts").unionByName(idless)
+    fields = [rows.schema[c] for c in carry]
+    schema = T.StructType([T.StructField(key, T.LongType()), *fields, *(
         T.StructField(c, T.StringType() if t == pa.string() else T.LongType()) for c, t in zip(made, types, strict=True))])
     return rows.mapInArrow(run, schema)
