@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import archives, bpe, extraction, mixing, quality, simhash, suffix, urls
+from corpuslab.llm import archives, bpe, embeddings, extraction, language, mixing, quality, simhash, suffix, urls
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
@@ -18,6 +18,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source_size", "target", "taken", "size")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def vocabulary() -> bytes:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         return file.read()
@@ -38,6 +42,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = language.train(docs.filter(~language.held_out("doc_id")))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
@@ -72,10 +83,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_language_id": op4_language_id,
     "op5_html_extraction": op5_html_extraction,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
