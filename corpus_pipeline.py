@@ -14,7 +14,7 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.add_statistics(spread(docs))
+    scored = quality.add_statistics(spread(docs.select(*DOCUMENTS)))
     cutoffs = quality.fit_cutoffs(scored, table(spark, sf_dir, "labels"))
     return quality.judge(scored, cutoffs).filter("kept").select(*DOCUMENTS)
 
@@ -38,7 +38,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     sized = spread(docs).select("doc_id", "source", word_count("text").alias("size"))
     mixed = mixing.mix(sized.withColumn("weight", mixing.length_weight(F.col("size"))))
     copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    taken = docs.select(*DOCUMENTS).join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*DOCUMENTS)
 
 

@@ -12,7 +12,7 @@ A stratum with too few good documents to prove any cutoff keeps its documents.
 Defined results: a null or blank text has no words and fails the base rules; a null stratum is
 the stratum ''; labels that are null or of unknown documents are ignored; a document labelled
 twice is good only if no label calls it bad; without labels only the base rules decide.
-Extra columns pass through.
+Extra columns pass through; input columns named _s, base_failed or kept are replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeated windows: hashes of 3-word windows are sorted with their position, neighbours with
     equal hashes are repeated, and the covered words follow from the gaps between positions;
     n log n in the words of one text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    step = compute_once(docs, _words=word_array(text))
+    body = F.coalesce(F.col("_text"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"))
+    step = compute_once(rows, _words=word_array("_text"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     step = compute_once(
         step, _grams=_window_hashes("_words"), _lines=lines, _n=F.size("_words").cast("long"),
@@ -65,7 +66,7 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform("_starts", lambda s, i: F.least(
             F.lit(3), F.coalesce(F.get("_starts", i + 1) - s, F.lit(3)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    return compute_once(step, _s=F.struct(
+    step = compute_once(step, _s=F.struct(
         F.col("_n").alias("n_words"),
         F.col("_chars").alias("word_chars"),
         F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
@@ -74,7 +75,8 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.regexp_count(body, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count(body, F.lit("!")).cast("long").alias("n_exclaims"),
-    )).drop("_n", "_chars", "_lines", "_starts")
+    ))
+    return step.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c != "_s"), "_s")
 
 
 def _window_hashes(words: str) -> Column:
@@ -155,10 +157,14 @@ def fit_cutoffs(
 
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Add base_failed and kept."""
-    rows = scored.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    made = ("base_failed", "kept")
+    rows = scored.select(
+        F.struct(*(F.col(f"`{c}`") for c in scored.columns if c not in made)).alias("_row"),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
     rows = rows.join(
         F.broadcast(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cut"))),
         "_stratum", "left")
-    over = F.exists(F.zip_with(rule_bins(), "_cut", lambda b, c: b >= c), lambda x: F.coalesce(x, F.lit(False)))
-    return rows.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).drop("_stratum", "_cut")
+    over = F.exists(
+        F.zip_with(rule_bins("_row._s"), "_cut", lambda b, c: b >= c), lambda x: F.coalesce(x, F.lit(False)))
+    failed = base_failed("_row._s")
+    return rows.select("_row.*", failed.alias("base_failed"), (~failed & ~F.coalesce(over, F.lit(False))).alias("kept"))

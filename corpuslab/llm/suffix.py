@@ -183,7 +183,7 @@ def _segment_rows(batches, length, hot):
 
 def segments(docs: DataFrame, length: int = LENGTH, hot: Iterable[int] = ()) -> DataFrame:
     """(anchor, body, doc, pos): the earliest of a task's equal segments, by the hash of its bytes; a
-    null body marks a span that repeats something earlier in the task. ``docs`` is (doc, text)."""
+    null body marks a span that repeats something earlier in the task. ``docs`` is (doc, content)."""
     hot = frozenset(hot)
     return docs.mapInArrow(lambda b: _segment_rows(b, length, hot), "anchor long, body long, doc long, pos long")
 
@@ -330,8 +330,9 @@ def _edge_bytes(batches):
 
 
 def _keyed(docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    """The texts by id. Both joins on the id read this, so that their shuffle of the texts is one."""
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *carry).filter("doc is not null")
+    """The texts by id. Both joins on the id read this under the same new names, so that Spark finds
+    their shuffles of the texts equal and makes one."""
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("content"), *carry).filter("doc is not null")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -379,7 +380,7 @@ def remove_repeats(
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts")), strict=True):
+            for raw, spans in zip(*(batch.column(c).to_pylist() for c in ("content", "cuts")), strict=True):
                 raw = (raw or "").encode("utf-8")
                 runs = merged(spans, len(raw))
                 edges = [0, *(x for r in runs for x in r), len(raw)]
@@ -393,9 +394,9 @@ def remove_repeats(
 
     rows = _keyed(docs, key, text, carry).join(cuts, "doc", "left")
     idless = docs.filter(F.col(key).isNull()).select(
-        F.lit(None).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *carry).withColumn(
+        F.lit(None).cast("long").alias("doc"), F.col(text).cast("string").alias("content"), *carry).withColumn(
         "cuts", F.lit(None).cast("array<bigint>"))
-    rows = rows.select("doc", "text", *carry, "cuts").unionByName(idless)
+    rows = rows.select("doc", "content", *carry, "cuts").unionByName(idless)
     fields = [rows.schema[c] for c in carry]
     schema = T.StructType([T.StructField(key, T.LongType()), *fields, *(
         T.StructField(c, T.StringType() if t == pa.string() else T.LongType()) for c, t in zip(made, types, strict=True))])

@@ -6,7 +6,7 @@ width, so the model's size does not grow with the URLs. A rule fits its host and
 the URL's path starts with the rule's; the longest rule wins.
 
 Defined results: a null URL or one without '://' has an empty host and path, no rule, and is
-allowed, as there is nothing to judge; repeated rows are judged alike; extra columns are not read.
+allowed, as there is nothing to judge; repeated rows are judged alike; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -110,8 +110,14 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label") -> Pipeli
     return Pipeline(stages=[hashing, learner]).fit(with_grams(labelled, url))
 
 
+_MADE = {
+    "host", "path", "rule", "score", "verdict", "_grams", "_features", "_p", "_rule", "rawPrediction", "prediction"}
+
+
 def judge(urls: DataFrame, model: PipelineModel, rules: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
-    """Add host, path, rule, score (of being blocked) and verdict."""
+    """Add host, path, rule, score (of being blocked) and verdict; input columns with names that are made
+    here are replaced."""
+    urls = urls.select(*(c for c in urls.columns if c not in _MADE or c == url))
     scored = model.transform(with_grams(urls, url)).withColumn("_rule", fitting_rule(rules))
     score = vector_to_array("_p")[1]
     own = F.when((F.col("host") != "") & (score >= 0.5), F.lit("block")).otherwise(F.lit("allow"))
