@@ -159,27 +159,31 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     marked = rows.mapInArrow(_digests, "id long, digest binary, vector array<double>").withColumn(
         "digest", F.when(F.col("id").isNotNull(), F.col("digest")))
     distinct = cut_lineage(marked.filter("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")))
+        F.min("id").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector")))
+    distinct = distinct.withColumn("rep", F.monotonically_increasing_id())  # of written rows, so it stays the same
     width, tables = plan(distinct.count(), cosine)
     hashed = cut_lineage(distinct.select("rep", "vector", "n").mapInArrow(
         _hashes(tables, width), "rep long, vector array<double>, n long, keys array<int>"))
     dealt = hashed.select("*", F.posexplode("keys").alias("table", "key"))
     sizes = cut_lineage(dealt.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = dealt.join(sizes, ["table", "key"]).withColumn("blocks", blocks).withColumn(
+    placed = dealt.join(sizes, ["table", "key"]).withColumn(
+        "blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["table", "key", "one", "two"]
     placed = placed.select(
         "table", "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
-        "rep", "n", F.col("vector"), "keys")
-    placed = placed.repartition("table", "key", "one", "two").sortWithinPartitions("table", "key", "one", "two", F.size("vector"), "block")
+        "rep", "n", "vector", "keys")
+    placed = placed.repartition(*group).sortWithinPartitions(*group, F.size("vector"), "block")
     found = cut_lineage(placed.mapInArrow(_compare(cosine), "rep long, links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = cut_lineage(distinct.select("digest", "rep", "n").join(counts, "rep", "left").join(
+    linked = cut_lineage(distinct.select("digest", "least", "rep", "n").join(counts, "rep", "left").join(
         groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id")))
+        "digest", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "rep").alias("component")))
+    named = cut_lineage(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = cut_lineage(linked.join(named, "component").select("digest", "n_links", "component_id"))
     out = marked.drop("vector").join(named, "digest", "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"))

@@ -13,7 +13,8 @@ always meet, so no link is lost to reachability; a meeting point holds at most o
 per bit, whatever the bucket's size.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer
-words than a shingle are one shingle; repeated rows are returned once each; a null id gets the
+words than a shingle are one shingle; repeated rows are returned once each, and rows
+that share an id count as linked; a null id gets the
 component of its fingerprint and is never its name unless no id is there (then null).
 """
 
