@@ -24,6 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under numbered column names, which no working column clashes with, and the number of
+    each name."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def word_array(text: str | Column) -> Column:
     """The words of a text; null and blank texts have none."""
     col = F.col(text) if isinstance(text, str) else text

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from corpuslab.llm.common import SPACES, word_array
+from corpuslab.llm.common import SPACES, numbered, word_array
 from corpuslab.plans.scale import compute_once
 
 SYMBOLS = "#*$%&|<>"
@@ -42,7 +42,8 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     equal hashes are repeated, and the covered words follow from the gaps between positions;
     n log n in the words of one text."""
     body = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"))
+    rows, back = numbered(docs.drop("_s"))
+    rows = rows.withColumn("_text", F.col(back[text]))
     step = compute_once(rows, _words=word_array("_text"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     step = compute_once(
@@ -76,7 +77,7 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(body, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count(body, F.lit("!")).cast("long").alias("n_exclaims"),
     ))
-    return step.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c != "_s"), "_s")
+    return step.select(*(F.col(n).alias(c) for c, n in back.items()), "_s")
 
 
 def _window_hashes(words: str) -> Column:
@@ -157,14 +158,14 @@ def fit_cutoffs(
 
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Add base_failed and kept."""
-    made = ("base_failed", "kept")
-    rows = scored.select(
-        F.struct(*(F.col(f"`{c}`") for c in scored.columns if c not in made)).alias("_row"),
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
+    rows, back = numbered(scored.drop("base_failed", "kept"))
+    rows = rows.withColumn("_stratum", F.coalesce(F.col(back[stratum]).cast("string"), F.lit("")))
     rows = rows.join(
         F.broadcast(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cut"))),
         "_stratum", "left")
     over = F.exists(
-        F.zip_with(rule_bins("_row._s"), "_cut", lambda b, c: b >= c), lambda x: F.coalesce(x, F.lit(False)))
-    failed = base_failed("_row._s")
-    return rows.select("_row.*", failed.alias("base_failed"), (~failed & ~F.coalesce(over, F.lit(False))).alias("kept"))
+        F.zip_with(rule_bins(back["_s"]), "_cut", lambda b, c: b >= c), lambda x: F.coalesce(x, F.lit(False)))
+    failed = base_failed(back["_s"])
+    return rows.select(
+        *(F.col(n).alias(c) for c, n in back.items()), failed.alias("base_failed"),
+        (~failed & ~F.coalesce(over, F.lit(False))).alias("kept"))

@@ -54,7 +54,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.archive(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    records = archives.archive(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The rules of the URL query (fixed values of its contract).
@@ -93,4 +94,116 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op1_source_mixing": f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w
+  FROM sized GROUP BY source),
+ladder AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS place,
+    1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER earlier, 0) AS rest,
+    sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others
+  FROM sources
+  WINDOW earlier AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT arg_min(CAST(rest AS DOUBLE) / others, place) FILTER (2.0 * source_size > CAST(rest AS DOUBLE) / others * w) AS level
+  FROM ladder),
+targets AS (
+  SELECT source, source_size,
+    CASE WHEN 2.0 * source_size <= level * w THEN 2.0 * source_size ELSE level * w END AS target
+  FROM sources, level),
+drawn AS (
+  SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+      / (0.25::DOUBLE + 0.75::DOUBLE * CAST(least(size, 200) AS DOUBLE) / 200.0::DOUBLE) AS draw
+  FROM sized),
+summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM drawn),
+chosen AS (
+  SELECT doc_id, size, source_size, target, before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END AS epochs
+  FROM summed JOIN targets ON summed.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, source_size, CAST(target AS DOUBLE) AS target, size,
+  CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0
+    AND before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM chosen""",
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component USING (vec_id) LEFT JOIN links USING (vec_id)""",
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n
+  FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (digest)""",
+    "op9_quality_rules": f"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, coalesce(lang, '') AS stratum, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals, length(t) - length(replace(t, '!', '')) AS n_exclaims
+  FROM w LEFT JOIN covered USING (doc_id)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
+    floor(200 * n_symbols / greatest(word_chars, 1)), floor(200 * n_capitals / greatest(word_chars, 1)),
+    floor(200 * n_exclaims / greatest(word_chars, 1)), floor(200 * n_dup_lines / greatest(n_lines, 1)),
+    floor(200 * n_repeat_words / greatest(n_words, 1))] AS bins FROM s),
+truth AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT stratum, r AS rule, bins[r] AS bin, count(*) FILTER (good > 0) AS good, count(*) FILTER (good <= 0) AS bad
+  FROM b JOIN truth USING (doc_id), (SELECT unnest(range(1, 6)) AS r) WHERE NOT base_failed GROUP BY ALL),
+ladder AS (
+  SELECT stratum, rule, bin, sum(good) OVER (PARTITION BY stratum, rule) AS n,
+    sum(good) OVER down AS x, sum(bad) OVER down AS y FROM counts
+  WINDOW down AS (PARTITION BY stratum, rule ORDER BY bin DESC)),
+groups AS (SELECT stratum, rule, max(n) AS n, 0.05 / count(*) OVER () AS level FROM ladder GROUP BY stratum, rule),
+pmf AS (
+  SELECT stratum, rule, level, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)) AS p
+  FROM (SELECT *, unnest(range(0, CAST(least(n, ceil(n * 0.01)) AS BIGINT) + 1)) AS i FROM groups)),
+cdf AS (SELECT stratum, rule, level, i, sum(p) OVER (PARTITION BY stratum, rule ORDER BY i) AS c FROM pmf),
+allowed AS (SELECT stratum, rule, max(i) AS k FROM cdf WHERE c <= level GROUP BY stratum, rule),
+cutoffs AS (
+  SELECT stratum, rule, max((y - 10 * x, bin)) AS best FROM ladder JOIN allowed USING (stratum, rule)
+  WHERE x <= k AND bin > 0 AND y - 10 * x > 0 GROUP BY stratum, rule),
+over_cut AS (
+  SELECT DISTINCT doc_id FROM b JOIN cutoffs USING (stratum) WHERE bins[rule] >= struct_extract(best, 2))
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND over_cut.doc_id IS NULL AS kept
+FROM b LEFT JOIN over_cut USING (doc_id)""",
+}

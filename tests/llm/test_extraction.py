@@ -1,0 +1,59 @@
+"""Main text of pages with known content."""
+
+from corpuslab.llm.extraction import extract, main_text, text_blocks
+
+HEAD = '<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>'
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><header><p>Site header text, long enough.</p></header>'
+EXTRA = (
+    '<div class="ad">Buy this now, it is cheap. Really, very cheap.</div><aside><p>Sidebar text with words. And more.</p></aside>'
+    '<div id="cookie-notice"><p>We use cookies, as everybody does.</p></div><form><p>Sign up here, please.</p><input name=a></form>')
+COMMENTS = '<section class="comments"><p>First reader comment, with a long text. It goes on.</p><article class="comment"><p>Another.</p></article></section>'
+FOOT = "<footer><p>&copy; host &middot; All rights reserved, of course.</p></footer></body></html>"
+
+
+def page(body):
+    return HEAD + MENU + EXTRA + body + COMMENTS + FOOT
+
+
+def test_article():
+    body = (
+        "<article><h1>The  title</h1><p>First &lt;b&gt; paragraph,\n with <b>bold</b> and <a href=x>a link</a>.</p><p>B.</p>"
+        "<ul><li>One thing<li>Another &amp; last</ul><blockquote>Quoted&nbsp;words.</blockquote><p>Last, but long enough to count.</p></article>")
+    assert main_text(page(body)) == (
+        "The title\nFirst <b> paragraph, with bold and a link.\nB.\nOne thing\nAnother & last\nQuoted words.\nLast, but long enough to count.")
+
+
+def test_no_article_element():
+    body = '<div id="content"><div><h1>Heading</h1><p>Some paragraph with text, commas, and more.</p><p>Short.</p><p>A third paragraph, again with text.</p></div></div>'
+    assert main_text(page(body)) == "Heading\nSome paragraph with text, commas, and more.\nShort.\nA third paragraph, again with text."
+
+
+def test_broken_markup():
+    body = "<article><h1>X</h1><p><b>X unclosed bold.<br><p>Next one, with text.<p>Third &unknown; &#65; 3 < 4"
+    assert main_text(HEAD + MENU + body) == "X\nX unclosed bold.\nNext one, with text.\nThird &unknown; A 3 < 4"
+    assert main_text("<div class=ad>never closed <article><p>Text of the article.</p></article>") == "Text of the article."
+    assert main_text("<p>a<!-- hidden <p> --> b") == "a b"
+    assert main_text("plain text, no tags") == "plain text, no tags"
+
+
+def test_hidden_and_raw_elements():
+    body = '<main><p style="display: none">No.</p><p hidden>No.</p><p>Yes, this one.</p><textarea>no</textarea><p>Yes 2, also this.</p><script>if (a < b) "x"</script></main>'
+    assert main_text(body) == "Yes, this one.\nYes 2, also this."
+
+
+def test_paths():
+    found = text_blocks("<body><div><p>a<p>b <a href=x>c</a></div></body>")
+    assert found == [(("body", "div", "p"), "a", 0), (("body", "div", "p"), "b c", 1)]
+
+
+def test_frames(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i}, of a long page.</p>" for i in range(20_000)) + "</article>"
+    pages = spark.createDataFrame(
+        [(1, None, "u", "old"), (2, "", "u", "x"), (3, "<nav>only a menu</nav>", None, "x"), (None, "<p>é日</p>", "v", "x"), (4, long, "w", "x"), (2, "", "u", "x")],
+        "page_id long, html string, url string, text string")
+    out = extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = {r.page_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got[1] == got[2] == got[3] == ("", 0) and got[None] == ("é日", 2)
+    assert got[4][0].count("\n") == 19_999
+    assert out.count() == 6 and extract(pages.limit(0)).count() == 0
