@@ -44,9 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the decoded bytes."""
-    ranks, pattern = vocabulary(), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(spread(docs), ranks, pattern), ranks, pattern)
-    return bpe.digests(decoded, keep_ids=True)
+    return bpe.digests(bpe.round_trip(spread(docs), vocabulary(), public_tokenizers.PATTERN), keep_ids=True)
 
 
 STAGES = [

@@ -55,7 +55,7 @@ def _row_in_task() -> Column:
 
 def _write(lines: DataFrame, folder: str, separator: str) -> None:
     lines.write.option("lineSep", separator).option("compression", "gzip").option(
-        "zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE).text(folder)
+        "maxRecordsPerFile", PER_FILE).text(folder)
 
 
 def _version_block(version: int) -> str:

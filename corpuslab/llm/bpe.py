@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.common import slices
+
 #: Words whose ids a worker keeps; longer words than KEEP_BYTES are never kept.
-CACHE, KEEP_BYTES = 400_000, 64
+CACHE, KEEP_BYTES = 300_000, 64
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -121,14 +123,12 @@ def codec_of(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(vocabulary), pattern)
 
 
-def encode(
-    docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text",
-) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): token ids of every whole text as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [codec.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
@@ -141,7 +141,7 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [codec.decode(i.as_py() or b"") for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["key", "ids", "bytes"])
 
@@ -149,6 +149,21 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_
     return rows.mapInArrow(run, "key long, ids binary, bytes binary").withColumnRenamed("key", key)
 
 
+def round_trip(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, bytes): encoded, and decoded from the ids, by one worker with one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(vocabulary, pattern)
+        for batch in slices(batches):
+            ids = [codec.encode(t.as_py() or "") for t in batch.column(1)]
+            raw = [codec.decode(i) for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], ["key", "ids", "bytes"])
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "key long, ids binary, bytes binary").withColumnRenamed("key", key)
+
+
 def digests(decoded: DataFrame, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
     return decoded.select(

@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.common import slices
 from corpuslab.plans.scale import cut_lineage
 
 GRAM = 5
@@ -132,7 +133,7 @@ def train(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held: dict[str, list[np.ndarray]] = {}
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(np.unique(grams(body)) if _LETTER.search(body) else np.empty(0, np.uint64))
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: GramFilter, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [fitted.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

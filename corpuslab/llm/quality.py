@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from corpuslab.llm.common import SPACES, numbered, word_array
-from corpuslab.plans.scale import compute_once
+from corpuslab.plans.scale import compute_once, cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "capitals", "exclaims", "dup_lines", "repeats")
@@ -134,10 +134,10 @@ def fit_cutoffs(
     held = scored.filter(~base_failed()).select(
         key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), rule_bins().alias("_bins"))
     held = held.join(truth, key)
-    counts = held.select("stratum", "_good", F.posexplode("_bins").alias("rule", "bin")).groupBy(
-        "stratum", "rule", "bin").agg(
+    counts = cut_lineage(held.select("stratum", "_good", F.posexplode("_bins").alias("rule", "bin")).groupBy(
+        "stratum", "rule", "bin").agg(  # a row per grid value, read several times below
         F.sum(F.when(F.col("_good") > 0, 1).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("_good") > 0, 0).otherwise(1)).alias("bad"))
+        F.sum(F.when(F.col("_good") > 0, 0).otherwise(1)).alias("bad")))
     total = W.Window.partitionBy("stratum", "rule")
     down = total.orderBy(F.desc("bin")).rowsBetween(W.Window.unboundedPreceding, 0)
     ladder = counts.select(

@@ -29,8 +29,7 @@ def vocabulary() -> bytes:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ranks, pattern = vocabulary(), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern))
+    return bpe.digests(bpe.round_trip(docs, vocabulary(), public_tokenizers.PATTERN))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import connected_components
+from corpuslab.llm.common import connected_components, slices
 from corpuslab.plans.scale import cut_lineage
 
 BITS = 64
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """(key, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             marks = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["key", "fp"])
 

@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from corpuslab.llm.common import slices
 from corpuslab.plans.scale import cut_lineage
 
 LENGTH, GRAM = 100, 24
 #: Text bytes that a task joins at a time, positions hashed at a time, bytes of a suffix array.
-CHUNK, STEP, BLOCK = 16 << 20, 1 << 16, 2 << 20
+CHUNK, STEP, BLOCK = 8 << 20, 1 << 16, 1 << 19
 #: An anchor is dealt string by string beyond this share of all segments, and this many of them.
 HOT_SHARE, HOT_ROWS = 1e-5, 2_000
 _ODD = [np.uint64(x) for x in (
@@ -96,7 +97,7 @@ def cut_segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) ->
 def _chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, data, bounds) of about ``limit`` bytes of texts each, in id order."""
     rows, held = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             raw = text.as_py()
             if raw is None or not key.is_valid:
@@ -302,7 +303,7 @@ def _edge_rows(batches, length):
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start << 31 | (end - start))], ["doc", "pos"])
 
     rows, held, last = [], 0, None
-    for batch in batches:
+    for batch in slices(batches, 4096):
         for anchor, doc, pos, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if anchor != last and held >= BLOCK:
                 yield spans(rows)
@@ -316,7 +317,7 @@ def _edge_rows(batches, length):
 
 def _edge_bytes(batches):
     """The bytes of the named segments of each document."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode("utf-8")
@@ -378,7 +379,7 @@ def remove_repeats(
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for raw, spans in zip(*(batch.column(c).to_pylist() for c in ("content", "cuts")), strict=True):
                 raw = (raw or "").encode("utf-8")

@@ -79,15 +79,18 @@ def fitting_rule(rules: Sequence[tuple[str, str]], host_col: str = "host", path_
     return found
 
 
+def _grams_of_size(edged: Column, mark: str, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(edged) - n + 1, F.lit(1)))
+    return F.when(F.length(edged) >= n, F.transform(
+        starts, lambda i: F.concat(F.lit(mark), F.substr(edged, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(parts: Column, mark: str) -> Column:
     """Character n-grams of every part, with its edges marked."""
 
     def of(part: Column) -> Column:
         edged = F.concat(F.lit("^"), part, F.lit("$"))
-        return F.concat(*(F.when(F.length(edged) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(edged) - n + 1, F.lit(1))),
-            lambda i, n=n: F.concat(F.lit(mark), F.substr(edged, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-            for n in SIZES))
+        return F.concat(*(_grams_of_size(edged, mark, n) for n in SIZES))
 
     return F.flatten(F.transform(parts, of))
 

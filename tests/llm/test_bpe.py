@@ -26,6 +26,8 @@ def library():
 def test_ids_and_round_trip(spark, library):
     docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(TEXTS)] + [(1, "", b"y")], "doc_id long, text string, ids binary")
     decoded = bpe.decode(bpe.encode(docs, vocabulary(), public_tokenizers.PATTERN), vocabulary(), public_tokenizers.PATTERN)
+    once = bpe.round_trip(docs, vocabulary(), public_tokenizers.PATTERN)
+    assert sorted(map(tuple, bpe.digests(once).collect())) == sorted(map(tuple, bpe.digests(decoded).collect()))
     for r in bpe.digests(decoded, keep_ids=True).collect():
         raw = (TEXTS[r.doc_id] or "").encode()
         ids = library.encode_ordinary(TEXTS[r.doc_id] or "")
