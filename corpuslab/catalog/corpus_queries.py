@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.text_queries import WORDS
 from corpuslab.functions import text as tx
-from corpuslab.operators import chunks, corpus, lexicon
-from corpuslab.plans.scale import global_rank
+from corpuslab.operators import chunks, corpus
 
 LABEL_MAP = {"en": "English", "fr": "French"}
 
@@ -19,8 +18,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = st.documents(spark, sf_dir).select("label", "doc_id")
-    return global_rank(docs, ["doc_id"], within=["label"], name="at")
+    return corpus.keys_by_class(st.documents(spark, sf_dir), "doc_id", "label", "doc_id")
 
 
 def balance_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +45,8 @@ def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = corpus.assemble(st.sectioned(spark, sf_dir), "doc_id", "label", "title")
+    done = corpus.assemble(
+        st.sectioned(spark, sf_dir), "doc_id", "label", "title", st.lexicon(spark, sf_dir), st.NOISE_WORDS)
     return done.select("id", "title", "abstract", "full_text", F.array_join("section_names", "|").alias("names"), "label")
 
 
@@ -74,11 +73,7 @@ def views(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
 
 
 def corpus_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [v.withColumn("data_type", F.lit(k)) for k, v in views(spark, sf_dir).items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return corpus.view_rows(st.prepared(spark, sf_dir), "doc_id", keywords=st.SECTION_KEYWORDS)
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +81,9 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_text_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class descriptions (the balanced documents of each class) through the normaliser."""
+    """Class descriptions (the balanced documents of each class) through the whole preparation."""
     chosen = corpus.first_per_class(st.documents(spark, sf_dir), "label", "doc_id", 19)
-    tokens = chosen.select("doc_id", tx.words(tx.normalise(F.col("text"))).alias("tokens"))
-    done = lexicon.lemmatise(tokens, "doc_id", "tokens", st.lexicon(spark, sf_dir))
+    done = corpus.prepare_text(chosen, "doc_id", "text", st.lexicon(spark, sf_dir), st.NOISE_WORDS)
     return done.join(chosen.select("doc_id", "label"), "doc_id").select("doc_id", "label", "text")
 
 
@@ -144,6 +138,11 @@ views AS (
   UNION ALL SELECT doc_id, label, 'sec-name', array_to_string(names, ' ') FROM prep
   UNION ALL SELECT doc_id, label, 'sec-text', important_text FROM prep JOIN imp USING (doc_id))"""
 
+STOPPED = ", ".join(f"'{w}'" for w in st.NOISE_WORDS)
+PREPARED = (
+    "array_to_string(list_transform(list_filter(" + WORDS + f", lambda w: w NOT IN ({STOPPED}) AND regexp_full_match(w, '\\p{{{{L}}}}+')"
+    " AND length(w) % 5 > 1), lambda w: regexp_replace(w, 's$', '')), ' ')")
+
 QUERIES = {
     "class_counts": class_counts,
     "keys_by_class": keys_by_class,
@@ -172,15 +171,15 @@ SELECT md5(text) AS doi, min(doc_id) AS seq, max(doc_id) AS file_name, max_by(so
        max_by(lang, doc_id) AS label FROM documents GROUP BY md5(text)""",
     "label_index": "SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS idx, lang AS label FROM documents",
     "label_remap": "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS label FROM documents",
-    "section_flatten": f"WITH {PREP} SELECT doc_id AS id, title, abstract, full_text, array_to_string(names, '|') AS names, label FROM prep",
+    "section_flatten": f"""WITH {PREP} SELECT doc_id AS id, title, abstract, {PREPARED.format('full_text')} AS full_text,
+  array_to_string(names, '|') AS names, label FROM prep""",
     "sections_explode": f"WITH {PREP} SELECT doc_id, pos, name, text FROM texts",
     "imp_sections_multi": f"WITH {PREP} {IMPORTANT.format(MULTI)}",
     "imp_sections_once": f"WITH {PREP} {IMPORTANT.format(ONCE)}",
     "corpus_views": f"WITH {PREP}, {VIEWS} SELECT doc_id, label, data_type, text FROM views",
     "titles": "SELECT doc_id, source AS title FROM documents",
     "label_text_prepare": f"""
-SELECT doc_id, lang AS label, array_to_string(list_transform(list_filter({WORDS.format(CLEAN.format('text'))},
-  lambda w: length(w) % 5 > 1), lambda w: regexp_replace(w, 's$', '')), ' ') AS text
+SELECT doc_id, lang AS label, {PREPARED.format(CLEAN.format('text'))} AS text
 FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 19""",
     "frame_align": f"""
 SELECT doc_id, pos - 1 AS sec_pos, name, frames FROM (

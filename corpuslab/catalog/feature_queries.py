@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
-from corpuslab.catalog.corpus_queries import PREP, VIEWS, views
+from corpuslab.catalog.corpus_queries import PREP, VIEWS
 from corpuslab.catalog.text_queries import WORDS
 from corpuslab.operators import corpus, embeddings, experiments, features, scoring, splits
-from corpuslab.plans.scale import bounded_rows
+from corpuslab.plans.scale import global_rank
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,9 @@ def dict_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = st.documents(spark, sf_dir)
     names = corpus.label_names(docs)
-    answers = experiments.dictionary_predictions(
-        views(spark, sf_dir), "doc_id", _class_profiles(spark, sf_dir), names
-    )
+    prepared = st.prepared(spark, sf_dir, placed=True)
+    views = corpus.view_rows(prepared, "doc_id", keywords=st.SECTION_KEYWORDS)
+    answers = experiments.dictionary_predictions(views, "doc_id", _class_profiles(spark, sf_dir), names, placed=True)
     report = experiments.score_report(answers, ["model_type", "data_type"])
     return report.select("model_type", "data_type", F.round("f1_score", 6).alias("f1_score"), F.round("accuracy", 6).alias("accuracy"))
 
@@ -96,8 +96,9 @@ def _long(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 
 
 def mean_word_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = st.top_words(spark, sf_dir, 500)  # a top-k table, ranked in one place
-    ranked = top.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "word")) - 1).cast("long"))
+    """Every vector is the vector of a word: the words by falling document count, ties by word."""
+    counts = st.word_rows(spark, sf_dir).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = global_rank(counts.withColumn("_fall", -F.col("df")), ["_fall", "word"], name="vec_id")
     vectors = st.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     known = ranked.join(vectors, "vec_id").select("word", "vec")
     return _long(embeddings.mean_word_vectors(_lowered(spark, sf_dir), "doc_id", "text", known, 64), "doc_id")
@@ -132,9 +133,8 @@ def mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(node_embeddings(spark, sf_dir), "id")
 
 
-def category_names(spark: SparkSession, sf_dir: str) -> list:
-    values = embeddings.category_values(st.item_metadata(spark, sf_dir), ["publisher", "type"], ["subject"])
-    return sorted(r.value for r in bounded_rows(values))
+def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.category_index(category_dictionary(spark, sf_dir))
 
 
 def category_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +142,9 @@ def category_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = category_names(spark, sf_dir)
-    rows = embeddings.multi_hot(st.item_metadata(spark, sf_dir), "id", ["publisher", "type"], ["subject"], names)
-    ones = rows.select("id", F.posexplode("cat").alias("idx", "on")).filter("on = 1")
-    return ones.select("id", F.col("idx").cast("long").alias("idx"))
+    rows = embeddings.multi_hot(
+        st.item_metadata(spark, sf_dir), "id", ["publisher", "type"], ["subject"], category_index(spark, sf_dir))
+    return rows.select("id", F.explode("cat").alias("idx"))
 
 
 def strat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +278,7 @@ ORACLE = {
     "mean_word_vector": f"""
 WITH words AS MATERIALIZED (SELECT doc_id, unnest({WORDS.format('lower(text)')}) AS word FROM documents),
 top AS (SELECT word, row_number() OVER (ORDER BY df DESC, word) - 1 AS vec_id FROM (
-  SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word) QUALIFY vec_id < 500),
+  SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word)),
 n AS (SELECT doc_id, vec_id, count(*)::DOUBLE AS n FROM words JOIN top USING (word) GROUP BY doc_id, vec_id),
 d AS ({DIMS}),
 m AS (SELECT n.doc_id, dim, sum(n * value) / sum(n) AS value FROM n JOIN d USING (vec_id) GROUP BY n.doc_id, dim)

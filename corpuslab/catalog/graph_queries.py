@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import PREP
-from corpuslab.catalog.feature_queries import MEAN_FEATURES, category_names, node_embeddings
+from corpuslab.catalog.feature_queries import MEAN_FEATURES, category_index, node_embeddings
 from corpuslab.operators import corpus, embeddings, graph, learners, splits
 from corpuslab.plans.scale import cut_lineage
 
@@ -15,7 +15,7 @@ RANK_ROUNDS = 10
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = graph.build_graph(st.citations(spark, sf_dir), st.item_metadata(spark, sf_dir), "id", {}, {})
+    nodes, edges = graph.build_graph(st.citations(spark, sf_dir), st.item_metadata(spark, sf_dir), "id")
     edges = cut_lineage(edges)
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges
 
@@ -50,7 +50,7 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mean_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph.mean_path(*_graph(spark, sf_dir))
-    return rows.select("id", F.round("mean_path", 9).alias("mean_path"), "truncated")
+    return rows.select("id", F.round("mean_path", 9).alias("mean_path"))
 
 
 def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +69,29 @@ def neighbor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round("avg", 6).alias("avg"), "min", "max")
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Feature rows and the width of the category part."""
     nodes, edges = _graph(spark, sf_dir)
     struc = graph.structure(
         graph.degrees(nodes, edges), graph.mean_path(nodes, edges), graph.clustering(nodes, edges),
         graph.pagerank(nodes, edges, rounds=RANK_ROUNDS),
     )
     meta = st.item_metadata(spark, sf_dir)
-    cat = embeddings.multi_hot(meta, "id", ["publisher", "type"], ["subject"], category_names(spark, sf_dir))
-    return graph.node_features(struc, cat, node_embeddings(spark, sf_dir))
+    index = cut_lineage(category_index(spark, sf_dir))
+    cat = embeddings.multi_hot(meta, "id", ["publisher", "type"], ["subject"], index)
+    return graph.node_features(struc, cat, node_embeddings(spark, sf_dir)), index.count()
 
 
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows by group: width and rounded sum of every selection."""
-    rows = cut_lineage(_features(spark, sf_dir))
+    rows, n_cat = _features(spark, sf_dir)
     picked = F.array(*(
-        F.struct(F.lit(g).alias("feat_type"), embeddings.node_vector(g).alias("v")) for g in embeddings.FEATURE_GROUPS
+        F.struct(F.lit(g).alias("feat_type"), embeddings.node_vector(g, 5, n_cat, 64).alias("v"))
+        for g in embeddings.FEATURE_GROUPS
     ))
-    total = F.aggregate("g.v", F.lit(0.0), lambda s, x: s + x)
-    return rows.select("id", F.explode(picked).alias("g")).select(
-        "id", "g.feat_type", F.size("g.v").cast("long").alias("width"), (F.round(total, 4) + 0.0).alias("total")
+    total = F.aggregate("g.v.values", F.lit(0.0), lambda s, x: s + x)
+    return cut_lineage(rows).select("id", F.explode(picked).alias("g")).select(
+        "id", "g.feat_type", F.col("g.v.size").cast("long").alias("width"), (F.round(total, 4) + 0.0).alias("total")
     )
 
 
@@ -125,7 +128,7 @@ def khop_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item type from neighbourhood means through the logistic head."""
     nodes, edges = _graph(spark, sf_dir)
-    vectors = graph.neighbour_means(nodes, edges, node_embeddings(spark, sf_dir))
+    vectors = graph.neighbour_means(nodes, edges, node_embeddings(spark, sf_dir), rounds=2)
     meta = st.item_metadata(spark, sf_dir).select("id", F.col("type").alias("label"))
     names = corpus.label_names(meta)
     rows = learners.as_features(
@@ -133,7 +136,7 @@ def node_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     roles = cut_lineage(splits.stratified_splits(rows, "id", "label", 1))
     return learners.fit_predict(
-        learners.linear_head(max_iter=10), roles.filter("role = 'train'"), roles.filter("role = 'test'"), "id"
+        learners.linear_head(max_iter=100), roles.filter("role = 'train'"), roles.filter("role = 'test'"), "id"
     )
 
 
@@ -198,7 +201,7 @@ ORACLE = {
     "edge_build": f"WITH {EDGES} SELECT src, dst FROM e",
     "node_attributes": f"WITH {EDGES} SELECT id, p_brand AS publisher, p_type AS type, replace(p_name, ' ', '|') AS subject FROM n JOIN part ON p_partkey = id",
     "degrees": f"WITH {EDGES}, {DEGREES} SELECT id, round(i::DOUBLE / total, 9) AS in_degree, round(o::DOUBLE / total, 9) AS out_degree FROM deg",
-    "mean_path": f"WITH RECURSIVE {EDGES}, {PATHS} SELECT id, round(mean_path, 9) AS mean_path, false AS truncated FROM paths",
+    "mean_path": f"WITH RECURSIVE {EDGES}, {PATHS} SELECT id, round(mean_path, 9) AS mean_path FROM paths",
     "clustering": f"WITH {EDGES}, {CLUSTER} SELECT id, round(clustering, 9) AS clustering FROM clus",
     "pagerank": f"WITH {EDGES}, {RANKS} SELECT id, round(r, 9) AS pagerank FROM r{RANK_ROUNDS}",
     "neighbor_stats": f"WITH {EDGES} SELECT src AS id, round(avg(p_retailprice), 6) AS avg, min(p_retailprice) AS min, max(p_retailprice) AS max FROM e JOIN part ON p_partkey = dst GROUP BY src",

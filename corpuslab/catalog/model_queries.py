@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
+from corpuslab.catalog.corpus_queries import PREP, VIEWS, views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
 from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, search, splits
 from corpuslab.plans.scale import cut_lineage, global_rank
@@ -48,16 +49,16 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bayes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five splits with an inner grid search on the whole texts, for both feature kinds."""
-    docs = st.documents(spark, sf_dir)
-    names = corpus.label_names(docs)
-    return experiments.bayes_report({"full_text": docs.select("doc_id", "text", "label")}, "doc_id", names)
+    """Five splits with an inner grid search on the four text views, for both feature kinds."""
+    names = corpus.label_names(st.documents(spark, sf_dir))
+    return experiments.bayes_report(views(spark, sf_dir), "doc_id", names)
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, kind: str, metric: str, k: int) -> DataFrame:
     train, test = st.first_split(spark, sf_dir)
     train_terms, test_terms = features.fit_features(train, test, "doc_id", "text", kind, ["label"])
-    return neighbors.nearest_neighbours(train_terms, test_terms.drop("label"), "doc_id", k, metric)
+    return neighbors.nearest_neighbours(
+        train.select("doc_id", "label"), train_terms, test.select("doc_id"), test_terms, "doc_id", k, metric)
 
 
 def knn_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,25 +117,23 @@ def linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = docs.withColumn("label", corpus.encode_label(F.col("label"), names).cast("double"))
     rows = learners.hashed_terms(coded, "text").select("doc_id", "label", "features")
     roles = cut_lineage(splits.stratified_splits(rows, "doc_id", "label", 1))
-    model = learners.linear_svm(c=10.0, max_iter=5)
+    model = learners.linear_svm(c=10.0, max_iter=100)
     return learners.fit_predict(model, roles.filter("role = 'train'"), roles.filter("role = 'test'"), "doc_id")
 
 
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _vectors(spark, sf_dir)
-    return learners.fit_predict(learners.feed_forward(64, 10, hidden=64, max_iter=20), train, test, "vec_id")
+    return learners.fit_predict(learners.feed_forward(64, 10, hidden=1024, max_iter=100), train, test, "vec_id")
 
 
 def logreg_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _vectors(spark, sf_dir)
-    return learners.fit_predict(learners.linear_head(max_iter=20), train, test, "vec_id")
+    return learners.fit_predict(learners.linear_head(max_iter=100), train, test, "vec_id")
 
 
 def word2vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = st.documents(spark, sf_dir)
-    return learners.document_word2vec(docs, "doc_id", "text", size=32, epochs=1).select(
-        "doc_id", F.size("vec").alias("width"), F.element_at("vec", 1).alias("first")
-    )
+    return learners.document_word2vec(docs, "doc_id", "text")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,22 +256,34 @@ x AS (SELECT kind * 100 + split * 10 + own AS fold, feat.doc_id, feat.label, ter
   UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label, term, value FROM feat WHERE role = 'test'),
 xd AS (SELECT kind * 100 + split * 10 + own AS fold, doc_id, label FROM folds CROSS JOIN kinds
   UNION ALL SELECT kind * 100 + split * 10 + 9, doc_id, label FROM sp CROSS JOIN kinds WHERE role = 'test')"""
-BAYES_REPORT = f"""WITH {ALL_MODELS}, {bayes_sql('m', 'td', 'x', 'xd')},
+VIEW_BAG = """SELECT doc_id, label, term, count(*)::DOUBLE AS value FROM (
+  SELECT doc_id, label, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM views WHERE data_type = '{0}'
+) GROUP BY doc_id, label, term"""
+
+
+def _bayes_report_sql(data_type: str) -> str:
+    models = ALL_MODELS.replace(BAG, VIEW_BAG.format(data_type))
+    return f"""WITH {PREP}, {VIEWS}, {models}, {bayes_sql('m', 'td', 'x', 'xd')},
 runs AS MATERIALIZED (SELECT *, fold // 100 AS kind, (fold % 100) // 10 AS split, fold % 10 AS k FROM ({f1_sql('chosen', 'fold, point')})),
 cv AS (SELECT kind, split, point, avg(f1) AS cv_f1 FROM runs WHERE k < 9 GROUP BY kind, split, point),
 best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY kind, split ORDER BY round(cv_f1, 12) DESC, point) = 1),
 tested AS (SELECT runs.* FROM runs JOIN best USING (kind, split, point) WHERE k = 9),
 params AS (SELECT kind, point FROM tested QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(f1, 12) DESC, split) = 1)
-SELECT 'bayes' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS feature_type, 'full_text' AS data_type,
+SELECT 'bayes' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS feature_type, '{data_type}' AS data_type,
   round_even(max(f1), 2) AS best_f1, round_even(avg(f1), 2) AS avg_f1, round_even(max(accuracy), 2) AS best_accuracy, round_even(avg(accuracy), 2) AS avg_accuracy,
   '{{''alpha'': ' || any_value(CASE params.point WHEN 0 THEN '0.1' WHEN 1 THEN '1.0' ELSE '10.0' END) || '}}' AS best_params
 FROM tested JOIN params USING (kind) GROUP BY kind"""
 
 
+BAYES_REPORT = " UNION ALL ".join(f"SELECT * FROM ({_bayes_report_sql(kind)})" for kind in corpus.DATA_TYPES)
+
+
 def knn_sql(weights: str, distance: str, k: int) -> str:
     return f"""{TFIDF}, tr AS ({weights.format('train')}), te AS ({weights.format('test')}),
-trs AS (SELECT doc_id, any_value(label) AS label, sum(value) AS s1, sum(value * value) AS s2 FROM tr GROUP BY doc_id),
-tes AS (SELECT doc_id, sum(value) AS s1, sum(value * value) AS s2 FROM te GROUP BY doc_id),
+trs AS (SELECT sp.doc_id, any_value(sp.label) AS label, coalesce(sum(value), 0) AS s1, coalesce(sum(value * value), 0) AS s2
+  FROM split sp LEFT JOIN tr USING (doc_id) WHERE sp.role = 'train' GROUP BY sp.doc_id),
+tes AS (SELECT sp.doc_id, coalesce(sum(value), 0) AS s1, coalesce(sum(value * value), 0) AS s2
+  FROM split sp LEFT JOIN te USING (doc_id) WHERE sp.role = 'test' GROUP BY sp.doc_id),
 ov AS (SELECT te.doc_id AS test_key, tr.doc_id AS train_key, sum(te.value * tr.value) AS dotp, sum(least(te.value, tr.value)) AS mins
        FROM te JOIN tr USING (term) GROUP BY te.doc_id, tr.doc_id),
 near AS MATERIALIZED (SELECT tes.doc_id AS test_key, trs.doc_id AS train_key, trs.label AS y_train, {distance} AS dist
@@ -281,8 +292,8 @@ ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY test_key ORDER
 
 
 KNN_GRID = f"""WITH {FOLDS},
-sq AS MATERIALIZED (SELECT t.doc_id, any_value(t.label) AS label, any_value(own) AS own, sum(value) AS s1, sum(value * value) AS s2
-  FROM train t JOIN folds USING (doc_id) GROUP BY t.doc_id),
+sq AS MATERIALIZED (SELECT f.doc_id, any_value(f.label) AS label, any_value(own) AS own, coalesce(sum(value), 0) AS s1,
+  coalesce(sum(value * value), 0) AS s2 FROM folds f LEFT JOIN train t ON t.doc_id = f.doc_id GROUP BY f.doc_id),
 ov AS (SELECT a.doc_id AS ka, b.doc_id AS kb, sum(a.value * b.value) AS dotp, sum(least(a.value, b.value)) AS mins
   FROM train a JOIN train b USING (term) GROUP BY a.doc_id, b.doc_id),
 near AS MATERIALIZED (SELECT x.doc_id AS test_key, x.own, x.label AS y, z.doc_id AS train_key, z.label AS y_train, metric,

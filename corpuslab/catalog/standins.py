@@ -27,23 +27,25 @@ def wide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widen_scan(documents(spark, sf_dir))
 
 
-def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sectioned(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """(doc_id, label, title, abstract, sections): the first line is the abstract, each
-    further line a section named by its first word; the title is the source."""
+    further line a section named by its first word; the title is the source. ``placed`` puts
+    documents together by id before they grow."""
     lines = F.split("text", "\n")
     sections = F.transform(
         F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
         lambda s: F.struct(F.regexp_extract(s, r"^[^ ]+", 0).alias("name"), s.alias("text")),
     )
-    docs = widen_scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "lang", "source", "text").repartition("doc_id") if placed else widen_scan(docs)
     return docs.select(
         "doc_id", F.col("lang").alias("label"), F.col("source").alias("title"),
         F.element_at(lines, 1).alias("abstract"), sections.alias("sections"),
     )
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.flatten_sections(sectioned(spark, sf_dir))
+def prepared(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    return corpus.flatten_sections(sectioned(spark, sf_dir, placed))
 
 
 def first_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -92,7 +92,7 @@ def sentence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, notes = st.documents(spark, sf_dir), st.annotations(spark, sf_dir)
     rows = chunks.pack_with_frames(
-        chunks.annotate_sentences(docs, notes, "doc_id", "text"), ["doc_id"], "annotated", 64
+        chunks.annotate_sentences(docs, notes, "doc_id", "text"), ["doc_id"], "annotated", 512
     )
     return rows.withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
 
@@ -203,7 +203,7 @@ FROM (SELECT doc_id, {WORDS.format('text')} AS t FROM documents)""",
     "sentence_frames": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos) - 1 AS sent_pos, frames FROM ({_FRAMES})",
     "frame_pack": "SELECT doc_id, chunk_pos, chunk, frame_text FROM ("
     + _packed_sql(
-        "SELECT doc_id, sent_pos, sentence, replace(frames, '_', ' ') AS frames FROM (" + _FRAMES + ") WHERE frames <> ''", 64
+        "SELECT doc_id, sent_pos, sentence, replace(frames, '_', ' ') AS frames FROM (" + _FRAMES + ") WHERE frames <> ''", 512
     )
     + ")",
     "prompt_render": _PROMPTS,

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import bounded_rows, compute_once
+from corpuslab.operators import lexicon
+from corpuslab.plans.scale import bounded_rows, compute_once, global_rank
 
 # The section keywords.
 IMPORTANT_SECTIONS = [
@@ -27,8 +28,10 @@ def class_counts(docs: DataFrame, label: str = "label") -> DataFrame:
 
 
 def keys_by_class(docs: DataFrame, key: str, label: str, seq: str) -> DataFrame:
-    """Document keys ordered inside their class, as rows: no class is gathered in one list."""
-    return docs.select(label, key, seq).orderBy(label, seq)
+    """(label, key, at): document keys with their place inside their class, in input order, as rows:
+    no class is gathered in one list."""
+    return global_rank(docs.select(label, key, seq) if key != seq else docs.select(label, key), [seq], within=[label], name="at").select(
+        label, key, "at")
 
 
 def first_per_class(docs: DataFrame, label: str, seq: str, n: int = 19) -> DataFrame:
@@ -54,7 +57,8 @@ def flatten_sections(
     clean: Callable[[Column], Column] = tx.normalise,
 ) -> DataFrame:
     """Adds full_text (abstract and non-empty sections joined by the section mark) and
-    section_names ('Abstract' first, then the names of non-empty sections)."""
+    section_names ('Abstract' first, then the names of non-empty sections). A null abstract counts
+    as empty, so names and texts stay side by side."""
     kept = F.filter(sections, lambda s: s["text"].isNotNull() & (s["text"] != ""))
     return (
         docs.withColumn("_kept", kept)
@@ -62,7 +66,7 @@ def flatten_sections(
             "full_text",
             F.array_join(
                 F.concat(
-                    F.array(clean(F.col(abstract))),
+                    F.array(F.coalesce(clean(F.col(abstract)), F.lit(""))),
                     F.transform("_kept", lambda s: clean(s["text"])),
                 ),
                 f" {tx.SECTION_MARK} ",
@@ -76,9 +80,26 @@ def flatten_sections(
     )
 
 
-def assemble(docs: DataFrame, key: str, label: str, title: str) -> DataFrame:
-    """The prepared columnar dataset from a balanced, sectioned corpus."""
-    return flatten_sections(docs).select(
+def prepare_text(
+    docs: DataFrame, key: str, text: str, words: DataFrame, stop: Sequence[str] = (), noise: Sequence[str] = (),
+    removed_tags: Sequence[str] | None = tx.REMOVED_TAGS,
+) -> DataFrame:
+    """(key, text): the whole preparation in one operator: lower case, brackets, noise words, stop words,
+    alphabetic words, part-of-speech filter and lemmas from the lexicon ``words``. Section marks are
+    alphabetic words that no lexicon holds, so they stay."""
+    marked = F.split(F.col(text), tx.SECTION_MARK)
+    cleaned = F.array_join(F.transform(marked, lambda t: tx.normalise(t, noise=noise)), f" {tx.SECTION_MARK} ")
+    tokens = tx.keep_alphabetic(tx.drop_stop_words(tx.words(cleaned), stop))
+    return lexicon.lemmatise(docs.select(key, tokens.alias("tokens")), key, "tokens", words, removed_tags)
+
+
+def assemble(
+    docs: DataFrame, key: str, label: str, title: str, words: DataFrame, stop: Sequence[str] = (),
+) -> DataFrame:
+    """The prepared columnar dataset from a balanced, sectioned corpus, with fully prepared texts."""
+    flat = flatten_sections(docs)
+    prepared = prepare_text(flat, key, "full_text", words, stop)
+    return flat.drop("full_text").join(prepared.withColumnRenamed("text", "full_text"), key).select(
         F.col(key).alias("id"), F.col(title).alias("title"), "abstract", "full_text",
         "section_names", F.col(label).alias("label"),
     )
@@ -185,6 +206,21 @@ def corpus_view(
     return prepared.select(key, text.alias("text"), label.alias("label"))
 
 
+def view_rows(
+    prepared: DataFrame, key: str, label_names: Sequence[str] | None = None, keywords: Sequence[str] = IMPORTANT_SECTIONS,
+) -> DataFrame:
+    """(key, data_type, text, label) of all four text views from one scan, a row per view; rows stay where
+    their document is."""
+    label = F.col("label") if label_names is None else encode_label(F.col("label"), label_names)
+    texts = {
+        "abstract": abstract_text("clean"), "full_text": joined_text(), "sec-name": section_name_view("seq"),
+        "sec-text": F.col("important_text"),
+    }
+    views = F.array(*(F.struct(F.lit(kind).alias("data_type"), texts[kind].alias("text")) for kind in DATA_TYPES))
+    return important_text(prepared, keywords).select(key, label.alias("label"), F.explode(views).alias("v")).select(
+        key, "v.data_type", "v.text", "label")
+
+
 def rewrite_labels(docs: DataFrame, label: str, mapping: Mapping[str, str] = MIXED_LABEL) -> DataFrame:
     return docs.withColumn(label, tx.remap(F.col(label), mapping))
 
@@ -209,7 +245,8 @@ def align_sections(texts: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     texts: (key, sections array<struct<name, text>>); frames: (key, sec_frames
     array<struct<sec_pos, frames>>), one row per document each.
     """
-    paired = texts.join(frames, key).withColumn(
+    paired = compute_once(texts.join(frames, key), _frames=F.map_from_entries(F.transform(
+        "sec_frames", lambda f: F.struct(f["sec_pos"].alias("k"), f["frames"].alias("v"))))).withColumn(
         "_pair",
         F.explode(
             F.transform(
@@ -218,12 +255,7 @@ def align_sections(texts: DataFrame, frames: DataFrame, key: str) -> DataFrame:
                     i.alias("sec_pos"),
                     s["name"].alias("name"),
                     s["text"].alias("text"),
-                    F.flatten(
-                        F.transform(
-                            F.filter("sec_frames", lambda f: f["sec_pos"] == i),
-                            lambda f: f["frames"],
-                        )
-                    ).alias("frames"),
+                    F.try_element_at("_frames", i).alias("frames"),
                 ),
             )
         ),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.functions.vectors import doubles, mean_vector
-from corpuslab.plans.scale import compute_once, fits_broadcast, spread_join
+from corpuslab.plans.scale import global_rank
 
 FEATURE_GROUPS = ("struc", "struc+cat", "cat", "struc+emb", "cat+emb", "emb", "all")
 
@@ -20,7 +21,8 @@ def mean_word_vectors(
     """(key, vec): mean vector over known words, each occurrence counting; zeros if none.
 
     word_vectors: (word, vec). Words are counted per document first, so each distinct word
-    of a document is joined once and weighted by its count.
+    of a document is joined once and weighted by its count. Spark broadcasts the vectors if they
+    measure small enough at run time, and splits skewed words otherwise.
     """
     counted = (
         docs.select(key, text)
@@ -29,11 +31,7 @@ def mean_word_vectors(
         .groupBy(key, "word")
         .agg(F.count("*").cast("double").alias("n"))
     )
-    if fits_broadcast(word_vectors, row_bytes=8 * width + 64):  # documents stay in place
-        known = counted.join(F.broadcast(word_vectors), "word")
-    else:
-        known = spread_join(counted, word_vectors, ["word"], [key])
-    means = known.groupBy(key).agg(mean_vector(F.col("vec"), F.col("n")).alias("vec"))
+    means = counted.join(word_vectors, "word").groupBy(key).agg(mean_vector(F.col("vec"), F.col("n")).alias("vec"))
     return _or_zeros(docs, means, key, width)
 
 
@@ -70,26 +68,39 @@ def category_values(nodes: DataFrame, single: Sequence[str], multi: Sequence[str
     return nodes.select(F.explode(F.array_distinct(lowered_values(single, multi))).alias("value")).distinct()
 
 
+def category_index(values: DataFrame) -> DataFrame:
+    """(value, idx): the dictionary in order, as a table of any size."""
+    return global_rank(values, ["value"], name="idx")
+
+
 def multi_hot(
-    nodes: DataFrame, key: str, single: Sequence[str], multi: Sequence[str], names: Sequence[str]
+    nodes: DataFrame, key: str, single: Sequence[str], multi: Sequence[str], index: DataFrame
 ) -> DataFrame:
-    """(key, cat): 0/1 array over the sorted dictionary ``names``."""
-    values = lowered_values(single, multi)
-    slots = F.transform(
-        F.array_distinct(values), lambda v: F.array_position(F.lit(list(names)), v).cast("int") - 1
-    )
-    return compute_once(nodes, _at=slots).select(
-        key,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(len(names) - 1)),
-            lambda i: F.array_contains(F.col("_at"), i).cast("int"),
-        ).alias("cat"),
-    )
+    """(key, cat): the sorted positions of a row's values in ``index`` (value, idx), which are the
+    ones of its 0/1 vector. A row without values has none."""
+    values = nodes.select(key, F.explode(F.array_distinct(lowered_values(single, multi))).alias("value"))
+    found = values.join(index, "value").groupBy(key).agg(F.sort_array(F.collect_list("idx")).alias("cat"))
+    none = F.array().cast("array<bigint>")
+    return nodes.select(key).join(found, key, "left").select(key, F.coalesce("cat", none).alias("cat"))
+
+
+def _shifted(at: int, i: Column) -> Column:
+    return (i + F.lit(at)).cast("int")
 
 
-def node_vector(group: str = "all") -> Column:
-    """Chosen feature groups of (struc, cat, emb) as one double array, in that order."""
+def node_vector(group: str, n_struc: int, n_cat: int, n_emb: int) -> Column:
+    """Chosen feature groups of (struc, cat, emb) in that order as a sparse vector: a struct of size,
+    indices and values."""
     if group not in FEATURE_GROUPS:
         raise ValueError(f"feature group must be one of {FEATURE_GROUPS}, not {group!r}")
-    parts = ("struc", "cat", "emb") if group == "all" else tuple(group.split("+"))
-    return F.concat(*(doubles(F.col(p)) for p in parts))
+    widths = {"struc": n_struc, "cat": n_cat, "emb": n_emb}
+    indices, values, at = [], [], 0
+    for part in ("struc", "cat", "emb") if group == "all" else tuple(group.split("+")):
+        if part == "cat":
+            indices.append(F.transform("cat", partial(_shifted, at)))
+            values.append(F.transform("cat", lambda i: F.lit(1.0)))
+        else:
+            indices.append(F.sequence(F.lit(at), F.lit(at + widths[part] - 1)))
+            values.append(doubles(F.col(part)))
+        at += widths[part]
+    return F.struct(F.lit(at).alias("size"), F.concat(*indices).alias("indices"), F.concat(*values).alias("values"))

@@ -19,23 +19,17 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def dictionary_predictions(
-    views: Mapping[str, DataFrame], key: str, class_profiles: DataFrame, names: Sequence[str],
-    configs: Mapping[str, Sequence[str]] = DICTIONARY_CONFIGS,
+    views: DataFrame, key: str, class_profiles: DataFrame, names: Sequence[str],
+    configs: Mapping[str, Sequence[str]] = DICTIONARY_CONFIGS, placed: bool = False,
 ) -> DataFrame:
-    """(model_type, data_type, key, y, yhat) for every text view (key, text, label)."""
-    limits = scoring.profile_limits(configs)
-    class_profiles = cut_lineage(class_profiles)  # a few rows per label, read by every view
-    runs = []
-    for data_type, view in views.items():
-        scored = scoring.dictionary_scores(
-            features.ngram_profile(view.withColumnRenamed("label", "y"), key, "text", limits, ["y"]),
-            key, class_profiles, names, configs, ["y"],
-        )
-        answers = scoring.predict_lowest(scored, [key, "y", "config"], names)
-        runs.append(
-            answers.select(F.col("config").alias("model_type"), F.lit(data_type).alias("data_type"), key, "y", "yhat")
-        )
-    return union_all(runs)
+    """(model_type, data_type, key, y, yhat) for text views (key, data_type, text, label). All views go
+    through one plan; with ``placed`` their rows are already together by key."""
+    keep = ["data_type", "y"]
+    profile = features.ngram_profile(
+        views.withColumnRenamed("label", "y"), key, "text", scoring.profile_limits(configs), keep, placed)
+    scored = scoring.dictionary_scores(profile, key, class_profiles, names, configs, keep)
+    answers = scoring.predict_lowest(scored, [key, *keep, "config"], names)
+    return answers.select(F.col("config").alias("model_type"), "data_type", key, "y", "yhat")
 
 
 def score_report(predictions: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import compute_once, cut_lineage, global_rank, spread_join
+from corpuslab.plans.scale import compute_once, cut_lineage, global_rank
 
 # How many n-grams of each length a profile keeps.
 PROFILE_LIMITS = {1: 100, 2: 30, 3: 30}
@@ -37,7 +37,7 @@ def vocabulary(train_terms: DataFrame) -> DataFrame:
 
 def in_vocabulary(terms: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Keep only terms present in ``known(term)``, one row per term."""
-    return spread_join(terms, known.select("term"), ["term"], [key], "left_semi")
+    return terms.join(known.select("term"), "term", "left_semi")
 
 
 def document_frequency(train_terms: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def document_frequency(train_terms: DataFrame) -> DataFrame:
 def weigh(terms: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts times idf(by.., term, idf), each document scaled to unit length; terms without
     a training frequency are dropped."""
-    weighted = spread_join(terms, idf, [*by, "term"], [key]).withColumn(
+    weighted = terms.join(idf, [*by, "term"]).withColumn(
         "value", F.col("value") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*by, key)))
@@ -118,11 +118,14 @@ def _exploded(docs: DataFrame, keys: Sequence[str], text: str, lengths: Sequence
 
 
 def ngram_profile(
-    docs: DataFrame, key: str, text: str, limits: Mapping[int, int] = PROFILE_LIMITS, keep: Sequence[str] = ()
+    docs: DataFrame, key: str, text: str, limits: Mapping[int, int] = PROFILE_LIMITS, keep: Sequence[str] = (),
+    placed: bool = False,
 ) -> DataFrame:
     """Top n-grams per document with their share of the kept counts (no further shuffle
-    after documents are placed by key). ``keep`` carries columns fixed per document."""
-    rows = _exploded(docs.select(key, *keep, text).repartition(key), [key, *keep], text, list(limits))
+    after documents are placed by key). ``keep`` carries columns fixed per row of ``docs``; with
+    ``placed`` the rows of a key are already together."""
+    chosen = docs.select(key, *keep, text)
+    rows = _exploded(chosen if placed else chosen.repartition(key), [key, *keep], text, list(limits))
     counted = rows.groupBy(key, *keep, "n", "ngram").agg(
         F.count("ngram").alias("cnt"), F.min("pos").alias("first")
     )

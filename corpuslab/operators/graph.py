@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.functions.vectors import doubles, mean_vector
 from corpuslab.plans.scale import cut_lineage, global_rank, hot_join, hot_keys
@@ -68,27 +71,21 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def path_lengths(
-    nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = None,
-    hot: dict | None = None,
-) -> tuple[DataFrame, bool]:
-    """((source, node, dist), complete): hop distances, the source itself at 0.
+def path_lengths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, dist): hop distances from chosen sources, the source itself at 0, as rows. For
+    all nodes as sources take ``mean_path``, which keeps no pairs.
 
-    Each round joins the newest pairs with the edges and drops pairs already reached; a
-    round's result is checkpointed. A node reached by very many sources is split by source.
+    Each round joins the newest pairs with the edges and drops pairs already reached; a round's
+    result is checkpointed. A node reached by many sources is split by source.
     """
-    start = (nodes if sources is None else sources).select(
-        F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist")
-    )
-    frontier = reached = cut_lineage(start)
-    if hot is None:
-        hot = hot_keys(edges, "dst")
+    frontier = reached = cut_lineage(sources.select(
+        F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist")))
     steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while True:
         depth += 1
         found = (
-            hot_join(frontier.select("source", "node"), steps, "node", hot, ["source"])
+            hot_join(frontier.select("source", "node"), steps, "node", hot_keys(frontier, "node"), ["source"])
             .select("source", F.col("_next").alias("node"))
             .distinct()
             .join(reached.select("source", "node"), ["source", "node"], "left_anti")
@@ -96,19 +93,45 @@ def path_lengths(
         )
         frontier = cut_lineage(found)
         if frontier.isEmpty():
-            return reached, True
+            return reached
         reached = reached.unionByName(frontier)
-    return reached, False
 
 
-def mean_path(
-    nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = None
-) -> DataFrame:
-    """(id, mean_path, truncated): mean hop distance over reachable nodes, itself included."""
-    reached, complete = path_lengths(nodes, edges, sources, max_depth)
-    return reached.groupBy(F.col("source").alias("id")).agg(
-        (F.sum("dist") / F.count("*")).alias("mean_path"), F.lit(not complete).alias("truncated")
-    )
+def mean_path(nodes: DataFrame, edges: DataFrame, hot: dict | None = None) -> DataFrame:
+    """(id, mean_path): mean hop distance over reachable nodes, itself included.
+
+    Sources go in batches of 64: a node holds one long per batch with a bit for each source that has
+    reached it, so there are no (source, node) rows. A round carries the newest bits over the edges,
+    joins them to the known ones with ``bit_or`` in one aggregation, and counts the fresh bits per
+    source. Splitting follows the rows that a round has, not the degrees.
+    """
+    index = cut_lineage(index_nodes(nodes))
+    steps = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
+    bit = F.expr("shiftleft(1L, CAST(idx % 64 AS INT))")
+    start = index.select(
+        F.floor(F.col("idx") / 64).alias("batch"), F.col("id").alias("node"), F.lit(0).cast("long").alias("seen"), bit.alias("fresh"))
+    state, depth, sums = cut_lineage(start), 0, []
+    while True:
+        front = state.filter("fresh <> 0")
+        per_bit = [F.sum(F.expr(f"shiftrightunsigned(fresh, {i}) & 1L")).alias(f"b{i}") for i in range(64)]
+        counted = front.groupBy("batch").agg(*per_bit).select(
+            "batch", F.posexplode(F.array(*(f"b{i}" for i in range(64)))).alias("at", "n"))
+        counted = cut_lineage(counted.withColumn("dist", F.lit(depth)))
+        if counted.isEmpty():
+            break
+        sums.append(counted)
+        depth += 1
+        busy = hot_keys(front, "node") if hot is None else hot
+        reached = hot_join(front.select("batch", "node", "fresh"), steps, "node", busy, ["batch"]).select(
+            "batch", F.col("_next").alias("node"), F.lit(0).cast("long").alias("seen"), "fresh")
+        known = state.select("batch", "node", F.col("seen").bitwiseOR(F.col("fresh")).alias("seen"), F.lit(0).cast("long").alias("fresh"))
+        state = cut_lineage(reached.unionByName(known).groupBy("batch", "node").agg(
+            F.bit_or("seen").alias("seen"), F.bit_or("fresh").alias("got")).select(
+            "batch", "node", "seen", F.col("got").bitwiseAND(F.bitwise_not("seen")).alias("fresh")))
+    total = reduce(DataFrame.unionByName, sums).groupBy("batch", "at").agg(
+        F.sum(F.col("n") * F.col("dist")).alias("far"), F.sum("n").alias("n"))
+    return index.withColumn("batch", F.floor(F.col("idx") / 64)).withColumn("at", (F.col("idx") % 64).cast("int")).join(
+        total, ["batch", "at"]).select("id", (F.col("far") / F.col("n")).alias("mean_path"))
 
 
 def clustering(nodes: DataFrame, edges: DataFrame, hot: dict | None = None) -> DataFrame:
@@ -185,42 +208,51 @@ def pagerank(
     max_rounds: int = 100, rounds: int | None = None, hot: dict | None = None,
 ) -> DataFrame:
     """(id, pagerank). Stops when the total change is below nodes x tolerance, or after
-    exactly ``rounds`` rounds. Dangling mass is spread evenly.
+    exactly ``rounds`` rounds; raises if ``max_rounds`` are not enough. Dangling mass is spread evenly.
 
-    One shuffle per round: contributions and a zero row per node meet in one aggregation
-    with map-side combine. The dangling mass is a scalar subquery; only the total change
-    reaches the driver.
+    Edges are placed by (src, part) once and kept; parts split the sources with many edges. A round
+    meets them with the ranks placed alike, so no edge moves; what moves is the sums per node.
+    Only the dangling mass and the total change, two numbers, reach the driver.
     """
     n = nodes.count()
     if hot is None:
         hot = hot_keys(edges, "src")
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField("src", edges.schema["src"].dataType), T.StructField("_parts", T.IntegerType())])
+    parts = F.broadcast(nodes.sparkSession.createDataFrame(list(hot.items()), schema))  # see hot_keys for the bound
+    copies = F.coalesce("_parts", F.lit(1))
     fan = edges.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("w"))
-    weighted = cut_lineage(hot_join(edges.select("src", "dst"), fan, "src", hot, ["dst"]))
+    placed = edges.select("src", "dst").join(parts, "src", "left").select(
+        "src", F.pmod(F.xxhash64("dst"), copies).cast("int").alias("part"), "dst").repartition(partitions, "src", "part").persist(
+        StorageLevel.MEMORY_AND_DISK)
     state = cut_lineage(
-        nodes.select("id")
-        .join(fan.select(F.col("src").alias("id"), "w"), "id", "left")
-        .select("id", F.lit(1.0 / n).alias("r"), F.col("w").isNull().alias("dangling"))
-    )
-    for _ in range(rounds if rounds is not None else max_rounds):
-        lost = state.filter("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0))).scalar()
-        base = F.lit((1.0 - damping) / n) + F.lit(damping / n) * lost
-        flow = hot_join(weighted, state.select(F.col("id").alias("src"), "r"), "src", hot, ["dst"]).select(
-            F.col("dst").alias("id"),
-            (F.col("r") * F.col("w")).alias("in"),
-            F.lit(None).cast("double").alias("was"),
-            F.lit(None).cast("boolean").alias("dangling"),
-        )
-        keep = state.select("id", F.lit(0.0).alias("in"), F.col("r").alias("was"), "dangling")
-        state = cut_lineage(
-            flow.unionByName(keep)
-            .groupBy("id")
-            .agg(F.sum("in").alias("in"), F.max("was").alias("was"), F.max("dangling").alias("dangling"))
-            .select("id", (base + F.lit(damping) * F.col("in")).alias("r"), "was", "dangling")
-        )
+        nodes.select("id").join(fan.select(F.col("src").alias("id"), "w"), "id", "left")
+        .join(parts.withColumnRenamed("src", "id"), "id", "left")
+        .select("id", F.lit(1.0 / n).alias("r"), F.lit(None).cast("double").alias("was"), "w", copies.alias("copies")))
+    rounds_left = rounds if rounds is not None else max_rounds
+    while rounds_left:
+        rounds_left -= 1
+        lost = state.filter("w IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+        base = (1.0 - damping) / n + damping / n * lost
+        sent = state.filter("w IS NOT NULL").select(
+            F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"),
+            (F.col("r") * F.col("w")).alias("share")).repartition(partitions, "src", "part")
+        none = F.lit(None)
+        flow = placed.join(sent, ["src", "part"]).select(
+            F.col("dst").alias("id"), F.col("share").alias("in"), none.cast("double").alias("was"),
+            none.cast("double").alias("w"), none.cast("int").alias("copies"))
+        keep = state.select("id", F.lit(0.0).alias("in"), F.col("r").alias("was"), "w", "copies")
+        state = cut_lineage(flow.unionByName(keep).groupBy("id").agg(
+            F.sum("in").alias("in"), F.max("was").alias("was"), F.max("w").alias("w"), F.max("copies").alias("copies")).select(
+            "id", (F.lit(base) + F.lit(damping) * F.col("in")).alias("r"), "was", "w", "copies"))
         if rounds is None:
-            change = state.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
+            change = state.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0
             if change < n * tolerance:
                 break
+    else:
+        if rounds is None:
+            raise ValueError(f"no convergence within {max_rounds} rounds")
+    placed.unpersist()
     return state.select("id", F.col("r").alias("pagerank"))
 
 

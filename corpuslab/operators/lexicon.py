@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.plans.scale import spread_join
 
 
 def lemmatise(
@@ -21,7 +20,8 @@ def lemmatise(
     """(key, text): tokens whose tag is kept, as lemmas, in order, joined by a space.
 
     Positions are folded per (document, word) before the join, so a word crosses the network
-    once per document. Without ``removed_tags`` tokens pass through unchanged.
+    once per document. A word with several lexicon rows stays if one of its tags does, with the
+    lemma of the first such tag. Without ``removed_tags`` tokens pass through unchanged.
     """
     if removed_tags is None:
         return docs.select(key, F.array_join(tokens, " ").alias("text"))
@@ -32,8 +32,10 @@ def lemmatise(
         .groupBy(key, "word")
         .agg(F.collect_list("pos").alias("at"))
     )
-    tagged = spread_join(placed, lexicon.withColumnRenamed("pos", "tag"), ["word"], [key], "left")
-    dropped = F.col("tag").isin(*removed_tags) | F.col("word").isNull()
+    dropping = F.coalesce(F.col("pos").isin(*removed_tags), F.lit(False))
+    entry = lexicon.groupBy("word").agg(F.min(F.struct(dropping.alias("gone"), "pos", "lemma")).alias("e"))
+    tagged = placed.join(entry.select("word", "e.gone", "e.lemma"), "word", "left")
+    dropped = F.col("gone") | F.col("word").isNull()
     spots = F.when(
         ~F.coalesce(dropped, F.lit(False)),
         F.transform("at", lambda p: F.struct(p.alias("p"), F.coalesce("lemma", "word").alias("w"))),

@@ -1,5 +1,5 @@
 """Plan-shaping helpers: lineage cuts, exact ranks without a single-task window,
-hash cut points, skew-proof joins and size-checked small tables."""
+hash cut points, joins with split hot keys and size-checked small tables."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 MAX_INLINE_ROWS = 10_000
-BROADCAST_BYTES = 64 << 20
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
@@ -25,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslab-ckpt-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -144,12 +143,6 @@ def running(
     )
 
 
-def fits_broadcast(dim: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
-    """Whether a table measures below the broadcast budget; counting stops at the bound."""
-    most = budget // row_bytes
-    return dim.limit(most + 1).count() <= most
-
-
 def measured(df: DataFrame, limit: int = MAX_INLINE_ROWS) -> DataFrame:
     """Materialise a table expected to be small and mark it for broadcast only if it counts
     at most ``limit`` rows; a larger one is joined by shuffle."""
@@ -157,38 +150,14 @@ def measured(df: DataFrame, limit: int = MAX_INLINE_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def spread_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    copies: int | None = None,
-) -> DataFrame:
-    """Join a long table with a far smaller one (one row per key), splitting every key's
-    rows over ``copies`` tasks, by default an eighth of the shuffle partitions (at most 32).
-    AQE turns it into a broadcast when the small side measures small enough at run time."""
-    on = list(on)
-    if copies is None:
-        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        copies = max(1, min(32, partitions // 8))
-    if copies == 1:
-        return facts.join(dim, on, how)
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def hot_keys(df: DataFrame, key: str, share: float = 1 / 64, floor: int = 1_000_000) -> dict:
-    """Keys holding more than ``share`` of the rows (and ``floor`` rows) with the number of
-    tasks to split them over. There are at most 1/share of them by construction."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    biggest = counts.filter(F.col("n") > floor).orderBy(F.desc("n")).limit(int(1 / share) + 1)
-    rows = biggest.collect()
-    if not rows:
-        return {}
-    cap = max(df.count() * share, floor, 1)
-    return {row[key]: math.ceil(row.n / cap) for row in rows if row.n > cap}
+def hot_keys(df: DataFrame, key: str) -> dict:
+    """Keys with more rows than a shuffle partition's even share, with the number of parts that
+    bring them to a quarter of it, as parts of several keys meet in a partition. There are fewer than shuffle partitions by construction, whatever
+    the size of the data; one pass counts the rows per key with map-side combine."""
+    counts = cut_lineage(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / partitions))
+    return {row[key]: math.ceil(4 * row.n / share) for row in counts.filter(F.col("n") > share).collect()}
 
 
 def hot_join(
@@ -203,9 +172,9 @@ def hot_join(
     and only their right rows are copied."""
     if not hot:
         return left.join(right, on, how)
-    copies = F.lit(1)
-    for key, n in hot.items():
-        copies = F.when(F.col(on) == F.lit(key), F.lit(n)).otherwise(copies)
-    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), copies).cast("int"))
-    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    schema = T.StructType([T.StructField(on, left.schema[on].dataType), T.StructField("_parts", T.IntegerType())])
+    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), schema))  # see hot_keys for the bound
+    copies = F.coalesce("_parts", F.lit(1))
+    lhs = left.join(parts, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), copies).cast("int")).drop("_parts")
+    rhs = right.join(parts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_parts")
     return lhs.join(rhs, [on, "_salt"], how).drop("_salt")

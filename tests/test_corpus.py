@@ -92,3 +92,16 @@ def test_alignment_skips_empty_text_and_missing_frames(spark):
     )
     rows = corpus.align_sections(texts, frames, "id").collect()
     assert [(r.sec_pos, r.name, r.frames) for r in rows] == [(0, "A", ["F"])]
+
+
+def test_null_abstract_keeps_names_and_texts_together(spark):
+    rows = spark.createDataFrame([(1, None, [("S1", "x"), ("S2", "y")])], "id int, abstract string, sections array<struct<name:string,text:string>>")
+    done = corpus.section_rows(corpus.flatten_sections(rows), "id").collect()
+    assert [(r.name, r.text.strip()) for r in done] == [("Abstract", ""), ("S1", "x"), ("S2", "y")]
+
+
+def test_text_preparation_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "The Cats (all) run SBA quickly, the dogs 12"), (2, None)], "id int, t string")
+    words = spark.createDataFrame([("cats", "NOUN", "cat"), ("run", "VERB", "run"), ("dogs", "NOUN", "dog")], "word string, pos string, lemma string")
+    got = {r.id: r.text for r in corpus.prepare_text(docs, "id", "t", words, stop=["the"]).collect()}
+    assert got == {1: "cat run SBA dog", 2: ""}

@@ -69,15 +69,23 @@ def test_categories(spark):
         [(1, "IEEE", None, ["Bio", "bio"]), (2, None, "Article", None), (3, "", "ieee", [])],
         "id int, publisher string, type string, subject array<string>",
     )
-    names = sorted(r.value for r in embeddings.category_values(nodes, ["publisher", "type"], ["subject"]).collect())
-    assert names == ["article", "bio", "ieee"]
-    rows = embeddings.multi_hot(nodes, "id", ["publisher", "type"], ["subject"], names).collect()
-    assert {r.id: r.cat for r in rows} == {1: [0, 1, 1], 2: [1, 0, 0], 3: [0, 0, 1]}
+    index = embeddings.category_index(embeddings.category_values(nodes, ["publisher", "type"], ["subject"]))
+    assert {r.value: r.idx for r in index.collect()} == {"article": 0, "bio": 1, "ieee": 2}
+    rows = embeddings.multi_hot(nodes, "id", ["publisher", "type"], ["subject"], index).collect()
+    assert {r.id: r.cat for r in rows} == {1: [1, 2], 2: [0], 3: [2]}
+
+
+def test_many_categories(spark):
+    nodes = spark.range(10_050).selectExpr("id", "concat('v', id) AS publisher", "array('x') AS subject")
+    index = embeddings.category_index(embeddings.category_values(nodes, ["publisher"], ["subject"]))
+    rows = embeddings.multi_hot(nodes, "id", ["publisher"], ["subject"], index)
+    assert rows.filter("size(cat) = 2").count() == 10_050 and rows.selectExpr("max(cat[1])").first()[0] == 10_050
 
 
 def test_feature_groups(spark):
-    df = spark.createDataFrame([([1.0], [0, 1], [0.5])], "struc array<double>, cat array<int>, emb array<double>")
-    got = {g: df.select(embeddings.node_vector(g).alias("v")).first().v for g in embeddings.FEATURE_GROUPS}
-    assert got["struc"] == [1.0] and got["cat+emb"] == [0.0, 1.0, 0.5] and got["all"] == [1.0, 0.0, 1.0, 0.5]
+    df = spark.createDataFrame([([1.0], [1], [0.5])], "struc array<double>, cat array<bigint>, emb array<double>")
+    got = {g: tuple(df.select(embeddings.node_vector(g, 1, 2, 1).alias("v")).first().v) for g in embeddings.FEATURE_GROUPS}
+    assert got["struc"] == (1, [0], [1.0]) and got["cat+emb"] == (3, [1, 2], [1.0, 0.5])
+    assert got["all"] == (4, [0, 2, 3], [1.0, 1.0, 0.5])
     with pytest.raises(ValueError):
-        embeddings.node_vector("emb+cat")
+        embeddings.node_vector("emb+cat", 1, 1, 1)

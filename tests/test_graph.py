@@ -3,9 +3,10 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.operators import graph
-from corpuslab.plans.scale import hot_keys
+from corpuslab.plans.scale import hot_join, hot_keys
 
 FIXTURE = [(1, 2), (2, 3), (1, 3), (3, 1)]
 
@@ -87,9 +88,8 @@ def test_random_graphs_against_brute_force(spark, seed, split_hubs):
     edges = random_edges(seed)
     nodes, e = make(spark, edges)
     hot = {v: 3 for v in range(0, 14, 2)} if split_hubs else {}
-    reached, complete = graph.path_lengths(nodes, e, hot=hot)
-    assert complete
-    sums = {}
+    assert column(graph.mean_path(nodes, e, hot=hot or None), "mean_path") == paths(edges)
+    reached, sums = graph.path_lengths(nodes, e, nodes), {}
     for r in reached.collect():
         total, n = sums.get(r.source, (0, 0))
         sums[r.source] = (total + r.dist, n + 1)
@@ -100,12 +100,17 @@ def test_random_graphs_against_brute_force(spark, seed, split_hubs):
     assert abs(sum(ranks.values()) - 1) < 1e-4
 
 
-def test_depth_cap_is_reported(spark):
-    nodes, edges = make(spark, [(1, 2), (2, 3), (3, 4)])
-    rows = graph.mean_path(nodes, edges, max_depth=1).collect()
-    assert all(r.truncated for r in rows)
-    some = graph.mean_path(nodes, edges, sources=nodes.filter("id = 1")).collect()
-    assert [(r.id, r.mean_path, r.truncated) for r in some] == [(1, 1.5, False)]
+def test_paths_of_more_than_one_batch(spark):
+    edges = random_edges(9, n=150, m=260)
+    nodes, e = make(spark, edges)
+    frame = graph.mean_path(nodes, e)
+    assert column(frame, "mean_path") == paths(edges)
+
+
+def test_rank_without_convergence_raises(spark):
+    nodes, edges = make(spark, random_edges(3))
+    with pytest.raises(ValueError):
+        graph.pagerank(nodes, edges, tolerance=0.0, max_rounds=2)
 
 
 def test_build_drops_unknown_ends_and_isolated_nodes(spark):
@@ -129,8 +134,25 @@ def test_corpus_filter_and_text(spark):
 
 def test_hub_is_found_and_split(spark):
     edges = spark.createDataFrame([(i, 0) for i in range(90)] + [(0, 1)], "src int, dst int")
-    assert hot_keys(edges, "dst", share=0.1, floor=5) == {0: 10}
-    assert hot_keys(edges, "dst") == {}
+    assert hot_keys(edges, "dst") == {0: 16}  # four shuffle partitions of 23 rows
+    assert hot_keys(edges, "src") == {}
+
+
+def test_a_hub_is_spread_over_the_tasks(spark):
+    """One key with 30 % of the rows in 64 partitions: no task gets more than twice the mean."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(64_000).selectExpr("id", "IF(id % 10 < 3, 0, id) AS k")
+        right = left.select("k").distinct().withColumn("v", F.lit(1))
+        hot = hot_keys(left, "k")
+        sizes = hot_join(left, right.hint("merge"), "k", hot, ["id"]).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 64_000
+        assert max(r["count"] for r in sizes) <= 2 * 64_000 / 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def test_roles_index_subgraph(spark):

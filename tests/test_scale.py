@@ -32,16 +32,6 @@ def test_running_blocks_equal_a_plain_scan(spark):
         scale.running(df, "g", "i", "v", "sum", "x")
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("copies", [1, 5])
-def test_spread_join_equals_a_plain_join(spark, how, copies):
-    facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(200)], "i int, k string")
-    dim = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("unused", 4)], "k string, v int")
-    want = sorted(map(tuple, facts.join(dim, ["k"], how).collect()), key=str)
-    got = sorted(map(tuple, scale.spread_join(facts, dim, ["k"], ["i"], how, copies=copies).collect()), key=str)
-    assert got == want
-
-
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
 def test_hot_join_equals_a_plain_join(spark, how):
     left = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(200)], "i int, k int")

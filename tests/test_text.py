@@ -134,3 +134,11 @@ def test_lemmatise_keeps_order_and_empty_documents(spark):
     assert got == {1: "b cat b", 2: ""}
     plain = {r.doc: r.text for r in lexicon.lemmatise(docs, "doc", "w", lex, removed_tags=None).collect()}
     assert plain[1] == "b cats b the"
+
+
+def test_a_word_with_several_tags_stays_once(spark):
+    docs = spark.createDataFrame([(1, ["runs", "cat", "so"])], "doc int, w array<string>")
+    lex = spark.createDataFrame(
+        [("runs", "VERB", "run"), ("runs", "NOUN", "run"), ("so", "ADV", "so"), ("so", "NOUN", "so"), ("cat", "DET", "x"), ("cat", "ADV", "y")],
+        "word string, pos string, lemma string")
+    assert lexicon.lemmatise(docs, "doc", "w", lex).first().text == "run so"
