@@ -51,13 +51,13 @@ def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector elements 1 to 3 as contradiction, neutral and entailment of one hypothesis."""
-    chunks = st.chunk_vectors(spark, sf_dir)
-    which = (F.col("label").cast("int") % 2).cast("int")
-    return chunks.select(
-        "doc_id", "chunk_pos", which.alias("label_pos"), corpus.decode_label(which, HYPOTHESES).alias("label"),
-        *(F.element_at("vec", i).alias(n) for i, n in ((1, "c"), (2, "n"), (3, "e"))),
-    )
+    """Vector elements 1 to 3 and 4 to 6 as contradiction, neutral and entailment of the two hypotheses."""
+    each = F.array(*(
+        F.struct(
+            F.lit(h).alias("label_pos"), F.lit(name).alias("label"),
+            *(F.element_at("vec", 3 * h + i).alias(n) for i, n in ((1, "c"), (2, "n"), (3, "e"))))
+        for h, name in enumerate(HYPOTHESES)))
+    return st.chunk_vectors(spark, sf_dir).select("doc_id", "chunk_pos", F.inline(each))
 
 
 def _chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,10 @@ FROM pooled JOIN means USING (dim) JOIN lens ON lens.label = means.label GROUP B
 pbest AS (SELECT doc_id, label AS yhat FROM pcos QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, label) = 1)"""
 FIRST = """flists AS (SELECT doc_id, label, list(round(score, 12) ORDER BY chunk_pos) AS l FROM cos GROUP BY doc_id, label),
 fbest AS (SELECT doc_id, label AS yhat FROM flists QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, label) = 1)"""
-LOGITS = """logits AS (SELECT vec_id // 5 AS doc_id, vec_id % 5 AS chunk_pos, label % 2 AS label_pos,
-  CASE label % 2 WHEN 0 THEN 'Quantitative' ELSE 'Qualitative' END AS label,
-  embedding[1]::DOUBLE AS c, embedding[2]::DOUBLE AS n, embedding[3]::DOUBLE AS e FROM embeddings),
+LOGITS = """logits AS (SELECT vec_id // 5 AS doc_id, vec_id % 5 AS chunk_pos, h AS label_pos,
+  CASE h WHEN 0 THEN 'Quantitative' ELSE 'Qualitative' END AS label,
+  embedding[3 * h + 1]::DOUBLE AS c, embedding[3 * h + 2]::DOUBLE AS n, embedding[3 * h + 3]::DOUBLE AS e
+  FROM embeddings, range(2) AS r(h)),
 scored AS (SELECT *, exp(e) / (exp(c) + exp(e)) AS score FROM logits WHERE NOT (n > c AND n >= e)),
 totals AS (SELECT doc_id, label, sum(score) AS score, min(chunk_pos * 1000 + label_pos) AS first FROM scored GROUP BY doc_id, label)"""
 
@@ -184,7 +185,7 @@ SELECT embed_type, round(f1, 6) AS f1_score, round(accuracy, 6) AS accuracy FROM
     "score_sum": f"WITH {LOGITS} SELECT doc_id, label, round(score, 6) AS score, round(score / sum(score) OVER (PARTITION BY doc_id), 6) AS share FROM totals",
     "zero_shot_manual": f"WITH {LOGITS} {_decide_sql('totals', MIXED)}",
     "zero_shot_auto": f"WITH {CHUNK_COS}, {_AUTO} {_decide_sql('auto', None)}",
-    "skipped_docs": f"WITH {LOGITS} SELECT doc_id * 5 + chunk_pos AS doc_id, label FROM logits WHERE n > c AND n >= e",
+    "skipped_docs": f"WITH {LOGITS} SELECT doc_id * 5 + chunk_pos AS doc_id, label FROM logits WHERE doc_id * 5 + chunk_pos NOT IN (SELECT doc_id * 5 + chunk_pos FROM scored)",
     "decision_report": f"""WITH {CHUNK_COS}, {_VOTES}, {_AUTO}, {LOGITS},
 truth AS (SELECT vec_id // 5 AS doc_id, label::VARCHAR AS y, CASE label % 2 WHEN 0 THEN 'Quantitative' ELSE 'Qualitative' END AS h FROM embeddings WHERE vec_id % 5 = 0),
 decided AS (SELECT 'auto' AS experiment_type, y, yhat FROM ({_decide_sql('auto', None)}) JOIN truth USING (doc_id)
