@@ -3,6 +3,7 @@ cut by bucket counts, and only the bucket holding a cut is ranked."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 
 from corpuslab.plans.scale import global_rank, measured
 
-HASH_BUCKET_DIGITS = 3  # 16**3 buckets per stratum
+
+def bucket_digits(rows: int) -> int:
+    """Hash digits that cut so many rows in about as many buckets as a bucket has rows, so that neither
+    the bucket counts nor the bucket with a cut grow faster than the square root."""
+    return max(1, math.ceil(math.log2(max(rows, 2)) / 8))
 
 
 def split_hash(key: str, split: Column, seed: int) -> Column:
@@ -46,8 +51,9 @@ def hash_split(
     """Adds role. ``cuts`` are (role, rows to take cumulatively) with ``n`` the stratum size;
     rows past the last cut get ``rest``. The full table is only scanned: the cut points have
     one row per stratum."""
+    digits = bucket_digits(docs.count())
     rows = docs.withColumn("_h", split_hash(key, split, seed)).withColumn(
-        "_bucket", F.substring("_h", 1, HASH_BUCKET_DIGITS)
+        "_bucket", F.substring("_h", 1, digits)
     )
     slim = rows.select(*strata, key, "_h", "_bucket")
     out, role = rows, F.lit(rest)

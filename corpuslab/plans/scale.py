@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 MAX_INLINE_ROWS = 10_000
+MAX_INLINE_CHARS = 16 << 20
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
@@ -67,6 +68,8 @@ def inline_table(df: DataFrame, limit: int = MAX_INLINE_ROWS) -> Column:
     """A size-checked table as one constant array<struct> column, so no join is planned."""
     as_json = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
     body = ",".join(row.j for row in bounded_rows(as_json, limit))
+    if len(body) > MAX_INLINE_CHARS:
+        raise ValueError(f"expected at most {MAX_INLINE_CHARS} characters in a constant table")
     return F.from_json(F.lit(f"[{body}]"), T.ArrayType(df.schema))
 
 

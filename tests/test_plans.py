@@ -4,10 +4,9 @@ import pytest
 
 from corpuslab.catalog import ORACLE, QUERIES
 from corpuslab.catalog import standins as st
-from corpuslab.operators import corpus, features
+from corpuslab.operators import corpus, features, graph
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"knn_euclid", "knn_manhattan"}  # block kernels
 
 
 def plan(df) -> str:
@@ -60,3 +59,25 @@ def test_class_profiles_limit_before_the_classes_meet(spark):
 def test_first_chunk_vote_combines_before_the_shuffle(spark):
     text = plan(QUERIES["cosine_first_chunk"](spark, DIR))
     assert "partial_min_by" in text
+
+
+def test_dictionary_report_scans_and_shuffles_the_texts_once(spark):
+    text = plan(QUERIES["dict_report"](spark, DIR))
+    views = text.split("BroadcastExchange")[0]
+    assert views.count("FileScan parquet") == 1
+    assert views.count("REPARTITION_BY_COL") == 1
+
+
+def test_rank_rounds_do_not_move_edges(spark):
+    """Edges are read from where they were placed; what is exchanged has a row per node."""
+    edges = spark.range(2000).selectExpr("id % 50 AS src", "id % 41 AS dst").distinct()
+    nodes = edges.selectExpr("explode(array(src, dst)) AS id").distinct()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ranks = graph.pagerank(nodes, edges, rounds=2)
+        assert abs(ranks.agg({"pagerank": "sum"}).first()[0] - 1) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
