@@ -117,7 +117,7 @@ def linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = docs.withColumn("label", corpus.encode_label(F.col("label"), names).cast("double"))
     rows = learners.hashed_terms(coded, "text").select("doc_id", "label", "features")
     roles = cut_lineage(splits.stratified_splits(rows, "doc_id", "label", 1))
-    model = learners.linear_svm(c=10.0, max_iter=100)
+    model = learners.linear_svm(c=10.0, max_iter=50)
     return learners.fit_predict(model, roles.filter("role = 'train'"), roles.filter("role = 'test'"), "doc_id")
 
 
