@@ -33,7 +33,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     stats = cut_lineage(quality.add_statistics(docs).select("doc_id", "lang", "_s"))
     judged = quality.judge(stats, quality.fit_cutoffs(stats, table(spark, sf_dir, "labels")))
     return judged.select(
