@@ -65,11 +65,14 @@ def imp_sections_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "important_text")
 
 
-def views(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    return {
-        kind: corpus.corpus_view(st.prepared(spark, sf_dir), "doc_id", kind, names, st.SECTION_KEYWORDS)
-        for kind in corpus.DATA_TYPES
-    }
+FRAME_VIEWS = ("abstract", "full_text", "sec-text")
+
+
+def frame_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text views of frames: the frames of a view's words, as words."""
+    frames = F.transform(st.long_words(tx.strip_marks(F.col("text"))), tx.frame_words)
+    chosen = corpus_views(spark, sf_dir).filter(F.col("data_type").isin(*FRAME_VIEWS))
+    return chosen.withColumn("text", F.array_join(frames, " "))
 
 
 def corpus_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +146,10 @@ PREPARED = (
     "array_to_string(list_transform(list_filter(" + WORDS + f", lambda w: w NOT IN ({STOPPED}) AND regexp_full_match(w, '\\p{{{{L}}}}+')"
     " AND length(w) % 5 > 1), lambda w: regexp_replace(w, 's$', '')), ' ')")
 
+FRAME_TEXT = (
+    "array_to_string(list_transform(list_filter(" + WORDS.format("replace(text, 'STB', '')")
+    + ", lambda w: length(w) >= 8), lambda w: replace(w[:4] || ' ' || w[5:], '_', ' ')), ' ')")
+
 QUERIES = {
     "class_counts": class_counts,
     "keys_by_class": keys_by_class,

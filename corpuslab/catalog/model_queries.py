@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
-from corpuslab.catalog.corpus_queries import PREP, VIEWS, views
+from corpuslab.catalog.corpus_queries import FRAME_TEXT, FRAME_VIEWS, PREP, VIEWS, corpus_views, frame_views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
 from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, search, splits
 from corpuslab.plans.scale import cut_lineage, global_rank
@@ -51,7 +51,13 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bayes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five splits with an inner grid search on the four text views, for both feature kinds."""
     names = corpus.label_names(st.documents(spark, sf_dir))
-    return experiments.bayes_report(views(spark, sf_dir), "doc_id", names)
+    return experiments.bayes_report(corpus_views(spark, sf_dir), "doc_id", names, corpus.DATA_TYPES)
+
+
+def frame_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report on the frames of the abstract, the full text and the important sections."""
+    names = corpus.label_names(st.documents(spark, sf_dir))
+    return experiments.bayes_report(frame_views(spark, sf_dir), "doc_id", names, FRAME_VIEWS)
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, kind: str, metric: str, k: int) -> DataFrame:
@@ -261,8 +267,8 @@ VIEW_BAG = """SELECT doc_id, label, term, count(*)::DOUBLE AS value FROM (
 ) GROUP BY doc_id, label, term"""
 
 
-def _bayes_report_sql(data_type: str) -> str:
-    models = ALL_MODELS.replace(BAG, VIEW_BAG.format(data_type))
+def _bayes_report_sql(data_type: str, text: str = "text") -> str:
+    models = ALL_MODELS.replace(BAG, VIEW_BAG.format(data_type).replace("lower(text)", f"lower({text})"))
     return f"""WITH {PREP}, {VIEWS}, {models}, {bayes_sql('m', 'td', 'x', 'xd')},
 runs AS MATERIALIZED (SELECT *, fold // 100 AS kind, (fold % 100) // 10 AS split, fold % 10 AS k FROM ({f1_sql('chosen', 'fold, point')})),
 cv AS (SELECT kind, split, point, avg(f1) AS cv_f1 FROM runs WHERE k < 9 GROUP BY kind, split, point),
@@ -275,6 +281,7 @@ SELECT 'bayes' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS fe
 FROM tested JOIN params USING (kind) GROUP BY kind"""
 
 
+FRAME_REPORT = " UNION ALL ".join(f"SELECT * FROM ({_bayes_report_sql(kind, FRAME_TEXT)})" for kind in FRAME_VIEWS)
 BAYES_REPORT = " UNION ALL ".join(f"SELECT * FROM ({_bayes_report_sql(kind)})" for kind in corpus.DATA_TYPES)
 
 
@@ -330,6 +337,7 @@ QUERIES = {
     "naive_bayes": naive_bayes,
     "grid_search": grid_search,
     "bayes_report": bayes_report,
+    "frame_report": frame_report,
     "knn_euclid": knn_euclid,
     "knn_manhattan": knn_manhattan,
     "knn_vote": knn_vote,
@@ -357,6 +365,7 @@ ORACLE = {
 cv AS (SELECT point, avg(f1) AS cv_f1 FROM ({f1_sql('chosen', 'point, fold')}) GROUP BY point)
 SELECT point::BIGINT AS point, round(cv_f1, 6) AS cv_f1, row_number() OVER (ORDER BY round(cv_f1, 12) DESC, point) = 1 AS best FROM cv""",
     "bayes_report": BAYES_REPORT,
+    "frame_report": FRAME_REPORT,
     "knn_euclid": f"WITH {knn_sql(_WEIGHTS, _EUCLID, 8)} SELECT test_key, rank, train_key, y_train, round(dist, 6) AS dist FROM ranked",
     "knn_manhattan": f"WITH {knn_sql(_COUNTS, _MANHATTAN, 8)} SELECT test_key, rank, train_key, y_train, round(dist, 6) AS dist FROM ranked",
     "knn_vote": f"""WITH {knn_sql(_WEIGHTS, _EUCLID, 20)},

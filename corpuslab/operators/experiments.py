@@ -38,36 +38,39 @@ def score_report(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def bayes_split_metrics(
-    view: DataFrame, key: str, names: Sequence[str], kinds: Sequence[str] = ("bow",), n_splits: int = 5, folds: int = 5
+    views: DataFrame, key: str, names: Sequence[str], data_types: Sequence[str], kinds: Sequence[str] = ("bow",),
+    n_splits: int = 5, folds: int = 5,
 ) -> DataFrame:
-    """(feature_type, split, point, f1, accuracy): per split the grid is searched on
+    """(feature_type, data_type, split, point, f1, accuracy): per view and split the grid is searched on
     stratified folds of the training side and the chosen smoothing is tested.
 
-    Term counts are taken once for all splits and feature kinds; the split is a column of
-    one plan.
+    views: (key, data_type, text, label), a row per document and view. Term counts are taken once for all
+    splits and feature kinds; view and split are columns of one plan, and the splits are those of the documents.
     """
     unknown = set(kinds) - {"bow", "tfidf"}
     if unknown:
         raise ValueError(f"unknown feature kinds {sorted(unknown)}")
+    by = ["data_type", "split"]
     alphas = search.GRIDS["bayes"]["alpha"]
-    roles = cut_lineage(
-        splits.stratified_splits(view.select(key, "label"), key, "label", n_splits).select(key, "label", "split", "role")
-    )
-    counts = cut_lineage(features.bag_of_words(view, key, "text"))
-    folded = cut_lineage(_folds_by_split(roles.filter("role = 'train'").drop("role"), key, folds))
-    test_docs = roles.filter("role = 'test'").drop("role")
-    raw = counts.join(folded, key), counts.join(test_docs, key)
+
+    def in_views(docs: DataFrame) -> DataFrame:
+        return docs.withColumn("data_type", F.explode(F.lit(list(data_types))))
+
+    docs = views.filter(F.col("data_type") == data_types[0]).select(key, "label")
+    roles = cut_lineage(splits.stratified_splits(docs, key, "label", n_splits).select(key, "label", "split", "role"))
+    counts = cut_lineage(features.bag_of_words(views, key, "text", ["data_type"]))
+    folded = cut_lineage(in_views(_folds_by_split(roles.filter("role = 'train'").drop("role"), key, folds)))
+    test_docs = in_views(roles.filter("role = 'test'").drop("role"))
+    raw = counts.join(folded, [key, "data_type"]), counts.join(test_docs, [key, "data_type"])
     runs = []
     for kind in kinds:
-        train, test = raw if kind == "bow" else _tfidf_by_split(*raw, folded, key)
+        train, test = raw if kind == "bow" else _tfidf_by(*raw, folded, key, by)
         train = cut_lineage(train)  # read as training and as validation side
-        cv = bayes.bayes_predictions(
-            train, folded, train, folded, key, names, alphas, by=["split"], fold="fold", folds=folds
-        )
-        chosen = search.best_point(search.fold_scores(cv, ["split"]), ["split"])
-        tested = bayes.bayes_predictions(train, folded, test, test_docs, key, names, alphas, by=["split"])
-        kept = tested.join(F.broadcast(chosen.select("split", "point")), ["split", "point"])  # a row per split
-        runs.append(metrics.accuracy_f1(kept, ["split", "point"]).withColumn("feature_type", F.lit(kind)))
+        cv = bayes.bayes_predictions(train, folded, train, folded, key, names, alphas, by=by, fold="fold", folds=folds)
+        chosen = search.best_point(search.fold_scores(cv, by), by)
+        tested = bayes.bayes_predictions(train, folded, test, test_docs, key, names, alphas, by=by)
+        kept = tested.join(F.broadcast(chosen.select(*by, "point")), [*by, "point"])  # a row per view and split
+        runs.append(metrics.accuracy_f1(kept, [*by, "point"]).withColumn("feature_type", F.lit(kind)))
     return union_all(runs)
 
 
@@ -79,29 +82,25 @@ def _folds_by_split(train_docs: DataFrame, key: str, folds: int) -> DataFrame:
     ).drop("_stratum")
 
 
-def _tfidf_by_split(
-    train: DataFrame, test: DataFrame, docs: DataFrame, key: str
+def _tfidf_by(
+    train: DataFrame, test: DataFrame, docs: DataFrame, key: str, by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF with each split's own document frequencies."""
-    sizes = docs.groupBy("split").agg(F.count("*").cast("double").alias("n"))
-    frequency = train.groupBy("split", "term").agg(F.count("*").alias("df"))
-    idf = frequency.join(F.broadcast(sizes), "split").select(  # sizes: a row per split
-        "split", "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
+    """TF-IDF with the document frequencies of each view and split."""
+    sizes = docs.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
+    frequency = train.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    idf = frequency.join(F.broadcast(sizes), list(by)).select(  # sizes: a row per view and split
+        *by, "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
     )
-    return features.weigh(train, idf, key, ["split"]), features.weigh(test, idf, key, ["split"])
+    return features.weigh(train, idf, key, by), features.weigh(test, idf, key, by)
 
 
 def bayes_report(
-    views: Mapping[str, DataFrame], key: str, names: Sequence[str], kinds: Sequence[str] = ("tfidf", "bow")
+    views: DataFrame, key: str, names: Sequence[str], data_types: Sequence[str], kinds: Sequence[str] = ("tfidf", "bow")
 ) -> DataFrame:
     """(model_type, feature_type, data_type, best and mean scores, best_params)."""
     alphas = search.GRIDS["bayes"]["alpha"]
-    runs = [
-        bayes_split_metrics(view, key, names, kinds).withColumn("data_type", F.lit(data_type))
-        for data_type, view in views.items()
-    ]
     by = ["feature_type", "data_type"]
-    all_runs = cut_lineage(union_all(runs))
+    all_runs = cut_lineage(bayes_split_metrics(views, key, names, data_types, kinds))
     best = metrics.best_params(all_runs, by, "point").withColumn(
         "best_params", F.format_string("{'alpha': %s}", corpus.decode_label(F.col("best_params"), [str(a) for a in alphas]))
     )
