@@ -137,6 +137,15 @@ def logreg_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.fit_predict(learners.linear_head(max_iter=100), train, test, "vec_id")
 
 
+def head_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear head on frozen vectors over two splits, its penalty chosen on three folds."""
+    rows = st.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    grid = [{"reg": 0.0}, {"reg": 0.1}]
+    return experiments.learner_report(
+        learners.as_features(rows).select("vec_id", "features", "label"), "vec_id",
+        lambda p: learners.linear_head(max_iter=100, reg=p["reg"]), grid, "linear head", n_splits=2, folds=3)
+
+
 def word2vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = st.documents(spark, sf_dir)
     return learners.document_word2vec(docs, "doc_id", "text")
@@ -346,6 +355,7 @@ QUERIES = {
     "linear_svm": linear_svm,
     "mlp": mlp,
     "logreg_head": logreg_head,
+    "head_report": head_report,
     "word2vec_doc": word2vec_doc,
     "confusion": confusion,
     "accuracy_f1": accuracy_f1,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.operators import bayes, corpus, features, metrics, scoring, search, splits
+from corpuslab.operators import bayes, corpus, features, learners, metrics, scoring, search, splits
 from corpuslab.plans.scale import cut_lineage
 
 DICTIONARY_CONFIGS = {"uni": ["uni"], "uni-bi": ["uni", "bi"]}
@@ -109,6 +110,33 @@ def bayes_report(
     )
 
 
+def learner_report(
+    rows: DataFrame, key: str, make: Callable[[dict], Estimator], grid: Sequence[dict], model_type: str,
+    n_splits: int = 5, folds: int = 5,
+) -> DataFrame:
+    """(model_type, best and mean scores, best_params) of a Spark ML learner over stratified splits: on
+    each training side the grid is searched by mean fold macro F1, and the chosen point is tested.
+
+    rows: (key, features, label index). ``make`` builds the learner of a grid point. Splits, folds and
+    grid points are parameters, so the loops do not grow with the data.
+    """
+    roles = cut_lineage(splits.stratified_splits(rows, key, "label", n_splits))
+    runs = []
+    for split in range(n_splits):
+        train, test = (roles.filter((F.col("split") == split) & (F.col("role") == r)).drop("role", "split") for r in ("train", "test"))
+        folded = cut_lineage(splits.stratified_folds(train, "label", key, folds))
+        answers = search.cross_validate([make(p) for p in grid], folded, key)
+        chosen = search.best_point(search.fold_scores(answers, [])).first().point
+        tested = learners.fit_predict(make(grid[chosen]), train, test, key)
+        runs.append(tested.select(
+            F.lit(model_type).alias("model_type"), F.lit(split).alias("split"), F.lit(chosen).alias("point"), "y", "yhat"))
+    scored = cut_lineage(metrics.accuracy_f1(union_all(runs), ["model_type", "split", "point"]))
+    best = metrics.best_params(scored, ["model_type"], "point").withColumn(
+        "best_params", corpus.decode_label(F.col("best_params"), [str(p) for p in grid]))
+    return metrics.run_summary(scored, ["model_type"]).join(best, ["model_type"]).select(
+        "model_type", "best_f1", "avg_f1", "best_accuracy", "avg_accuracy", "best_params")
+
+
 def similarity_report(chunks: DataFrame, truth: DataFrame, key: str, labels: Column, names: Sequence[str]) -> DataFrame:
     """(embed_type, f1_score, accuracy) for chunked and averaged documents; truth: (key, y)."""
     answers = union_all([
