@@ -148,7 +148,7 @@ def head_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word2vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = st.documents(spark, sf_dir)
-    return learners.document_word2vec(docs, "doc_id", "text")
+    return learners.document_word2vec(docs, "doc_id", "text", epochs=10)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

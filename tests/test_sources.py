@@ -11,7 +11,8 @@ def test_keyed_corpus(spark, tmp_path):
     rows = corpora.read_keyed_corpus(spark, str(path)).orderBy("seq").collect()
     assert [(r.seq, r.key, r.doi, r.label) for r in rows] == [(0, "k2", "10/1", "Mixed"), (1, "k1", "10/2", "Qualitative")]
     assert [(s.name, s.text) for s in rows[0].sections] == [("Intro", "x"), ("Body", ""), ("End", "z")]
-    flat = corpus.assemble(corpora.read_keyed_corpus(spark, str(path)), "doi", "label", "title").orderBy("id").first()
+    words = spark.createDataFrame([("x", "NOUN", "x")], "word string, pos string, lemma string")
+    flat = corpus.assemble(corpora.read_keyed_corpus(spark, str(path)), "doi", "label", "title", words).orderBy("id").first()
     assert flat.full_text == "a SBA x SBA z"
 
 
