@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.llm.common import connected_components
 from corpuslab.plans.scale import cut_lineage
@@ -66,13 +67,18 @@ def _vectors(batch: pa.RecordBatch, column: int) -> list[np.ndarray | None]:
     return out
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        usable = _vectors(batch, 1)
-        found = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in usable]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(found, pa.binary()), pa.array(usable, pa.list_(pa.float64()))],
-            ["id", "digest", "vector"])
+def _digests(kind: pa.DataType):
+    """``kind`` is the components' own type: a vector of floats travels as floats, which is exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            usable = _vectors(batch, 1)
+            found = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in usable]
+            numbers = [None if x is None else x.astype(kind.to_pandas_dtype()) for x in usable]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(found, pa.binary()), pa.array(numbers, pa.list_(kind))], ["id", "digest", "vector"])
+
+    return run
 
 
 def _hashes(tables: int, width: int):
@@ -156,14 +162,17 @@ def _compare(cosine: float):
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """(key, n_links, component_id, kept), one row per input row."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    marked = rows.mapInArrow(_digests, "id long, digest binary, vector array<double>").withColumn(
+    kind = "float" if rows.schema["vector"].dataType.elementType == T.FloatType() else "double"
+    rows = rows.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+    marked = rows.mapInArrow(
+        _digests(pa.float32() if kind == "float" else pa.float64()), f"id long, digest binary, vector array<{kind}>").withColumn(
         "digest", F.when(F.col("id").isNotNull(), F.col("digest")))
     distinct = cut_lineage(marked.filter("digest is not null").groupBy("digest").agg(
         F.min("id").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector")))
     distinct = distinct.withColumn("rep", F.monotonically_increasing_id())  # of written rows, so it stays the same
     width, tables = plan(distinct.count(), cosine)
     hashed = cut_lineage(distinct.select("rep", "vector", "n").mapInArrow(
-        _hashes(tables, width), "rep long, vector array<double>, n long, keys array<int>"))
+        _hashes(tables, width), f"rep long, vector array<{kind}>, n long, keys array<int>"))
     dealt = hashed.select("*", F.posexplode("keys").alias("table", "key"))
     sizes = cut_lineage(dealt.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1"))
     placed = dealt.join(sizes, ["table", "key"]).withColumn(

@@ -73,3 +73,11 @@ def test_recall_at_the_threshold():
     width, tables = embeddings.plan(1_000_000, 0.95)
     near = embeddings.collision((2 - 2 * 0.95) ** 0.5) ** width
     assert (1 - near) ** tables <= 1e-3
+
+
+def test_doubles_and_integers(spark):
+    rows = [(1, [1.0, 1e-9]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    for kind in ("double", "int"):
+        frame = spark.createDataFrame([(k, [int(x) for x in v] if kind == "int" else v) for k, v in rows], f"vec_id long, embedding array<{kind}>")
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect())
+        assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
