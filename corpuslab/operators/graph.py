@@ -212,7 +212,7 @@ def pagerank(
 
     Edges are placed by (src, part) once and kept; parts split the sources with many edges. A round
     meets them with the ranks placed alike, so no edge moves; what moves is the sums per node.
-    Only the dangling mass and the total change, two numbers, reach the driver.
+    The dangling mass is a scalar subquery; only the total change reaches the driver.
     """
     n = nodes.count()
     if hot is None:
@@ -232,8 +232,8 @@ def pagerank(
     rounds_left = rounds if rounds is not None else max_rounds
     while rounds_left:
         rounds_left -= 1
-        lost = state.filter("w IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-        base = (1.0 - damping) / n + damping / n * lost
+        lost = state.filter("w IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0))).scalar()
+        base = F.lit((1.0 - damping) / n) + F.lit(damping / n) * lost
         sent = state.filter("w IS NOT NULL").select(
             F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"),
             (F.col("r") * F.col("w")).alias("share")).repartition(partitions, "src", "part")
@@ -244,7 +244,7 @@ def pagerank(
         keep = state.select("id", F.lit(0.0).alias("in"), F.col("r").alias("was"), "w", "copies")
         state = cut_lineage(flow.unionByName(keep).groupBy("id").agg(
             F.sum("in").alias("in"), F.max("was").alias("was"), F.max("w").alias("w"), F.max("copies").alias("copies")).select(
-            "id", (F.lit(base) + F.lit(damping) * F.col("in")).alias("r"), "was", "w", "copies"))
+            "id", (base + F.lit(damping) * F.col("in")).alias("r"), "was", "w", "copies"))
         if rounds is None:
             change = state.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0
             if change < n * tolerance:
