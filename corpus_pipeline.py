@@ -15,7 +15,7 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.add_statistics(docs.select(*DOCUMENTS))
-    cutoffs = quality.fit_cutoffs(scored, table(spark, sf_dir, "labels"))
+    cutoffs = quality.fit_cutoffs(scored, table(spark, sf_dir, "labels"), pool=True)
     return quality.judge(scored, cutoffs).filter("kept").select(*DOCUMENTS)
 
 

@@ -7,7 +7,10 @@ with n good documents, a cutoff that rejects x of them is allowed if
 the number of strata times rules (Bonferroni). Cutoffs lie on a fixed grid, so counting is one
 partial aggregation, and among the allowed cutoffs the one with most rejected bad documents
 less ``penalty`` times the rejected good ones is taken, on ties the most lenient.
-A stratum with too few good documents to prove any cutoff keeps its documents.
+A stratum with too few good documents to prove any cutoff keeps its documents, unless such strata
+are pooled (``pool``): then they are tested together, as one stratum, at the level of every other
+test. The pool makes one test per rule where its strata would make one each, so the total error
+share still holds; for the pool's strata ``alpha`` bounds the good documents of the pool, not of each.
 
 Defined results: a null or blank text has no words and fails the base rules; a null stratum is
 the stratum ''; labels that are null or of unknown documents are ignored; a document labelled
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from corpuslab.llm.common import SPACES, numbered, word_array
-from corpuslab.plans.scale import compute_once, cut_lineage
+from corpuslab.plans.scale import compute_once, cut_lineage, measured
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "capitals", "exclaims", "dup_lines", "repeats")
@@ -121,13 +124,14 @@ def allowed_rejections(n: Column, alpha: float, level: Column) -> Column:
 
 def fit_cutoffs(
     scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", quality: str = "quality",
-    alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY,
+    alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY, pool: bool = False,
 ) -> DataFrame:
     """(stratum, cutoffs array<int> in the order of RULES; GRID + 1 rejects nothing).
 
     ``scored`` has the key, the stratum and ``_s``. Rows of a stratum exist only where it has
     holdout documents; there are at most (labels) / (least n that proves a cutoff) strata with
-    any cutoff, which bounds the table that is broadcast later.
+    a cutoff of their own. With ``pool`` every stratum with a label can have one: ``judge``
+    counts the table before it is broadcast.
     """
     truth = labels.filter(F.col(quality).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.min(quality).alias("_good"))
@@ -138,22 +142,33 @@ def fit_cutoffs(
         "stratum", "rule", "bin").agg(  # a row per grid value, read several times below
         F.sum(F.when(F.col("_good") > 0, 1).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("_good") > 0, 0).otherwise(1)).alias("bad")))
-    total = W.Window.partitionBy("stratum", "rule")
-    down = total.orderBy(F.desc("bin")).rowsBetween(W.Window.unboundedPreceding, 0)
-    ladder = counts.select(
-        "stratum", "rule", "bin", F.sum("good").over(total).alias("n"),
-        F.sum("good").over(down).alias("x"), F.sum("bad").over(down).alias("y"))
-    groups = ladder.groupBy("stratum", "rule").agg(F.max("n").alias("n"))
+    limit = lambda n, tests: allowed_rejections(F.col(n), alpha, F.lit(delta) / F.col(tests))
+    groups = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
     tests = groups.agg(F.count("*").alias("tests"))
     limits = groups.crossJoin(F.broadcast(tests)).select(  # one row beside one row
-        "stratum", "rule",
-        allowed_rejections(F.col("n"), alpha, F.lit(delta) / F.col("tests")).alias("k"))
-    best = ladder.join(limits, ["stratum", "rule"]).filter((F.col("x") <= F.col("k")) & (F.col("bin") > 0)).withColumn(
-        "gain", F.col("y") - penalty * F.col("x")).filter("gain > 0").groupBy("stratum", "rule").agg(
+        "stratum", "rule", "tests", limit("n", "tests").alias("k"))
+    members = limits.select("stratum", F.col("stratum").alias("group"), "rule", "k")
+    if pool:
+        small = F.col("k") < 0  # by the number of its good documents alone, so alike for all rules
+        together = groups.join(limits.filter(small), ["stratum", "rule"]).groupBy("rule").agg(
+            F.sum("n").alias("n"), F.max("tests").alias("tests")).select("rule", limit("n", "tests").alias("pk"))
+        members = limits.join(F.broadcast(together), "rule", "left").select(  # a row per rule
+            "stratum", F.when(~small, F.col("stratum")).alias("group"), "rule",
+            F.when(small, F.col("pk")).otherwise(F.col("k")).alias("k"))
+    members = cut_lineage(members)
+    bins = counts.join(members, ["stratum", "rule"]).groupBy("group", "rule", "bin").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("k").alias("k"))
+    down = W.Window.partitionBy("group", "rule").orderBy(F.desc("bin")).rowsBetween(W.Window.unboundedPreceding, 0)
+    ladder = bins.select(
+        "group", "rule", "bin", "k", F.sum("good").over(down).alias("x"), F.sum("bad").over(down).alias("y"))
+    best = ladder.filter((F.col("x") <= F.col("k")) & (F.col("bin") > 0)).withColumn(
+        "gain", F.col("y") - penalty * F.col("x")).filter("gain > 0").groupBy("group", "rule").agg(
         F.max(F.struct("gain", "bin")).alias("b"))
-    return best.groupBy("stratum").agg(F.array(*(
+    cutoffs = best.groupBy("group").agg(F.array(*(
         F.coalesce(F.max(F.when(F.col("rule") == i, F.col("b.bin"))), F.lit(GRID + 1)) for i in range(len(RULES))
     )).alias("cutoffs"))
+    named = members.select("stratum", "group").distinct().withColumnRenamed("group", "_group")
+    return named.join(cutoffs, F.col("_group").eqNullSafe(F.col("group"))).select("stratum", "cutoffs")
 
 
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -161,7 +176,7 @@ def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataF
     rows, back = numbered(scored.drop("base_failed", "kept"))
     rows = rows.withColumn("_stratum", F.coalesce(F.col(back[stratum]).cast("string"), F.lit("")))
     rows = rows.join(
-        F.broadcast(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cut"))),
+        measured(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cut"))),
         "_stratum", "left")
     over = F.exists(
         F.zip_with(rule_bins(back["_s"]), "_cut", lambda b, c: b >= c), lambda x: F.coalesce(x, F.lit(False)))

@@ -2,11 +2,16 @@
 
 import math
 import re
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.llm import quality
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from corpuslab.llm import quality  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,3 +99,36 @@ def test_base_rules_and_ties(spark):
     none = spark.createDataFrame([], "stratum string, cutoffs array<int>")
     got = sorted((r.doc_id, r.base_failed, r.kept) for r in quality.judge(scored, none).collect())
     assert got == [(1, False, True), (1, False, True), (2, True, False), (3, True, False), (4, False, True)]
+
+
+def test_small_strata_are_pooled(spark):
+    """Strata that prove nothing alone lose their junk together, within the bound over the pool; without
+    enough good documents in all of them they still lose nothing."""
+    rows, labels = [], []
+    for i in range(1100):
+        junk = i % 10 == 0
+        mark = "#### " if junk else ""
+        rows.append((i, " ".join(f"{mark}word{i}x{k}" for k in range(60)), f"l{i % 3}"))
+        labels.append((i, 0 if junk else 1))
+    scored = quality.add_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string")).cache()
+    held = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert quality.fit_cutoffs(scored, held).count() == 0
+    out = {r.doc_id: r.kept for r in quality.judge(scored, quality.fit_cutoffs(scored, held, pool=True)).collect()}
+    assert [i for i in out if not out[i]] and all(out[i] == bool(i % 10) for i in out)
+    assert quality.fit_cutoffs(scored, held.limit(300), pool=True).count() == 0
+
+
+def test_pipeline_drops_labelled_junk_of_every_language(spark):
+    """sf0.1: of the labelled bad documents past the base rules those full of symbols go, in all languages."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.add_statistics(docs.join(labels.select("doc_id", "quality"), "doc_id")).filter(~quality.base_failed()).select(
+        "doc_id", "lang", "quality", (F.col("_s.n_symbols") / F.col("_s.word_chars")).alias("symbols")).cache()
+    kept = corpus_pipeline.quality_rules(spark, docs, folder).select("doc_id").withColumn("kept", F.lit(1))
+    found = {(r.lang, r.quality): r for r in scored.join(kept, "doc_id", "left").groupBy("lang", "quality").agg(
+        F.count("*").alias("n"), F.count("kept").alias("kept"), F.expr("count_if(symbols >= 0.1 and kept = 1)").alias("junk")).collect()}
+    for lang in ("de", "en", "es", "fr"):
+        assert found[lang, 0].junk == 0 and found[lang, 0].kept < 0.1 * found[lang, 0].n
+    small = [found[lang, 1] for lang in ("de", "es", "fr")]
+    assert sum(r.n - r.kept for r in small) <= quality.ALPHA * len(quality.RULES) * sum(r.n for r in small)
