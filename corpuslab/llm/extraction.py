@@ -8,7 +8,10 @@ content nodes: the subtree that holds them (an article or main element if they l
 short paragraph stays because of its path, and a long notice elsewhere does not pass.
 
 Elements that are never main text (scripts, styles, menus, footers, forms, adverts, reader comments and the
-like) are left out by tag, role, class or id before paths are counted.
+like) are left out by tag, role, class or id before paths are counted. A class, id or role counts if the
+whole of it is such a name, besides words of place and kind ('site-footer', not 'has-sidebar'); an element
+left out by name stays if it holds more than MOST of the text that is left without it. In an article, names that
+its own parts can bear too (OWN) leave the choice to the scores, and lists of links stay.
 
 Inline elements belong to their block. Character references are decoded; white space in a block
 becomes one space; blocks are joined by a newline. Defined results: null, empty and text-free pages
@@ -32,9 +35,10 @@ from corpuslab.llm.common import slices
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -56,6 +60,15 @@ LEFT_OUT_NAMES = {
     "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor",
     "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
+#: Words that may stand beside such a name in a class or id.
+BESIDE = {
+    "area", "article", "aside", "bar", "block", "body", "bottom", "box", "container", "content", "entry", "footer", "global", "group",
+    "header", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary",
+    "right", "secondary", "section", "site", "slot", "text", "title", "top", "unit", "wrap", "wrapper",
+}
+#: In an article the scores decide about elements of these names.
+OWN = {"alert", "banner", "disclaimer", "discussion", "notice", "notices", "notification", "widget"}
+MOST = 0.9
 #: Left out unless they lie in the article itself.
 OUTER = {"header", "masthead", "topbar"}
 CONTENT = {"article", "main"}
@@ -71,13 +84,22 @@ LINKED = 0.8
 
 
 def _names(attributes: str) -> set[str]:
-    return {part for m in _NAMED.finditer(attributes) for part in _PART.findall((m[2] or m[3] or m[4] or "").lower())}
+    """The names in LEFT_OUT_NAMES and OUTER that a whole class, id or role bears."""
+    found: set[str] = set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            parts = set(_PART.findall(_HUMP.sub("-", token).lower()))
+            named = parts & (LEFT_OUT_NAMES | OUTER)
+            if named and parts - named <= BESIDE:
+                found |= named
+    return found
 
 
 def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of the blocks in page order, without what is left out."""
-    blocks: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = [("", False)]  # (name, whether its text is left out)
+    blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
+    # (name, whether its text is left out, the elements around it that are left out by name, its name in paths)
+    stack: list[tuple[str, bool, tuple[int, ...], str]] = [("", False, (), "")]
     pieces: list[str] = []
     links: list[str] = []
     state = {"link": 0}
@@ -87,7 +109,7 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not stack[-1][1]:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                blocks.append((tuple(name for name, _ in stack[1:]), text, min(linked, len(text))))
+                blocks.append((tuple(x[3] for x in stack[1:]), text, min(linked, len(text)), stack[-1][2]))
             pieces.clear()
             links.clear()
 
@@ -148,17 +170,32 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         if name == "body":
             del stack[1 + (len(stack) > 1 and stack[1][0] == "html"):]
-        inside = any(n in CONTENT for n, _ in stack)
-        names = _names(attributes) if attributes else set()
+        around = [(x[0], x[1] or bool(x[2])) for x in stack if x[0] in CONTENT]
+        inside = any(not gone or n == "article" or name != "article" for n, gone in around)
+        names = _names(attributes) if attributes and name not in ("html", "body") else set()
         if name in CONTENT and not inside and not names & LEFT_OUT_NAMES:
-            while stack[-1][1] and len(stack) > 1:  # an unclosed advert or menu does not swallow the article
+            while (stack[-1][1] or stack[-1][2]) and len(stack) > 1:  # an unclosed advert or menu does not swallow the article
                 stack.pop()
-        out = stack[-1][1] or name in LEFT_OUT or (name not in ("html", "body") and bool(names & LEFT_OUT_NAMES)) or (
-            not inside and (name in OUTER or bool(names & OUTER) and name not in ("html", "body"))) or bool(
+        out = stack[-1][1] or name in LEFT_OUT or (not inside and name in OUTER) or bool(
             attributes and _HIDDEN.search(attributes))
-        stack.append((name, out))
+        if inside:
+            names -= OUTER
+        own = bool(names) and names <= OWN and any(x[0] == "article" for x in stack)
+        named = (*stack[-1][2], at) if names and not own else stack[-1][2]
+        stack.append((name, out, named, f"{name}!" if own else name))
     flush()
-    return blocks
+    return _without_named(blocks)
+
+
+def _without_named(blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]) -> list[tuple[tuple[str, ...], str, int]]:
+    """The blocks outside the elements that are left out by name, and those of such an element if it
+    holds nearly all of the text."""
+    held: dict[tuple[int, ...], int] = {}
+    for _, text, _, named in blocks:
+        held[named] = held.get(named, 0) + len(text)
+    seen = held.get((), 0)
+    stays = {x for x, n in held.items() if not x or len(x) == 1 and n > MOST * (n + seen)}
+    return [(path, text, linked) for path, text, linked, named in blocks if named in stays]
 
 
 def content_paths(blocks: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
@@ -192,7 +229,8 @@ def content_paths(blocks: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[s
         roots = {root}
     picked = set(held)
     for p in paths:
-        if any(p[: len(r)] == r for r in roots) and sums[p][2] <= LINKED * sums[p][0]:
+        if any(p[: len(r)] == r for r in roots) and not any(n.endswith("!") for n in p) and (
+                "article" in p or sums[p][2] <= LINKED * sums[p][0]):
             picked.add(p)
     return picked
 

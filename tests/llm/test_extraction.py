@@ -57,3 +57,28 @@ def test_frames(spark):
     assert got[1] == got[2] == got[3] == ("", 0) and got[None] == ("é日", 2)
     assert got[4][0].count("\n") == 19_999
     assert out.count() == 6 and extract(pages.limit(0)).count() == 0
+
+
+def test_names_of_layout_leave_no_article_out():
+    text = "<h1>Title</h1><p>A paragraph with text, commas, and more of it.</p><p>Another paragraph, with text again.</p>"
+    want = "Title\nA paragraph with text, commas, and more of it.\nAnother paragraph, with text again."
+    for body in (
+        f'<div class="site has-sidebar">{text}</div>', f'<div class="with-ads" id="no-comments">{text}</div>',
+        f'<main class="no-sidebar">{text}</main>', f'<main class="sidebar"><article>{text}</article></main>',
+        f'<div class="sidebar">{text}</div>', f'<article class="post-with-comments">{text}</article>',
+        f'<article><section aria-label="Share of solar power">{text}</section></article>',
+    ):
+        assert main_text(HEAD + MENU + body + FOOT) == want, body
+    assert main_text(HEAD + f'<article>{text}<div class="notice"><p>Mind this long note of the article, please.</p></div></article>').startswith(want)
+
+
+def test_lists_of_links_in_an_article():
+    links = '<ul><li><a href="/1">First source</a></li><li><a href="/2">Second source</a></li></ul>'
+    body = f"<article><p>A long paragraph with text, commas, and more words of it.</p>{links}</article>"
+    assert main_text(page(body)) == "A long paragraph with text, commas, and more words of it.\nFirst source\nSecond source"
+
+
+def test_whole_names_still_go():
+    text = "<p>A paragraph with text, commas, and more of it, so that it is the text of this page.</p>"
+    for name in ('class="site-footer"', 'id="postComments"', 'class="x sidebar"', 'class="ad-slot-1"', 'role="navigation"'):
+        assert main_text(f"<body><div><div>{text}</div><div {name}><p>Not this, but long, too.</p></div></div>") == text[3:-4], name
