@@ -24,8 +24,9 @@ WIDTH = 1 << 14
 SIZES = (3, 4, 5)
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The small labelled table: invented names, none of them a host of the test tables, each under the same prefixes,
-#: domains and paths, so that only the name tells the classes apart.
+#: The small labelled table: invented names, none of them a host of the test tables. A blocked or allowed name stands
+#: under the same prefixes, domains and neutral paths; a blocked or allowed path under the same hosts, the allowed
+#: names and bare domains, so that only one part of a URL tells its class.
 BLOCKED = (
     "casino-royal best-casino online-casino sport-bets bets-now betting-tips poker-room poker-win "
     "jackpot-slots slots-free adult-video adult-chat xxx-tube porn-clips porn-x escort-city hot-webcam-sex "
@@ -47,12 +48,35 @@ ALLOWED = (
     "planet cabinet internet-cafe budget alphabet tablet cricket ticket jacket adventure address admiral "
     "advice academy track-field racing-track tractor traction bank-holiday clickwork").split()
 PREFIXES, DOMAINS, PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/en/12", "/de/345.html")
+BLOCKED_PATHS = (
+    "adult-clips adult-movies adult-films xxx-video porn-video adult adult-chat xxx-movies porn-pics porn-stars sex-cams escort-girls casino-bonus "
+    "online-casino casino-slots poker-bonus sport-betting bets-today jackpot-slots buy-viagra pills-order "
+    "pharma-offers payday-loans spam-links link-farm warez-download keygen-crack torrent-download "
+    "phishing-form malware-setup banner-ads ads-click adserver popup-ads click-tracker tracking-pixel "
+    "free-money win-prize replica-watches crypto-doubler").split()
+ALLOWED_PATHS = (
+    "dairy-farm farm-shop farming free-entry prize-draw special-offers hot-spots online-courses "
+    "news article articles archive about contact blog posts wiki help books music-video video-clips clip clips "
+    "movies pictures stars weather travel recipes science history sports-news football education "
+    "adults-learning download setup forms links-page garden library index.html page maps money-matters "
+    "prize-winners watches watch orders online login order-status address tracks advice cameras girls-school "
+    "chat-room bonus-material").split()
+#: Every name with a path, and every path with a host, on so many hosts.
+PATH_HOSTS = 12
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): 1 is to be blocked."""
     rows = [(f"https://{prefix}{name}.{domain}{path}", label) for names, label in ((BLOCKED, 1.0), (ALLOWED, 0.0))
             for name in names for prefix in PREFIXES for domain in DOMAINS for path in PATHS]
+    hosts = [f"{prefix}{domain}" for prefix in PREFIXES for domain in DOMAINS]
+    hosts += [f"{name}.{DOMAINS[i % 3]}" for i, name in enumerate(ALLOWED)]
+    n = 0
+    for words, label in ((BLOCKED_PATHS, 1.0), (ALLOWED_PATHS, 0.0)):
+        for i, word in enumerate(words):
+            for k in range(PATH_HOSTS):  # alike bare and named hosts; the word alone, first or last
+                at = hosts[(i + 5 * k) % 12] if k % 2 else hosts[12 + (n := n + 1) % len(ALLOWED)]
+                rows.append((f"https://{at}" + (f"/{word}", f"/{word}/12", f"/en/{word}", f"/{word}/clip")[k % 4], label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -103,7 +127,7 @@ def _grams(parts: Column, mark: str) -> Column:
 def with_grams(urls: DataFrame, url: str = "url") -> DataFrame:
     parts = urls.withColumn("host", host(url)).withColumn("path", path(url))
     return parts.withColumn("_grams", F.concat(
-        _grams(F.split("host", "[.-]"), "h"), _grams(F.split("path", "/"), "p")))
+        _grams(F.split("host", "[.-]"), "h"), _grams(F.split("path", "[/._-]"), "p")))
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label") -> PipelineModel:

@@ -57,6 +57,14 @@ def test_empty_table_and_repeated_rows(spark, model):
     assert urls.judge(frame.limit(0), model, URL_RULES).count() == 0
 
 
+def test_bad_paths_under_neutral_hosts(spark, model):
+    bad = ["https://www.example.org/adult-video/clip", "http://example.com/en/casino-games", "https://garden.example.net/spam-farm/12"]
+    good = ["https://www.example.org/music-video/clip", "http://example.com/en/board-games", "https://garden.example.net/fish-farm/12"]
+    frame = spark.createDataFrame([(u,) for u in bad + good], "url string")
+    got = {r.url: r.verdict for r in urls.judge(frame, model, []).collect()}
+    assert [got[u] for u in bad] == ["block"] * 3 and [got[u] for u in good] == ["allow"] * 3
+
+
 def test_table_has_no_name_of_the_test_pages(spark, model):
     """Hosts of the pages share no name with the table; the made-up prose names pass, the hyphenated ones of
     bets, adult, spam, pills and trackers are blocked."""
