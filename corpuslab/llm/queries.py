@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import archives, bpe, embeddings, extraction, infill, language, mixing, quality, simhash, suffix, urls
+from corpuslab.llm import archives, bpe, centroids, embeddings, extraction, infill, language, mixing, quality, simhash, suffix, urls
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
@@ -86,6 +86,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.restore(infill.transform(docs)))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return centroids.digests(centroids.cluster(vectors))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op4_language_id": op4_language_id,
@@ -98,7 +103,31 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
+def lloyd_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024) -> str:
+    """The rounds of the clustering as one chain of common tables."""
+    nearest = """(SELECT r, vec_id, x, arg_min(struct_pack(c := c, d := d), struct_pack(d := d, c := c)) AS a FROM
+  (SELECT r, vec_id, x, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {0})
+  GROUP BY r, vec_id, x)"""
+    steps = [f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = {size}
+  AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: CAST(floor({scale} * x) AS BIGINT)) AS x FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m
+  FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k}))"""]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED {nearest.format(f'c{i}')},
+s{i} AS (SELECT a.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY a.c, i),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(t.m, c{i}.m) AS m FROM c{i}
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY c) t USING (c))""")
+    return ",\n".join(steps) + f""",
+z AS (SELECT vec_id, a.c AS c, a.d AS distance FROM {nearest.format(f'c{rounds}')})
+SELECT vec_id, CAST(z.c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} ON z.c = c{rounds}.c"""
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
@@ -223,4 +252,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
     ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
 FROM c""",
+    "op13_centroid_clustering": lloyd_sql(),
 }
