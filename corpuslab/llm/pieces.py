@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import slices
+from corpuslab.llm.infill import byte_slices
 
 #: Parts whose pieces a worker keeps; parts of more than KEEP characters are never kept and merge in a heap.
 CACHE, KEEP = 300_000, 48
@@ -134,17 +135,18 @@ class Codec:
         self.model = model = Model(file)
         normal = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         place = {s: r for r, s in enumerate(sorted({model.pieces[i][1] for i in normal.values()}, reverse=True))}
-        self.ids = normal
+        self.sized = {p: (i, len(p.encode())) for p, i in normal.items()}
         self.ranks = {p: place[model.pieces[i][1]] for p, i in normal.items()}
         self.none = len(place)
         self.unknown = next(i for i, (*_, kind) in enumerate(model.pieces) if kind == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
-        self.joinable = {c for p in normal if len(p) > 1 for c in p}
+        joined = {c for p in normal if len(p) > 1 for c in p}
+        alone = "".join(regex.escape(chr(c)) for c in range(128) if chr(c) not in joined)
         inner = any(BLANK in p.lstrip(BLANK) for p in normal)  # then blanks bind to both sides
-        others = "".join(map(regex.escape, sorted(self.joinable - {BLANK})))
-        run = f"[{others}]+" if others else "(?!)"
-        whole = f"[{others}{BLANK}]+" if inner or BLANK not in self.joinable else f"{BLANK}*{run}|{BLANK}+"
-        self.parts = regex.compile(f"{whole}|.", regex.DOTALL).findall
+        alone_one = f"[{alone}]" if alone else "(?!)"
+        self.parts = regex.compile(
+            f"[^{alone}]+|{alone_one}" if inner and alone else "(?s:.+)" if inner
+            else f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|{alone_one}").findall
         self.known: dict[str, tuple[bytes, bytes]] = {}
         blank = BLANK.encode()
         self.surface = [
@@ -157,38 +159,41 @@ class Codec:
         if not raw:
             return b"", np.zeros(1, np.int64)
         model, blank = self.model, BLANK.encode() if self.model.escape else b" "
+        head = 0
         if model.map is None and not model.squeeze and _sound(raw):
             data = np.frombuffer(raw, np.uint8)
             made = raw.replace(b" ", blank)
             origin = np.repeat(np.arange(len(raw)), np.where(data == 32, len(blank), 1))
         else:
-            made, origin = self._normalise_by_map(raw, blank)
-        if model.dummy:  # the blank in front came from the first byte that was kept
-            lead = origin[0] if len(made) else 0
-            made, origin = blank + made, np.concatenate([np.full(len(blank), lead), origin])
-        if len(origin) == len(made):
-            origin = np.append(origin, len(raw))
+            made, origin, head = self._normalise_by_map(raw, blank)
+        origin = np.append(origin, len(raw))
+        if model.dummy and (len(made) or not model.squeeze):
+            made, origin = blank + made, np.concatenate([np.full(len(blank), head), origin])
         if model.squeeze:
             while made.endswith(blank):
                 made, origin = made[: len(made) - len(blank)], origin[: len(origin) - len(blank)]
         return made, origin
 
-    def _normalise_by_map(self, raw: bytes, blank: bytes) -> tuple[bytes, np.ndarray]:
-        out, origin = bytearray(), []
-        at, spaced = 0, self.model.squeeze
+    def _normalise_by_map(self, raw: bytes, blank: bytes) -> tuple[bytes, np.ndarray, int]:
+        """Normalised bytes, their sources, and the source behind the blanks skipped at the head."""
+        out, origin, at, squeeze = bytearray(), array("q"), 0, self.model.squeeze
+        while squeeze and at < len(raw):
+            made, used = self._prefix(raw, at)
+            if made != b" ":
+                break
+            at += used
+        head, spaced = at, squeeze
         while at < len(raw):
             made, used = self._prefix(raw, at)
             if spaced:
                 made = made.lstrip(b" ")
             if made:
-                for i in range(len(made)):
-                    piece = blank if made[i] == 32 else made[i: i + 1]
-                    out += piece
-                    origin.extend([at] * len(piece))
-                spaced = made.endswith(b" ")
+                escaped = made.replace(b" ", blank)
+                out += escaped
+                origin.extend([at] * len(escaped))
+                spaced = squeeze and made.endswith(b" ")
             at += used
-            spaced = spaced and self.model.squeeze
-        return bytes(out), np.array(origin, np.int64)
+        return bytes(out), np.array(origin, np.int64), head
 
     def _prefix(self, raw: bytes, at: int) -> tuple[bytes, int]:
         found = self.model.map.longest(raw, at) if self.model.map else None
@@ -199,15 +204,12 @@ class Codec:
 
     def part(self, part: str) -> tuple[bytes, bytes]:
         """(ids, normalised length of each) of one part."""
-        ids, sizes = array("I"), array("I")
-        for piece in self.merge(part):
-            raw, own = piece.encode(), self.ids.get(piece)
-            if own is not None or not self.model.fallback:
-                ids.append(self.unknown if own is None else own)
-                sizes.append(len(raw))
-            else:
-                ids.extend(self.bytes[b] for b in raw)
-                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
+        pieces = self.merge(part)
+        own = [*map(self.sized.get, pieces)]
+        if None not in own:
+            ids, sizes = array("i", [i for i, _ in own]), array("i", [n for _, n in own])
+        else:
+            ids, sizes = self._with_unknown(pieces, own)
         made = ids.tobytes(), sizes.tobytes()
         if len(part) <= KEEP:
             if len(self.known) >= CACHE:
@@ -215,6 +217,18 @@ class Codec:
             self.known[part] = made
         return made
 
+    def _with_unknown(self, pieces: list[str], own: list[tuple[int, int] | None]) -> tuple[array, array]:
+        ids, sizes = array("i"), array("i")
+        for piece, found in zip(pieces, own):
+            raw = piece.encode()
+            if found or not self.model.fallback:
+                ids.append(found[0] if found else self.unknown)
+                sizes.append(len(raw))
+            else:
+                ids.extend(self.bytes[b] for b in raw)
+                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
+        return ids, sizes
+
     def merge(self, part: str) -> list[str]:
         """The fold: the adjacent pair with the best rank, the leftmost on ties, becomes one piece."""
         if len(part) > KEEP:
@@ -260,28 +274,21 @@ class Codec:
             i = ends[i]
         return out
 
-    def encode(self, text: bytes) -> tuple[bytes, bytes, bytes]:
-        """(ids, begin, end) as little-endian unsigned 32-bit integers; spans are bytes of the original."""
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, end); spans are bytes of the original."""
         made, origin = self.normalise(text)
         known, part = self.known, self.part
         found = [known.get(p) or part(p) for p in self.parts(made.decode("utf-8"))]
-        ids = b"".join([f[0] for f in found])
-        ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.uint32), dtype=np.int64)
-        if not self.model.fallback and len(ids) > 4:
-            ids, ends = self._joined_unknown(ids, ends)
-        begin = np.concatenate([[0], ends[:-1]])
-        return ids, origin[begin[: len(ends)]].astype("<u4").tobytes(), origin[ends].astype("<u4").tobytes()
-
-    def _joined_unknown(self, ids: bytes, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Neighbouring unknown pieces are one piece."""
-        own = np.frombuffer(ids, np.uint32)
-        keep = np.append((own[:-1] != self.unknown) | (own[1:] != self.unknown), True)
-        return own[keep].tobytes(), ends[keep]
-
-    def decode(self, ids: bytes) -> bytes:
+        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+        ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.int32), dtype=np.int64)
+        if not self.model.fallback and len(ids):  # neighbouring unknown pieces are one
+            keep = np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True)
+            ids, ends = ids[keep], ends[keep]
+        return ids, origin[np.concatenate([[0], ends[:-1]])[: len(ends)]], origin[ends]
+
+    def decode(self, numbers: list[int]) -> bytes:
         """The text of the ids in UTF-8."""
-        numbers = memoryview(ids).cast("I")
-        if len(numbers) and max(numbers) >= len(self.surface):
+        if numbers and not 0 <= min(numbers) <= max(numbers) < len(self.surface):
             raise ValueError("id beyond the vocabulary")
         surface, kind, model = self.surface, self.kind, self.model
         parts = [surface[i] for i in numbers]
@@ -295,9 +302,9 @@ class Codec:
                         continue
                 break
         whole = b"".join(parts)
-        return whole if _sound(whole) else self._repaired(numbers, parts)
+        return whole if b"" not in parts and _sound(whole) else self._repaired(numbers, parts)  # an empty part ends a run of bytes
 
-    def _repaired(self, numbers: memoryview, parts: list[bytes]) -> bytes:
+    def _repaired(self, numbers: list[int], parts: list[bytes]) -> bytes:
         """Runs of byte pieces read as UTF-8, every byte outside a character replaced."""
         out, run = [], bytearray()
         for i, part in zip(numbers, parts):
@@ -332,20 +339,26 @@ def codec_of(file: bytes) -> Codec:
     return Codec(file)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """One list of ints per part."""
+    sizes = np.cumsum([0, *map(len, parts)])
+    values = np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
+
+
 def encode(docs: DataFrame, file: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, begin, end): ids of every whole text and the span of each in the text's UTF-8 bytes, as
-    little-endian unsigned 32-bit integers."""
+    """(key, ids, begin, end): ids of every whole text and the span of each in the text's UTF-8 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(file)
-        for batch in slices(batches):
+        for batch in byte_slices(batches, 1):
             made = [codec.encode(t.as_py() or b"") for t in batch.column(1)]
-            columns = [pa.array([m[i] for m in made], pa.binary()) for i in range(3)]
+            columns = [_lists([m[i] for m in made]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "ids", "begin", "end"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"key {kind}, ids binary, begin binary, end binary")
+    made = rows.mapInArrow(run, f"key {kind}, ids array<int>, begin array<int>, end array<int>")
     return made.withColumnRenamed("key", key)
 
 
@@ -357,7 +370,7 @@ def decode(encoded: DataFrame, file: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(file)
         for batch in slices(batches):
-            texts = [codec.decode(i.as_py() or b"") for i in batch.column(at)]
+            texts = [codec.decode(i.as_py() or []) for i in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
@@ -366,15 +379,7 @@ def decode(encoded: DataFrame, file: bytes) -> DataFrame:
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): the ids as decimals joined by commas."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lists = [",".join(map(str, memoryview(i.as_py()).cast("I"))) for i in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists), batch.column(3)], ["key", "n", "ids", "sha"])
-
-    rows = decoded.select(
-        F.col(key).alias("key"), "ids", (F.octet_length("ids") / 4).cast("long").alias("n"), F.sha2("decoded", 256).alias("sha"))
-    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, ids string, sha string")
-    return made.select(
-        F.col("key").alias(key), F.col("n").alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.col("sha").alias("decoded_sha256"))
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import archives, bpe, centroids, embeddings, extraction, infill, language, mixing, quality, simhash, suffix, urls
+from corpuslab.llm import archives, bpe, centroids, embeddings, extraction, infill, language, mixing, pieces, quality, simhash, suffix, urls
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.plans.scale import cut_lineage
 
@@ -86,6 +86,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.restore(infill.transform(docs)))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.digests(pieces.decode(pieces.encode(docs, model), model))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return centroids.digests(centroids.cluster(vectors))
@@ -103,6 +110,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 def lloyd_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024) -> str:
