@@ -285,7 +285,7 @@ best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY kind, split OR
 tested AS (SELECT runs.* FROM runs JOIN best USING (kind, split, point) WHERE k = 9),
 params AS (SELECT kind, point FROM tested QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(f1, 12) DESC, split) = 1)
 SELECT 'bayes' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS feature_type, '{data_type}' AS data_type,
-  round_even(max(f1), 2) AS best_f1, round_even(avg(f1), 2) AS avg_f1, round_even(max(accuracy), 2) AS best_accuracy, round_even(avg(accuracy), 2) AS avg_accuracy,
+  round_even(round(max(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_f1, round_even(round(avg(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_f1, round_even(round(max(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_accuracy, round_even(round(avg(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_accuracy,
   '{{''alpha'': ' || any_value(CASE params.point WHEN 0 THEN '0.1' WHEN 1 THEN '1.0' ELSE '10.0' END) || '}}' AS best_params
 FROM tested JOIN params USING (kind) GROUP BY kind"""
 
@@ -333,7 +333,7 @@ _WEIGHTS = "SELECT doc_id, label, term, value FROM weights WHERE role = '{0}'"
 _COUNTS = "SELECT c.doc_id, c.label, c.term, c.value FROM {0} c SEMI JOIN idf USING (term)"
 LABELLED = """SELECT doc_id, source, lang, quality::VARCHAR AS y, (1 - toxic)::VARCHAR AS yhat FROM labels JOIN documents USING (doc_id)"""
 HISTORY = "SELECT user_id AS run, event_type AS split, value AS val_loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS epoch FROM events"
-PEAKS = f"SELECT run, max(p) AS best_val_loss, round_even(avg(p), 2) AS avg_val_loss FROM (SELECT run, split, max(val_loss) AS p FROM ({HISTORY}) GROUP BY run, split) GROUP BY run"
+PEAKS = f"SELECT run, max(p) AS best_val_loss, round_even(round(avg(p) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_val_loss FROM (SELECT run, split, max(val_loss) AS p FROM ({HISTORY}) GROUP BY run, split) GROUP BY run"
 SPLIT_METRICS = f"SELECT lang, split, f1, accuracy FROM ({f1_sql('(SELECT *, regexp_extract(source, ' + repr(chr(92) + 'd+$').replace(chr(92) * 2, chr(92)) + ')::BIGINT AS split FROM (' + LABELLED + '))', 'lang, split')})"
 PER_LABEL = f"""cells AS (SELECT lang, y AS label, (y = yhat)::INT AS tp, 1 AS t, 0 AS p FROM ({LABELLED})
   UNION ALL SELECT lang, yhat, 0, 0, 1 FROM ({LABELLED})),
@@ -406,8 +406,8 @@ SELECT lang, label, round(precision, 6) AS precision, round(recall, 6) AS recall
 UNION ALL SELECT lang, 'accuracy', NULL, NULL, round(acc, 6), n FROM total
 UNION ALL SELECT lang, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), n FROM total
 UNION ALL SELECT lang, 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), n FROM total""",
-    "run_summary": f"""SELECT lang, round_even(max(f1), 2) AS best_f1, round_even(avg(f1), 2) AS avg_f1, round_even(max(accuracy), 2) AS best_accuracy,
-  round_even(avg(accuracy), 2) AS avg_accuracy FROM ({SPLIT_METRICS}) GROUP BY lang""",
+    "run_summary": f"""SELECT lang, round_even(round(max(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_f1, round_even(round(avg(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_f1, round_even(round(max(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_accuracy,
+  round_even(round(avg(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_accuracy FROM ({SPLIT_METRICS}) GROUP BY lang""",
     "best_params": f"SELECT lang, split AS best_params FROM ({SPLIT_METRICS}) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(f1, 12) DESC, split) = 1",
     "prediction_table": f"""SELECT text AS original_text, yhat AS predicted_label, y AS original_label, 'Research Design: ' || yhat AS predicted_text
 FROM ({LABELLED}) JOIN documents USING (doc_id)""",

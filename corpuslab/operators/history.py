@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.metrics import half_even
 from corpuslab.plans.scale import running
 
 CURVES = ("train_f1", "val_f1", "train_accuracy", "val_accuracy")
@@ -22,7 +23,7 @@ def run_peaks(history: DataFrame, run: str, split: str, curves: Sequence[str] =
     peaks = split_peaks(history, run, split, curves)
     return peaks.groupBy(run).agg(
         *(F.max(c).alias(f"best_{c}") for c in curves),
-        *(F.bround(F.avg(c), 2).alias(f"avg_{c}") for c in curves),
+        *(half_even(F.avg(c)).alias(f"avg_{c}") for c in curves),
     )
 
 

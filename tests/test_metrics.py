@@ -75,3 +75,22 @@ def test_curves(spark):
     assert row.best_val_f1 == 0.5 and row.avg_val_f1 == 0.45
     runs = spark.createDataFrame([("b", 0.7), ("a", 0.7), ("c", 0.1)], "run string, avg_val_f1 double")
     assert history.leaderboard_best(runs).first().run == "a"
+
+
+def test_means_at_a_tie_do_not_depend_on_the_order(spark):
+    from itertools import permutations
+
+    from pyspark.sql import functions as F
+
+    runs = []
+    for i, order in enumerate(permutations([0.985, 0.99, 1.0, 1.0, 1.0])):  # mean 0.995, rounds to even: 1.0
+        runs += [(2 * i, s, v, 0.585) for s, v in enumerate(order)]
+    for i, order in enumerate(permutations([0.96, 0.97, 0.98, 1.0, 0.965])):  # mean 0.975, rounds to even: 0.98
+        runs += [(2 * i + 1, s, v, 0.575) for s, v in enumerate(order)]
+    df = spark.createDataFrame(runs, "run int, split int, f1 double, accuracy double")
+    for parts in (1, 3, 7):
+        rows = metrics.run_summary(df.repartition(parts, F.rand(parts)), ["run"]).collect()
+        assert {(r.run % 2, r.avg_f1, r.avg_accuracy) for r in rows} == {(0, 1.0, 0.58), (1, 0.98, 0.58)}
+    lone = spark.createDataFrame([(x,) for x in (0.005, 0.015, 0.025, 0.285, 0.995, 1.0, 0.0, 0.1249)], "x double")
+    got = [r[0] for r in lone.select(metrics.half_even(F.col("x"))).collect()]
+    assert got == [0.0, 0.02, 0.02, 0.28, 1.0, 1.0, 0.0, 0.12]
