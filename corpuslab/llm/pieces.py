@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import slices
 from corpuslab.llm.infill import byte_slices
 
-#: Parts whose pieces a worker keeps; parts of more than KEEP characters are never kept and merge in a heap.
-CACHE, KEEP = 300_000, 48
+#: Parts whose pieces a worker keeps; parts of more than KEEP characters are never kept and merge in a heap;
+#: parts that are merged at once; the rank of a pair that forms no piece.
+CACHE, KEEP, AT_ONCE, NEVER = 300_000, 48, 4096, np.iinfo(np.int32).max
 #: Fixed values of the file format: the blank of pieces, kinds of pieces, the marks of unknown text.
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -135,9 +136,9 @@ class Codec:
         self.model = model = Model(file)
         normal = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         place = {s: r for r, s in enumerate(sorted({model.pieces[i][1] for i in normal.values()}, reverse=True))}
-        self.sized = {p: (i, len(p.encode())) for p, i in normal.items()}
+        self.ids = normal
         self.ranks = {p: place[model.pieces[i][1]] for p, i in normal.items()}
-        self.none = len(place)
+        self._tables(normal)
         self.unknown = next(i for i, (*_, kind) in enumerate(model.pieces) if kind == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         joined = {c for p in normal if len(p) > 1 for c in p}
@@ -147,7 +148,7 @@ class Codec:
         self.parts = regex.compile(
             f"[^{alone}]+|{alone_one}" if inner and alone else "(?s:.+)" if inner
             else f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|{alone_one}").findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
         blank = BLANK.encode()
         self.surface = [
             b"" if kind == CONTROL else model.unknown_text if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE
@@ -202,55 +203,108 @@ class Codec:
         char = _VALID.match(raw, at)
         return (char.group(), char.end() - at) if char else (REPLACEMENT, 1)
 
-    def part(self, part: str) -> tuple[bytes, bytes]:
-        """(ids, normalised length of each) of one part."""
-        pieces = self.merge(part)
-        own = [*map(self.sized.get, pieces)]
-        if None not in own:
-            ids, sizes = array("i", [i for i, _ in own]), array("i", [n for _, n in own])
-        else:
-            ids, sizes = self._with_unknown(pieces, own)
-        made = ids.tobytes(), sizes.tobytes()
-        if len(part) <= KEEP:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[part] = made
+    def _tables(self, normal: dict[str, int]) -> None:
+        """Arrays for the fold over many parts at once. A symbol is a piece's id, or the number of pieces
+        plus the code point of a character without one; a pair of symbols that form a piece has a row in the
+        sorted table of pairs."""
+        n = len(self.model.pieces)
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int64)
+        self.size = np.zeros(n, np.int32)
+        for p, i in normal.items():
+            self.size[i] = len(p.encode())
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        pairs = {}
+        for p, i in normal.items():
+            for cut in range(1, len(p)):
+                a, b = p[:cut], p[cut:]
+                left = normal.get(a) if cut > 1 else int(self.symbol[ord(a)])
+                right = normal.get(b) if len(b) > 1 else int(self.symbol[ord(b)])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = self.ranks[p], i
+        keys = sorted(pairs)
+        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([*(pairs[k][0] for k in keys), NEVER], np.int32)
+        self.pair_ids = np.array([*(pairs[k][1] for k in keys), -1], np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, id of the joined piece) of pairs of symbols; NEVER where they form none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        found = self.pair_keys[at] == key
+        return np.where(found, self.pair_ranks[at], NEVER), np.where(found, self.pair_ids[at], -1)
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """For distinct parts the id and the normalised length of every piece, in turn."""
+        made = {p: self._bytes_of(self._merge_long(p)) for p in parts if len(p) > KEEP}
+        short = sorted((p for p in parts if len(p) <= KEEP), key=len)
+        for at in range(0, len(short), AT_ONCE):
+            self._fold(short[at: at + AT_ONCE], made)
         return made
 
-    def _with_unknown(self, pieces: list[str], own: list[tuple[int, int] | None]) -> tuple[array, array]:
-        ids, sizes = array("i"), array("i")
-        for piece, found in zip(pieces, own):
-            raw = piece.encode()
-            if found or not self.model.fallback:
-                ids.append(found[0] if found else self.unknown)
-                sizes.append(len(raw))
-            else:
-                ids.extend(self.bytes[b] for b in raw)
-                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
-        return ids, sizes
-
-    def merge(self, part: str) -> list[str]:
-        """The fold: the adjacent pair with the best rank, the leftmost on ties, becomes one piece."""
-        if len(part) > KEEP:
-            return self._merge_long(part)
-        rank, none = self.ranks.get, self.none
-        pieces = list(part)
-        pairs = [rank(a + b, none) for a, b in zip(pieces, pieces[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == none:
+    def _fold(self, parts: list[str], made: dict[str, bytes]) -> None:
+        """Ranked merges of many parts, a merge in each per step: the adjacent pair with the best rank, the
+        leftmost on ties, becomes one symbol, and what stands behind it moves up."""
+        lengths = np.array([len(p) for p in parts])
+        width = int(lengths[-1])
+        row = np.repeat(np.arange(len(parts)), lengths)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbols = np.full((len(parts), width), -1, np.int64)
+        symbols[row, column] = self.symbol[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        final, counts = np.full((len(parts), width), -1, np.int64), lengths.copy()
+        ranks, joins = np.full((len(parts), max(width - 1, 1)), NEVER, np.int32), np.full((len(parts), max(width - 1, 1)), -1, np.int64)
+        if width > 1:
+            left, right = symbols[:, :-1], symbols[:, 1:]
+            inside = right >= 0
+            ranks[inside], joins[inside] = self._pairs(left[inside], right[inside])
+        live = np.arange(len(parts))
+        while len(live):
+            best = ranks.argmin(1)
+            here = np.arange(len(live))
+            going = ranks[here, best] < NEVER
+            final[live[~going], : symbols.shape[1]] = symbols[~going]
+            live, best = live[going], best[going]
+            if not len(live):
                 break
-            i = pairs.index(best)
-            merged = pieces[i] = pieces[i] + pieces.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank(merged + pieces[i + 1], none)
-            if i:
-                pairs[i - 1] = rank(pieces[i - 1] + merged, none)
-        return pieces
+            symbols, ranks, joins = symbols[going], ranks[going], joins[going]
+            here = np.arange(len(live))
+            counts[live] -= 1
+            symbols[here, best] = joins[here, best]
+            symbols = _without(symbols, best + 1)
+            ranks, joins = (_without(x, best) if x.shape[1] > 1 else np.full_like(x, fill) for x, fill in ((ranks, NEVER), (joins, -1)))
+            for at in (best - 1, best):  # the pairs on both sides of the new symbol
+                ok = (at >= 0) & (at + 1 < symbols.shape[1])
+                ok[ok] = symbols[here[ok], at[ok] + 1] >= 0
+                r, i = here[ok], at[ok]
+                ranks[r, i], joins[r, i] = self._pairs(symbols[r, i], symbols[r, i + 1])
+        flat = final[np.arange(width)[None, :] < counts[:, None]]
+        ends = np.cumsum(counts)
+        strange = set(np.repeat(np.arange(len(parts)), counts)[flat >= len(self.size)].tolist())
+        sized = np.empty((len(flat), 2), np.int32)
+        sized[:, 0] = np.where(flat < len(self.size), flat, 0)
+        sized[:, 1] = self.size[sized[:, 0]]
+        raw = sized.tobytes()
+        for i, (part, end, n) in enumerate(zip(parts, ends.tolist(), counts.tolist())):
+            if i in strange:
+                part_ids = flat[end - n: end].tolist()
+                made[part] = self._bytes_of([self.model.pieces[j][0] if j < len(self.size) else chr(j - len(self.size)) for j in part_ids])
+            else:
+                made[part] = raw[8 * (end - n): 8 * end]
+
+    def _bytes_of(self, pieces: list[str]) -> bytes:
+        out = array("i")
+        for piece in pieces:
+            raw, own = piece.encode(), self.ids.get(piece)
+            if own is not None or not self.model.fallback:
+                out.extend((self.unknown if own is None else own, len(raw)))
+            else:
+                for i, byte in enumerate(raw, 1):
+                    out.extend((self.bytes[byte], len(raw) if i == len(raw) else 0))
+        return out.tobytes()
 
     def _merge_long(self, part: str) -> list[str]:
-        """The same with the pairs in a heap and neighbours in links; a pair whose ends have moved is stale."""
+        """The fold over one long part, with its pairs in a heap and neighbours in links; a pair whose ends have
+        moved is stale."""
         n, rank = len(part), self.ranks.get
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(part[i: i + 2])) is not None]
@@ -274,13 +328,22 @@ class Codec:
             i = ends[i]
         return out
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, end); spans are bytes of the original."""
-        made, origin = self.normalise(text)
-        known, part = self.known, self.part
-        found = [known.get(p) or part(p) for p in self.parts(made.decode("utf-8"))]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.int32), dtype=np.int64)
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, begin, end) of every text; spans are bytes of the original."""
+        normal = [self.normalise(t) for t in texts]
+        cut = [self.parts(made.decode("utf-8")) for made, _ in normal]
+        known = self.known
+        found = [[known.get(p) for p in parts] for parts in cut]
+        new = self.learn(list({p for parts, own in zip(cut, found) if None in own for p, f in zip(parts, own) if f is None}))
+        found = [[f or new[p] for p, f in zip(parts, own)] if None in own else own for parts, own in zip(cut, found)]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+        known.update((p, own) for p, own in new.items() if len(p) <= KEEP)
+        return [self._joined(own, origin) for own, (_, origin) in zip(found, normal)]
+
+    def _joined(self, found: list[bytes], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = np.frombuffer(b"".join(found), np.int32)
+        ids, ends = whole[0::2], np.cumsum(whole[1::2], dtype=np.int64)
         if not self.model.fallback and len(ids):  # neighbouring unknown pieces are one
             keep = np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True)
             ids, ends = ids[keep], ends[keep]
@@ -316,6 +379,14 @@ class Codec:
         return b"".join([*out, _replaced(bytes(run))])
 
 
+def _without(matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Every row without one of its elements."""
+    rows, width = matrix.shape
+    keep = np.ones((rows, width), bool)
+    keep[np.arange(rows), column] = False
+    return matrix[keep].reshape(rows, width - 1)
+
+
 def _sound(raw: bytes) -> bool:
     try:
         raw.decode("utf-8")
@@ -346,19 +417,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
 
 
-def encode(docs: DataFrame, file: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, begin, end): ids of every whole text and the span of each in the text's UTF-8 bytes."""
+def encode(docs: DataFrame, file: bytes, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids, begin, end): ids of every whole text and the span of each in the text's UTF-8 bytes; with
+    ``decoded`` also the text that the worker decodes from the ids."""
+    names = ["key", "ids", "begin", "end", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(file)
         for batch in byte_slices(batches, 1):
-            made = [codec.encode(t.as_py() or b"") for t in batch.column(1)]
+            made = codec.encode(batch.column(1).to_pylist())
             columns = [_lists([m[i] for m in made]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "ids", "begin", "end"])
+            if decoded:
+                columns.append(pa.array([codec.decode(m[0].tolist()) for m in made], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"key {kind}, ids array<int>, begin array<int>, end array<int>")
+    schema = f"key {kind}, ids array<int>, begin array<int>, end array<int>"
+    made = rows.mapInArrow(run, f"{schema}, decoded binary" if decoded else schema)
     return made.withColumnRenamed("key", key)
 
 

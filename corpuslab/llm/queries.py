@@ -90,7 +90,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pieces.digests(pieces.decode(pieces.encode(docs, model), model))
+    return pieces.digests(pieces.encode(docs, model, decoded=True))
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

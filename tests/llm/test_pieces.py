@@ -114,7 +114,7 @@ def test_like_the_library(model, monkeypatch):
         monkeypatch.setattr(pieces, "KEEP", keep)
         codec.known.clear()
         for text in TEXTS + random_texts(1500, 1):
-            ids, begin, end = (x.tolist() for x in codec.encode(text.encode()))
+            ids, begin, end = (x.tolist() for x in codec.encode([text.encode()])[0])
             assert ids == library.encode(text), text
             assert list(zip(ids, begin, end)) == spans(library, text), text
             assert codec.decode(ids).decode() == library.decode(ids), text
@@ -132,11 +132,22 @@ def test_decodes_any_ids(model):
         codec.decode([size])
 
 
+def test_many_texts_at_once_with_a_small_memory(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    codec, texts = pieces.Codec(real()), random_texts(2000, 9) + TEXTS
+    monkeypatch.setattr(pieces, "CACHE", 500)
+    monkeypatch.setattr(pieces, "AT_ONCE", 7)
+    for at in range(0, len(texts), 100):
+        part = texts[at: at + 100]
+        assert [ids.tolist() for ids, *_ in codec.encode([t.encode() for t in part])] == library.encode(part)
+        assert len(codec.known) <= 500 + 100 * 60
+
+
 def test_spans_cover_the_text():
     codec = pieces.Codec(real())
     for text in random_texts(300, 5):
         raw = text.encode()
-        _, begin, end = codec.encode(raw)
+        _, begin, end = codec.encode([raw])[0]
         assert b"".join(raw[b:e] for b, e in zip(begin, end)) == raw
 
 
@@ -156,7 +167,7 @@ def test_refuses_other_models():
 
 def test_malformed_bytes_are_replaced():
     codec = pieces.Codec(real())
-    ids, begin, end = codec.encode(b"a\xffb\xe2\x82")
+    ids, begin, end = codec.encode([b"a\xffb\xe2\x82"])[0]
     assert codec.decode(ids.tolist()).decode() == "a�b��"
     assert end[-1] == 5
 
@@ -168,7 +179,10 @@ def test_rows(spark):
     found = pieces.decode(pieces.encode(df, real()), real())
     assert found.columns == ["doc_id", "ids", "begin", "end", "decoded"]
     want = sorted((repr(i), library.encode(t or "")) for i, t in rows)
-    assert sorted((repr(r.doc_id), r.ids) for r in found.collect()) == want
+    rows_found = found.collect()
+    assert sorted((repr(r.doc_id), r.ids) for r in rows_found) == want
+    at_once = pieces.encode(df, real(), decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, rows_found))
     empty = pieces.digests(pieces.decode(pieces.encode(df.limit(0), real()), real()))
     assert empty.collect() == []
 
