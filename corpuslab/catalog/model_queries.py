@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import FRAME_TEXT, FRAME_VIEWS, PREP, VIEWS, corpus_views, frame_views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
-from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, search, splits
+from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, search, splits, svm
 from corpuslab.plans.scale import cut_lineage, global_rank
 
 ALPHAS = search.GRIDS["bayes"]["alpha"]
@@ -117,14 +117,18 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages from hashed terms."""
+    """Languages of the test documents of split 0 by linear machines of all class pairs; the cost is searched."""
     docs = st.documents(spark, sf_dir)
     names = corpus.label_names(docs)
-    coded = docs.withColumn("label", corpus.encode_label(F.col("label"), names).cast("double"))
-    rows = learners.hashed_terms(coded, "text").select("doc_id", "label", "features")
-    roles = cut_lineage(splits.stratified_splits(rows, "doc_id", "label", 1))
-    model = learners.linear_svm(c=10.0, max_iter=50)
-    return learners.fit_predict(model, roles.filter("role = 'train'"), roles.filter("role = 'test'"), "doc_id")
+    views = docs.withColumn("data_type", F.lit("text"))
+    run = svm.svm_grid(svm.svm_rows(views, "doc_id", names, ["text"], ["tfidf"], 1, 5), len(names), 5, shapes=["linear"])
+    return run.tested().select(F.col("key").alias("doc_id"), "y", "yhat")
+
+
+def svm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five splits with the whole grid of costs, gammas and kernels on the four text views, for both feature kinds."""
+    names = corpus.label_names(st.documents(spark, sf_dir))
+    return svm.svm_report(corpus_views(spark, sf_dir), "doc_id", names, corpus.DATA_TYPES)
 
 
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,6 +357,7 @@ QUERIES = {
     "knn_grid": knn_grid,
     "contrastive_pairs": contrastive_pairs,
     "linear_svm": linear_svm,
+    "svm_report": svm_report,
     "mlp": mlp,
     "logreg_head": logreg_head,
     "head_report": head_report,

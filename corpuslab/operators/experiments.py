@@ -60,12 +60,12 @@ def bayes_split_metrics(
     docs = views.filter(F.col("data_type") == data_types[0]).select(key, "label")
     roles = cut_lineage(splits.stratified_splits(docs, key, "label", n_splits).select(key, "label", "split", "role"))
     counts = cut_lineage(features.bag_of_words(views, key, "text", ["data_type"]))
-    folded = cut_lineage(in_views(_folds_by_split(roles.filter("role = 'train'").drop("role"), key, folds)))
+    folded = cut_lineage(in_views(folds_by_split(roles.filter("role = 'train'").drop("role"), key, folds)))
     test_docs = in_views(roles.filter("role = 'test'").drop("role"))
     raw = counts.join(folded, [key, "data_type"]), counts.join(test_docs, [key, "data_type"])
     runs = []
     for kind in kinds:
-        train, test = raw if kind == "bow" else _tfidf_by(*raw, folded, key, by)
+        train, test = raw if kind == "bow" else tfidf_by(*raw, folded, key, by)
         train = cut_lineage(train)  # read as training and as validation side
         cv = bayes.bayes_predictions(train, folded, train, folded, key, names, alphas, by=by, fold="fold", folds=folds)
         chosen = search.best_point(search.fold_scores(cv, by), by)
@@ -75,7 +75,7 @@ def bayes_split_metrics(
     return union_all(runs)
 
 
-def _folds_by_split(train_docs: DataFrame, key: str, folds: int) -> DataFrame:
+def folds_by_split(train_docs: DataFrame, key: str, folds: int) -> DataFrame:
     """Stratified folds inside each split (a split and class together form the stratum)."""
     stratum = F.concat_ws("|", F.col("split").cast("string"), "label")
     return splits.stratified_folds(
@@ -83,7 +83,7 @@ def _folds_by_split(train_docs: DataFrame, key: str, folds: int) -> DataFrame:
     ).drop("_stratum")
 
 
-def _tfidf_by(
+def tfidf_by(
     train: DataFrame, test: DataFrame, docs: DataFrame, key: str, by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """TF-IDF with the document frequencies of each view and split."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plan(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write the rows as Parquet under the checkpoint folder and read on from there; also the path, for
+    ``forget``. A checkpoint keeps the size estimate of its plan, and a loop with joins would multiply it in
+    every round; files give their own sizes."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete the files of a round that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def widen_scan(df: DataFrame) -> DataFrame:
     """Redistribute rows only when the files give fewer splits than there are cores.
 
