@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import FRAME_TEXT, FRAME_VIEWS, PREP, VIEWS, corpus_views, frame_views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
-from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, search, splits, svm
+from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, paragraphs, search, splits, svm
 from corpuslab.plans.scale import cut_lineage, global_rank
 
 ALPHAS = search.GRIDS["bayes"]["alpha"]
@@ -155,6 +155,11 @@ def word2vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.document_word2vec(docs, "doc_id", "text", epochs=10)
 
 
+def paragraph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents after 40 epochs, inferred against the trained words."""
+    return paragraphs.paragraph_vectors(st.documents(spark, sf_dir), "doc_id", "text")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions per source and language: quality against absence of toxicity."""
     docs = st.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
@@ -362,6 +367,7 @@ QUERIES = {
     "logreg_head": logreg_head,
     "head_report": head_report,
     "word2vec_doc": word2vec_doc,
+    "paragraph_vectors": paragraph_vectors,
     "confusion": confusion,
     "accuracy_f1": accuracy_f1,
     "class_report": class_report,
