@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import PREP
 from corpuslab.catalog.feature_queries import MEAN_FEATURES, category_index, node_embeddings
-from corpuslab.operators import corpus, embeddings, graph, learners, splits
+from corpuslab.operators import attention, corpus, embeddings, graph, learners, splits
 from corpuslab.plans.scale import cut_lineage
 
 RANK_ROUNDS = 10
 
 
+ATTENTION_EPOCHS, ATTENTION_PATIENCE = 3, 2
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = graph.build_graph(st.citations(spark, sf_dir), st.item_metadata(spark, sf_dir), "id")
     edges = cut_lineage(edges)
@@ -140,6 +146,49 @@ def node_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _example_layer(features: int, heads: int, channels: int) -> attention.Layer:
+    """A layer with weights that SQL can name."""
+    i, j = np.indices((features, heads * channels))
+    j0 = np.arange(heads * channels)
+    return attention.Layer(((i * 7 + j * 13) % 11 - 5) / 10, ((j0 * 5) % 7 - 3) / 4, ((j0 * 3) % 5 - 2) / 4, heads)
+
+
+def attention_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attention layer of two heads over the citation graph and the items' embeddings."""
+    nodes, edges = _graph(spark, sf_dir)
+    emb = node_embeddings(spark, sf_dir).join(nodes, "id")
+    rows = emb.select(F.col("id").cast("long").alias("id"), F.sequence(F.lit(0), F.lit(63)).alias("idx"), F.col("vec").cast("array<double>").alias("val"))
+    graph_ = attention.Graph.of(attention.with_loops(nodes, edges))
+    projected = cut_lineage(attention.project(rows, {0: _example_layer(64, 2, 3)}))
+    out = attention.attend(graph_, projected, 2, 3)
+    return out.select("id", F.posexplode("out").alias("cell", "value")).select(
+        "id", F.col("cell").cast("long").alias("cell"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+def attention_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of the two-layer network on split 0 for every feature group; all groups train in the same passes."""
+    nodes, edges = _graph(spark, sf_dir)
+    features, n_cat = _features(spark, sf_dir)
+    features = cut_lineage(features)
+    groups = dict(enumerate(embeddings.FEATURE_GROUPS))
+    picked = [
+        features.select((F.col("id") + m * attention.MODEL).alias("id"), embeddings.node_vector(g, 5, n_cat, 64).alias("v")).select(
+            "id", F.col("v.indices").cast("array<int>").alias("idx"), F.col("v.values").alias("val"), F.col("v.size").alias("size"))
+        for m, g in groups.items()]
+    rows = cut_lineage(reduce(DataFrame.unionByName, picked))
+    roles = node_roles(spark, sf_dir).filter("split = 0").select("id", "role", F.col("y").cast("int").alias("y"))
+    targets = cut_lineage(attention.of_models(roles.withColumn("id", F.col("id").cast("long")), list(groups), "id"))
+    loops = cut_lineage(attention.of_models(attention.with_loops(nodes, edges), list(groups), "src", "dst"))
+    sizes = {r.m: r.n for r in rows.groupBy(F.floor(F.col("id") / float(attention.MODEL)).alias("m")).agg(F.max("size").alias("n")).collect()}
+    classes = targets.agg(F.max("y")).first()[0] + 1
+    nets = {m: attention.Network.start(sizes[m], classes) for m in groups}
+    history, _ = attention.train(
+        attention.Graph.of(loops), rows.drop("size"), targets, nets, ATTENTION_EPOCHS, ATTENTION_PATIENCE)
+    named = [(groups[m], *rest) for m, *rest in history]
+    curves = "train_loss double, val_loss double, train_f1 double, val_f1 double, train_accuracy double, val_accuracy double"
+    return spark.createDataFrame(named, f"feat_type string, epoch int, {curves}")
+
+
 EDGES = """e AS MATERIALIZED (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem
   WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT p_partkey FROM part)),
 n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
@@ -193,6 +242,8 @@ QUERIES = {
     "induced_subgraph": induced_subgraph,
     "khop_mean": khop_mean,
     "node_classifier": node_classifier,
+    "attention_forward": attention_forward,
+    "attention_history": attention_history,
 }
 
 ORACLE = {
@@ -227,4 +278,13 @@ h1 AS MATERIALIZED (SELECT dst AS id, dim, avg(value) AS value FROM loops JOIN h
 h2 AS (SELECT dst AS id, dim, avg(value) AS value FROM loops JOIN h1 ON h1.id = src GROUP BY dst, dim)
 SELECT id, dim, round(value, 6) + 0.0 AS value FROM h0 UNION ALL SELECT id, dim + 64, round(value, 6) + 0.0 FROM h1
 UNION ALL SELECT id, dim + 128, round(value, 6) + 0.0 FROM h2""",
+    "attention_forward": f"""WITH {EDGES}, {EMB},
+loops AS (SELECT src, dst FROM e WHERE src <> dst UNION ALL SELECT id, id FROM n),
+z AS MATERIALIZED (SELECT emb.id, j, sum(value * (((dim * 7 + j * 13) % 11 - 5) / 10.0::DOUBLE)) AS z
+  FROM emb JOIN n USING (id), (SELECT unnest(range(6)) AS j) GROUP BY emb.id, j),
+st AS MATERIALIZED (SELECT id, j // 3 AS h, sum(z * (((j * 5) % 7 - 3) / 4.0::DOUBLE)) AS s, sum(z * (((j * 3) % 5 - 2) / 4.0::DOUBLE)) AS t FROM z GROUP BY id, j // 3),
+q AS (SELECT src, dst, a.h, a.s + b.t AS q FROM loops JOIN st a ON a.id = src JOIN st b ON b.id = dst AND b.h = a.h),
+w AS (SELECT *, exp(lq - max(lq) OVER (PARTITION BY dst, h)) AS w FROM (SELECT *, CASE WHEN q > 0 THEN q ELSE 0.2::DOUBLE * q END AS lq FROM q)),
+al AS MATERIALIZED (SELECT src, dst, h, w / sum(w) OVER (PARTITION BY dst, h) AS al FROM w)
+SELECT dst AS id, j::BIGINT AS cell, round(sum(al * z), 6) + 0.0 AS value FROM al JOIN z ON z.id = src AND z.j // 3 = h GROUP BY dst, j""",
 }
