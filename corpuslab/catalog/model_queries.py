@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import FRAME_TEXT, FRAME_VIEWS, PREP, VIEWS, corpus_views, frame_views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
-from corpuslab.operators import bayes, corpus, experiments, features, history, learners, metrics, neighbors, pairs, paragraphs, search, splits, svm
+from corpuslab.operators import bayes, contrastive, corpus, epochs, experiments, features, history, learners, metrics, neighbors, pairs, paragraphs, search, splits, svm
 from corpuslab.plans.scale import cut_lineage, global_rank
 
 ALPHAS = search.GRIDS["bayes"]["alpha"]
@@ -155,6 +155,18 @@ def word2vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.document_word2vec(docs, "doc_id", "text", epochs=10)
 
 
+def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed-forward chunk classifier on frozen vectors, 100 epochs on each of five splits."""
+    rows = st.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    return epochs.chunk_report(rows, "vec_id", "vec", "label", 64, 10, "embeddings")
+
+
+def few_shot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body learned from pairs and a head on frozen vectors, over five splits."""
+    rows = st.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.col("label").cast("string").alias("label"))
+    return contrastive.few_shot_report(rows, "vec_id", corpus.label_names(rows), 64, "embeddings")
+
+
 def paragraph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all documents after 40 epochs, inferred against the trained words."""
     return paragraphs.paragraph_vectors(st.documents(spark, sf_dir), "doc_id", "text")
@@ -366,6 +378,8 @@ QUERIES = {
     "mlp": mlp,
     "logreg_head": logreg_head,
     "head_report": head_report,
+    "chunk_report": chunk_report,
+    "few_shot_report": few_shot_report,
     "word2vec_doc": word2vec_doc,
     "paragraph_vectors": paragraph_vectors,
     "confusion": confusion,
