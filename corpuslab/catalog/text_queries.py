@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
 from corpuslab.functions import text as tx
-from corpuslab.operators import chunks, lexicon
+from corpuslab.operators import chunks, lexicon, subwords
+from corpuslab.plans.scale import cut_lineage
 
 # SQL pieces
 SENTS = (
@@ -81,6 +82,29 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct words, and pieces taken from them: first characters, first three, last one and last two."""
+    words = st.wide_documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
+    words = cut_lineage(words)
+    cuts = F.array(
+        F.substring("word", 1, 1), F.substring("word", 1, 3), F.concat(F.lit("##"), F.substring("word", -1, 1)),
+        F.concat(F.lit("##"), F.substring("word", -2, 2)))
+    return words, words.select(F.explode(cuts).alias("piece")).distinct()
+
+
+def subword_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces per distinct word by longest match."""
+    return subwords.word_costs(*_pieces(spark, sf_dir)).select("word", F.col("cost").cast("long").alias("cost"))
+
+
+def subword_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences packed by the pieces that the next one would add."""
+    costs = subwords.word_costs(*_pieces(spark, sf_dir))
+    docs = subwords.sentence_costs(st.wide_documents(spark, sf_dir), "doc_id", "text", costs)
+    rows = chunks.pack_sentences(docs, ["doc_id"], "text", 64, "costs")
+    return rows.withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
+
+
 def sentence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, notes = st.documents(spark, sf_dir), st.annotations(spark, sf_dir)
     rows = chunks.annotate_sentences(docs, notes, "doc_id", "text")
@@ -134,6 +158,27 @@ FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i GROUP BY p.doc_id, p.chunk_po
 """
 
 
+SUBWORDS = f"""w AS MATERIALIZED (SELECT DISTINCT unnest({WORDS.format('text')}) AS word FROM documents),
+pieces AS (SELECT word[1:1] AS piece FROM w UNION SELECT word[1:3] FROM w UNION SELECT '##' || right(word, 1) FROM w UNION SELECT '##' || right(word, 2) FROM w),
+cut AS (
+  SELECT word, 0 AS pos, 0 AS n FROM w WHERE length(word) <= 100
+  UNION ALL
+  SELECT c.word, c.pos + max(k), c.n + 1 FROM cut c JOIN (SELECT unnest([1, 2, 3]) AS k) ON c.pos + k <= length(c.word)
+  JOIN pieces ON piece = CASE WHEN c.pos > 0 THEN '##' ELSE '' END || substring(c.word, c.pos + 1, k) GROUP BY c.word, c.pos, c.n),
+costs AS MATERIALIZED (SELECT w.word, coalesce(max(n) FILTER (pos = length(w.word)), 1) AS cost FROM w LEFT JOIN cut USING (word) GROUP BY w.word)"""
+_COSTED = f"""
+WITH RECURSIVE {SUBWORDS},
+sw AS (SELECT doc_id, sent_pos, sentence, {WORDS.format('sentence')} AS words FROM ({SENTS})),
+sc AS (SELECT doc_id, sent_pos, sum(cost)::BIGINT AS c FROM (SELECT doc_id, sent_pos, unnest(words) AS word FROM sw) JOIN costs USING (word) GROUP BY doc_id, sent_pos),
+s AS MATERIALIZED (SELECT doc_id, sent_pos AS i, sentence, len(words) AS w, coalesce(c, 0) AS c FROM sw LEFT JOIN sc USING (doc_id, sent_pos)),
+p AS (
+  SELECT doc_id, i, 0::BIGINT AS chunk_pos, w AS n FROM s WHERE i = 0
+  UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN p.n + s.c <= 64 THEN p.chunk_pos ELSE p.chunk_pos + 1 END, CASE WHEN p.n + s.c <= 64 THEN p.n + s.w ELSE s.w END
+  FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1)
+SELECT p.doc_id, p.chunk_pos, trim(string_agg(s.sentence, ' ' ORDER BY s.i), E' \\n\\t') AS chunk
+FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i GROUP BY p.doc_id, p.chunk_pos"""
+
 _FRAMES = (
     "SELECT doc_id, sent_pos, sentence, array_to_string(list_transform(list_filter("
     + WORDS.format("sentence") + ", lambda w: length(w) >= 8), lambda w: w[:4] || '_' || w[5:]), ' ') AS frames"
@@ -165,6 +210,8 @@ QUERIES = {
     "word_chunks": word_chunks,
     "ngrams": ngrams,
     "sentence_pack": sentence_pack,
+    "subword_costs": subword_costs,
+    "subword_pack": subword_pack,
     "sentence_frames": sentence_frames,
     "frame_pack": frame_pack,
     "prompt_render": prompt_render,
@@ -200,6 +247,8 @@ FROM (SELECT doc_id, {WORDS.format('text')} AS t FROM documents)""",
     "sentence_pack": "SELECT p.doc_id, lang AS label, chunk_pos, chunk FROM ("
     + _packed_sql(f"SELECT doc_id, sent_pos, sentence, '' AS frames FROM ({SENTS})", 32)
     + ") p JOIN documents USING (doc_id)",
+    "subword_costs": f"WITH RECURSIVE {SUBWORDS} SELECT word, cost::BIGINT AS cost FROM costs",
+    "subword_pack": _COSTED,
     "sentence_frames": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos) - 1 AS sent_pos, frames FROM ({_FRAMES})",
     "frame_pack": "SELECT doc_id, chunk_pos, chunk, frame_text FROM ("
     + _packed_sql(
