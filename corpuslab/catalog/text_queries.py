@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.catalog import standins as st
 from corpuslab.functions import text as tx
-from corpuslab.operators import chunks, lexicon, subwords
+from corpuslab.operators import chunks, lexicon, subwords, tagging
 from corpuslab.plans.scale import cut_lineage
 
 # SQL pieces
@@ -82,6 +82,19 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
 
 
+def context_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of all sentences; the first sentence of every document is the labelled table, where a word's tag depends
+    on its length and, for most words, on its place."""
+    docs = st.wide_documents(spark, sf_dir)
+    sents = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_pos", "s"))
+    tokens = cut_lineage(sents.select("doc_id", "sent_pos", F.posexplode(tx.words(F.col("s"))).alias("pos", "word")))
+    rest = F.length("word") % 5
+    tag = F.when(rest == 0, "ADV").when(rest == 1, "NUM").when(F.col("pos") % 2 == 1, "VERB").otherwise("NOUN")
+    model = tagging.fit(tokens.filter("sent_pos = 0").withColumn("tag", tag), ["doc_id"])
+    rows = tagging.tag(tokens, ["doc_id", "sent_pos"], model)
+    return rows.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.array_join("tags", " ").alias("tags"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Distinct words, and pieces taken from them: first characters, first three, last one and last two."""
     words = st.wide_documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
@@ -179,6 +192,40 @@ p AS (
 SELECT p.doc_id, p.chunk_pos, trim(string_agg(s.sentence, ' ' ORDER BY s.i), E' \\n\\t') AS chunk
 FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i GROUP BY p.doc_id, p.chunk_pos"""
 
+CONTEXT_TAGS = f"""
+WITH RECURSIVE tok AS MATERIALIZED (
+  SELECT doc_id, sent_pos, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos
+  FROM (SELECT doc_id, sent_pos, {WORDS.format('sentence')} AS ws FROM ({SENTS}))),
+lab AS MATERIALIZED (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT doc_id, pos, word,
+  CASE WHEN length(word) % 5 = 0 THEN 'ADV' WHEN length(word) % 5 = 1 THEN 'NUM' WHEN pos % 2 = 1 THEN 'VERB' ELSE 'NOUN' END AS tag
+  FROM tok WHERE sent_pos = 0)),
+tags AS (SELECT tag, count(*) AS n FROM lab GROUP BY tag),
+t AS (SELECT count(*) AS k FROM tags), voc AS (SELECT count(DISTINCT word) AS v FROM lab),
+moves AS (SELECT before AS a, tag AS b, count(*) AS n FROM lab GROUP BY before, tag),
+outs AS (SELECT a, sum(n) AS n FROM moves GROUP BY a),
+tr AS MATERIALIZED (SELECT x.a, y.tag AS b, ln((coalesce(m.n, 0) + 1)::DOUBLE / (coalesce(o.n, 0) + k)) AS p
+  FROM (SELECT tag AS a FROM tags UNION ALL SELECT NULL) x CROSS JOIN tags y CROSS JOIN t
+  LEFT JOIN moves m ON m.a IS NOT DISTINCT FROM x.a AND m.b = y.tag LEFT JOIN outs o ON o.a IS NOT DISTINCT FROM x.a),
+pw AS MATERIALIZED (SELECT word, tag, count(*) AS n FROM lab GROUP BY word, tag),
+em AS MATERIALIZED (SELECT doc_id, sent_pos, pos, tags.tag, ln((coalesce(pw.n, 0) + 1)::DOUBLE / (tags.n + v + 1)) AS e
+  FROM tok CROSS JOIN tags CROSS JOIN voc LEFT JOIN pw ON pw.word = tok.word AND pw.tag = tags.tag),
+v AS MATERIALIZED (
+  SELECT doc_id, sent_pos, pos, tag, p + e AS score, NULL::VARCHAR AS prev FROM em JOIN tr ON tr.a IS NULL AND tr.b = tag WHERE pos = 0
+  UNION ALL
+  SELECT q.doc_id, q.sent_pos, q.pos, q.tag, m + e, q.prev FROM (
+    SELECT doc_id, sent_pos, v.pos + 1 AS pos, tr.b AS tag, max(round(score + p, 9)) AS m,
+      arg_min(v.tag, struct_pack(s := -round(score + p, 9), t := v.tag)) AS prev
+    FROM v JOIN tr ON tr.a = v.tag GROUP BY doc_id, sent_pos, v.pos, tr.b) q
+  JOIN em ON em.doc_id = q.doc_id AND em.sent_pos = q.sent_pos AND em.pos = q.pos AND em.tag = q.tag),
+ends AS (SELECT doc_id, sent_pos, max(pos) AS pos FROM tok GROUP BY doc_id, sent_pos),
+bt AS (
+  SELECT doc_id, sent_pos, pos, arg_min(tag, struct_pack(s := -round(score, 9), t := tag)) AS tag FROM v JOIN ends USING (doc_id, sent_pos, pos)
+  GROUP BY doc_id, sent_pos, pos
+  UNION ALL
+  SELECT v.doc_id, v.sent_pos, v.pos - 1, v.prev FROM bt JOIN v ON v.doc_id = bt.doc_id AND v.sent_pos = bt.sent_pos AND v.pos = bt.pos AND v.tag = bt.tag
+  WHERE v.prev IS NOT NULL)
+SELECT doc_id, sent_pos, string_agg(tag, ' ' ORDER BY pos) AS tags FROM bt GROUP BY doc_id, sent_pos"""
+
 _FRAMES = (
     "SELECT doc_id, sent_pos, sentence, array_to_string(list_transform(list_filter("
     + WORDS.format("sentence") + ", lambda w: length(w) >= 8), lambda w: w[:4] || '_' || w[5:]), ' ') AS frames"
@@ -210,6 +257,7 @@ QUERIES = {
     "word_chunks": word_chunks,
     "ngrams": ngrams,
     "sentence_pack": sentence_pack,
+    "context_tags": context_tags,
     "subword_costs": subword_costs,
     "subword_pack": subword_pack,
     "sentence_frames": sentence_frames,
@@ -247,6 +295,7 @@ FROM (SELECT doc_id, {WORDS.format('text')} AS t FROM documents)""",
     "sentence_pack": "SELECT p.doc_id, lang AS label, chunk_pos, chunk FROM ("
     + _packed_sql(f"SELECT doc_id, sent_pos, sentence, '' AS frames FROM ({SENTS})", 32)
     + ") p JOIN documents USING (doc_id)",
+    "context_tags": CONTEXT_TAGS,
     "subword_costs": f"WITH RECURSIVE {SUBWORDS} SELECT word, cost::BIGINT AS cost FROM costs",
     "subword_pack": _COSTED,
     "sentence_frames": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos) - 1 AS sent_pos, frames FROM ({_FRAMES})",
