@@ -14,7 +14,7 @@ from corpuslab.catalog.feature_queries import MEAN_FEATURES, category_index, nod
 from corpuslab.operators import attention, corpus, embeddings, graph, learners, splits
 from corpuslab.plans.scale import cut_lineage
 
-RANK_ROUNDS = 10
+RANK_ROUNDS = 60  # the rounds that SQL lays out; ranks are those of the first round that changes less than the tolerance
 
 
 ATTENTION_EPOCHS, ATTENTION_PATIENCE = 3, 2
@@ -64,7 +64,7 @@ def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = graph.pagerank(*_graph(spark, sf_dir), rounds=RANK_ROUNDS)
+    ranks = graph.pagerank(*_graph(spark, sf_dir))
     return ranks.select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
@@ -80,7 +80,7 @@ def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     nodes, edges = _graph(spark, sf_dir)
     struc = graph.structure(
         graph.degrees(nodes, edges), graph.mean_path(nodes, edges), graph.clustering(nodes, edges),
-        graph.pagerank(nodes, edges, rounds=RANK_ROUNDS),
+        graph.pagerank(nodes, edges),
     )
     meta = st.item_metadata(spark, sf_dir)
     index = cut_lineage(category_index(spark, sf_dir))
@@ -214,6 +214,11 @@ def _rank_sql() -> str:
         steps.append(f"""r{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(f.x, 0)
   + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM od)), 0) / c AS r
   FROM n CROSS JOIN cnt LEFT JOIN (SELECT e.dst AS id, sum(r / o) AS x FROM e JOIN od USING (src) JOIN r{i - 1} p ON p.id = e.src GROUP BY e.dst) f USING (id))""")
+    changes = " UNION ALL ".join(
+        f"SELECT {i} AS i, sum(abs(a.r - b.r)) AS ch FROM r{i} a JOIN r{i - 1} b USING (id)" for i in range(1, RANK_ROUNDS + 1))
+    steps.append(f"stop AS MATERIALIZED (SELECT min(i) AS i FROM ({changes}), cnt WHERE ch < c * 1e-6::DOUBLE)")
+    steps.append("ranks AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT id, r FROM r{i}, stop WHERE stop.i = {i}" for i in range(1, RANK_ROUNDS + 1)) + ")")
     return ",\n".join(steps)
 
 
@@ -254,13 +259,13 @@ ORACLE = {
     "degrees": f"WITH {EDGES}, {DEGREES} SELECT id, round(i::DOUBLE / total, 9) AS in_degree, round(o::DOUBLE / total, 9) AS out_degree FROM deg",
     "mean_path": f"WITH RECURSIVE {EDGES}, {PATHS} SELECT id, round(mean_path, 9) AS mean_path FROM paths",
     "clustering": f"WITH {EDGES}, {CLUSTER} SELECT id, round(clustering, 9) AS clustering FROM clus",
-    "pagerank": f"WITH {EDGES}, {RANKS} SELECT id, round(r, 9) AS pagerank FROM r{RANK_ROUNDS}",
+    "pagerank": f"WITH {EDGES}, {RANKS} SELECT id, round(r, 9) AS pagerank FROM ranks",
     "neighbor_stats": f"WITH {EDGES} SELECT src AS id, round(avg(p_retailprice), 6) AS avg, min(p_retailprice) AS min, max(p_retailprice) AS max FROM e JOIN part ON p_partkey = dst GROUP BY src",
     "node_features": f"""WITH RECURSIVE {EDGES}, {DEGREES}, {PATHS}, {CLUSTER}, {RANKS}, {EMB},
 cats AS (SELECT id, count(*) AS c FROM ({CATS}) GROUP BY id), width AS (SELECT count(DISTINCT v) AS k FROM ({CATS})),
 vsum AS (SELECT id, sum(value) AS v FROM emb GROUP BY id),
 sums AS (SELECT deg.id, i::DOUBLE / total + o::DOUBLE / total + mean_path + clustering + r AS s, c, v, k FROM deg JOIN paths USING (id) JOIN clus USING (id)
-  JOIN r{RANK_ROUNDS} USING (id) JOIN cats USING (id) JOIN vsum USING (id) CROSS JOIN width)
+  JOIN ranks USING (id) JOIN cats USING (id) JOIN vsum USING (id) CROSS JOIN width)
 """ + " UNION ALL ".join(f"SELECT id, '{g}' AS feat_type, ({w})::BIGINT AS width, round(({t})::DOUBLE, 4) + 0.0 AS total FROM sums" for g, t, w in _GROUPS),
     "node_index": f"WITH {EDGES}, {INDEX} SELECT a.idx AS src_idx, b.idx AS dst_idx FROM e JOIN ix a ON a.id = src JOIN ix b ON b.id = dst",
     "node_roles": f"""WITH {EDGES}, {INDEX},
