@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.sources.keyed import read_keyed
+
 CORPUS_DOC = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("abstract", T.StringType()),
@@ -26,21 +28,12 @@ PREPARED_COLUMNS = T.StructType([
 ] + [T.StructField("sections", T.ArrayType(T.ArrayType(T.StringType())))])
 
 
-def _keyed(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
-    """(seq, key, value) of JSON objects keyed by name. A JSON object file is one value and
-    cannot be split; many files are read in parallel, and JSON Lines or Parquet is the
-    layout for large corpora."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", T.MapType(T.StringType(), value))
-    return whole.select(F.posexplode(parsed).alias("seq", "key", "value"))
-
-
 def read_keyed_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Documents keyed by name, sections as ordered array<struct<name, text>>."""
+    """Documents keyed by name in one JSON object, read by byte ranges; sections as ordered array<struct<name, text>>."""
     sections = F.transform(
         F.map_entries("value.text"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("text"))
     )
-    return _keyed(spark, path, CORPUS_DOC).select(
+    return read_keyed(spark, path, CORPUS_DOC).select(
         "seq", "key", "value.title", "value.abstract", sections.alias("sections"),
         "value.doi", "value.file_name", F.col("value.rd").alias("label"),
     )
@@ -67,13 +60,13 @@ def read_parallel_lists(spark: SparkSession, path: str, schema: T.StructType = P
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """edges(src, dst) from an adjacency-list JSON object."""
-    lists = _keyed(spark, path, T.ArrayType(T.StringType()))
+    lists = read_keyed(spark, path, T.ArrayType(T.StringType()))
     return lists.select(F.col("key").alias("src"), F.explode("value").alias("dst"))
 
 
 def read_node_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Node metadata with every field nullable."""
-    return _keyed(spark, path, NODE_METADATA).select(F.col("key").alias("id"), "value.*")
+    return read_keyed(spark, path, NODE_METADATA).select(F.col("key").alias("id"), "value.*")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
