@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.catalog import standins as st
 from corpuslab.catalog.corpus_queries import FRAME_TEXT, FRAME_VIEWS, PREP, VIEWS, corpus_views, frame_views
 from corpuslab.catalog.feature_queries import BAG, TFIDF, f1_sql, split_sql
-from corpuslab.operators import bayes, contrastive, corpus, epochs, experiments, features, history, learners, metrics, neighbors, pairs, paragraphs, search, splits, svm
+from corpuslab.operators import bayes, contrastive, corpus, epochs, experiments, features, history, knn, learners, metrics, neighbors, pairs, paragraphs, search, splits, svm
 from corpuslab.plans.scale import cut_lineage, global_rank
 
 ALPHAS = search.GRIDS["bayes"]["alpha"]
@@ -131,6 +131,12 @@ def svm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svm.svm_report(corpus_views(spark, sf_dir), "doc_id", names, corpus.DATA_TYPES)
 
 
+def knn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five splits with the whole grid of neighbours, weights and metrics on the four text views, for both feature kinds."""
+    names = corpus.label_names(st.documents(spark, sf_dir))
+    return knn.knn_report(corpus_views(spark, sf_dir), "doc_id", names, corpus.DATA_TYPES)
+
+
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _vectors(spark, sf_dir)
     return learners.fit_predict(learners.feed_forward(64, 10, hidden=1024, max_iter=100), train, test, "vec_id")
@@ -375,6 +381,7 @@ QUERIES = {
     "contrastive_pairs": contrastive_pairs,
     "linear_svm": linear_svm,
     "svm_report": svm_report,
+    "knn_report": knn_report,
     "mlp": mlp,
     "logreg_head": logreg_head,
     "head_report": head_report,
