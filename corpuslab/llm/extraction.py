@@ -15,8 +15,8 @@ its own parts can bear too (OWN) leave the choice to the scores, and lists of li
 
 Inline elements belong to their block. Character references are decoded; white space in a block
 becomes one space; blocks are joined by a newline. Defined results: null, empty and text-free pages
-give an empty text; unclosed elements end with their parent; a page of any length is read once, from front
-to back. Repeated rows are treated alike; extra columns are not read.
+give an empty text; unclosed elements end with their parent; a page of any length and depth is read once, from
+front to back, in time that grows with its length (paths are nodes of a tree, open elements are found by name). Repeated rows are treated alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_SPAN_END = re.compile(r"</span\s*>", re.I)
 _PART = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
@@ -95,26 +97,115 @@ def _names(attributes: str) -> set[str]:
     return found
 
 
-def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of the blocks in page order, without what is left out."""
-    blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
-    # (name, whether its text is left out, the elements around it that are left out by name, its name in paths)
-    stack: list[tuple[str, bool, tuple[int, ...], str]] = [("", False, (), "")]
+class Paths:
+    """The tag paths of a page as a tree: a path is the number of its node, so that deep pages share
+    what their paths have in common. Node 0 is the empty path; a node comes after its parent."""
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.depths = [""], [0], [0]
+        self.roots = [-1]  # the outermost article or main of the path
+        self.in_article, self.own = [False], [False]
+        self._below: dict[tuple[int, str], int] = {}
+
+    def child(self, node: int, name: str) -> int:
+        found = self._below.setdefault((node, name), len(self.names))
+        if found == len(self.names):
+            self.names.append(name)
+            self.parents.append(node)
+            self.depths.append(self.depths[node] + 1)
+            above = self.roots[node]
+            self.roots.append(found if above < 0 and name in CONTENT else above)
+            self.in_article.append(self.in_article[node] or name == "article")
+            self.own.append(self.own[node] or name.endswith("!"))
+        return found
+
+    def path(self, node: int) -> tuple[str, ...]:
+        names = []
+        while node:
+            names.append(self.names[node])
+            node = self.parents[node]
+        return tuple(reversed(names))
+
+    def meeting(self, nodes: list[int]) -> int:
+        """The deepest node that all of these lie in."""
+        held = [0] * len(self.names)
+        for n in nodes:
+            held[n] += 1
+        for n in range(len(held) - 1, 0, -1):
+            if held[n] == len(nodes):
+                return n
+            held[self.parents[n]] += held[n]
+        return 0
+
+    def inside(self, root: int) -> list[bool]:
+        """Per node whether it lies in the root."""
+        found = [False] * len(self.names)
+        for n, parent in enumerate(self.parents):
+            found[n] = n == root or (n > 0 and found[parent])
+        return found
+
+
+class Open(NamedTuple):
+    """An open element, with what it inherits from those around it."""
+
+    name: str
+    #: its text is left out
+    out: bool
+    #: start of the only element around it (or itself) that is left out by name; 0: none, -1: several
+    named: int
+    #: its place in the paths
+    node: int
+    #: an article or main lies around it; one of them keeps its text or is an article
+    content: bool
+    kept: bool
+
+
+class Stack:
+    """The open elements; of each name the places are known, so that no search walks through all of them."""
+
+    def __init__(self) -> None:
+        self.held = [Open("", False, 0, 0, False, False)]
+        self._places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Open:
+        return self.held[-1]
+
+    def place(self, names: set[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self._places[n][-1] for n in names if self._places.get(n)), default=0)
+
+    def push(self, element: Open) -> None:
+        self._places.setdefault(element.name, []).append(len(self.held))
+        self.held.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close everything from this place on."""
+        while len(self.held) > place:
+            self._places[self.held.pop().name].pop()
+
+
+def read_page(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The tree of paths and (path, text, characters in links) of the blocks in page order, without what
+    is left out. A page is read once; the work grows with its length, however deep it nests."""
+    blocks: list[tuple[int, str, int, int]] = []
+    paths, stack = Paths(), Stack()
     pieces: list[str] = []
     links: list[str] = []
     state = {"link": 0}
+    spans_end = True  # whether a later end tag of a span is known to be possible
 
     def flush() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
-            if text and not stack[-1][1]:
+            if text and not stack.top.out:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                blocks.append((tuple(x[3] for x in stack[1:]), text, min(linked, len(text)), stack[-1][2]))
+                blocks.append((stack.top.node, text, min(linked, len(text)), stack.top.named))
             pieces.clear()
             links.clear()
 
     def say(raw: str) -> None:
-        if raw and not stack[-1][1]:
+        if raw and not stack.top.out:
             pieces.append(raw)
             if state["link"]:
                 links.append(raw)
@@ -136,8 +227,9 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in INLINE:
             if name == "a":
                 state["link"] = 0 if closing else 1
-            if not closing and _HIDDEN.search(attributes) and name == "span":
-                found = re.compile(r"</span\s*>", re.I).search(page, at)
+            if not closing and spans_end and name == "span" and _HIDDEN.search(attributes):
+                found = _SPAN_END.search(page, at)
+                spans_end = found is not None
                 at = found.end() if found else at
             continue
         if name in ("br", "wbr", "img", "input"):
@@ -148,9 +240,9 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in VOID:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                del stack[depth:]
+            place = stack.place({name})
+            if place:
+                stack.cut(place)
             continue
         if name in RAW:
             found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -158,49 +250,56 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if attributes.rstrip().endswith("/") and name in ("path", "circle", "rect", "use"):
             continue
-        if stack[-1][0] == "p":
-            stack.pop()
+        if stack.top.name == "p":
+            stack.cut(len(stack.held) - 1)
         if name in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
-                    if name not in ("td", "th", "tr", "tbody", "tfoot"):
-                        break
-                elif stack[i][0] in HOLDERS:
+            while (place := stack.place(CLOSES[name])) > stack.place(HOLDERS):
+                stack.cut(place)
+                if name not in ("td", "th", "tr", "tbody", "tfoot"):
                     break
         if name == "body":
-            del stack[1 + (len(stack) > 1 and stack[1][0] == "html"):]
-        around = [(x[0], x[1] or bool(x[2])) for x in stack if x[0] in CONTENT]
-        inside = any(not gone or n == "article" or name != "article" for n, gone in around)
+            stack.cut(1 + (len(stack.held) > 1 and stack.held[1].name == "html"))
+        inside = stack.top.kept or (stack.top.content and name != "article")
         names = _names(attributes) if attributes and name not in ("html", "body") else set()
         if name in CONTENT and not inside and not names & LEFT_OUT_NAMES:
-            while (stack[-1][1] or stack[-1][2]) and len(stack) > 1:  # an unclosed advert or menu does not swallow the article
-                stack.pop()
-        out = stack[-1][1] or name in LEFT_OUT or (not inside and name in OUTER) or bool(
+            while (stack.top.out or stack.top.named) and len(stack.held) > 1:  # an unclosed advert or menu does not swallow the article
+                stack.cut(len(stack.held) - 1)
+        around = stack.top
+        out = around.out or name in LEFT_OUT or (not inside and name in OUTER) or bool(
             attributes and _HIDDEN.search(attributes))
         if inside:
             names -= OUTER
-        own = bool(names) and names <= OWN and any(x[0] == "article" for x in stack)
-        named = (*stack[-1][2], at) if names and not own else stack[-1][2]
-        stack.append((name, out, named, f"{name}!" if own else name))
+        own = bool(names) and names <= OWN and bool(stack.place({"article"}))
+        named = around.named
+        if names and not own:
+            named = -1 if named else at
+        stack.push(Open(
+            name, out, named, paths.child(around.node, f"{name}!" if own else name), around.content or name in CONTENT,
+            around.kept or (name in CONTENT and (name == "article" or not (out or named)))))
     flush()
-    return _without_named(blocks)
+    return paths, _without_named(blocks)
+
+
+def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """The blocks of ``read_page`` with their paths written out."""
+    paths, blocks = read_page(page)
+    return [(paths.path(node), text, linked) for node, text, linked in blocks]
 
 
-def _without_named(blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]) -> list[tuple[tuple[str, ...], str, int]]:
+def _without_named(blocks: list[tuple[int, str, int, int]]) -> list[tuple[int, str, int]]:
     """The blocks outside the elements that are left out by name, and those of such an element if it
     holds nearly all of the text."""
-    held: dict[tuple[int, ...], int] = {}
+    held: dict[int, int] = {}
     for _, text, _, named in blocks:
         held[named] = held.get(named, 0) + len(text)
-    seen = held.get((), 0)
-    stays = {x for x, n in held.items() if not x or len(x) == 1 and n > MOST * (n + seen)}
+    seen = held.get(0, 0)
+    stays = {x for x, n in held.items() if not x or x > 0 and n > MOST * (n + seen)}
     return [(path, text, linked) for path, text, linked, named in blocks if named in stays]
 
 
-def content_paths(blocks: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
+def content_paths(tree: Paths, blocks: list[tuple[int, str, int]]) -> set[int]:
     """The paths whose blocks are main text."""
-    sums: dict[tuple[str, ...], list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for path, text, linked in blocks:
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += len(text)
@@ -217,22 +316,19 @@ def content_paths(blocks: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[s
     best = max(range(len(paths)), key=lambda i: (free[i] * (1 + marks[i]), scores[i]))
     chosen = [p for p, s, f in zip(paths, scores, free, strict=True) if f and s >= mean + DEVIATIONS * deviation]
     chosen.append(paths[best])
-    held = [p for p in chosen if CONTENT & set(p)] if any(CONTENT & set(p) for p in paths) else chosen
+    content = [p for p in paths if tree.roots[p] >= 0]
+    held = [p for p in chosen if tree.roots[p] >= 0] if content else chosen
     if not held:  # an article without text of its own weight
-        held = [p for p in paths if CONTENT & set(p)]
-    if any(CONTENT & set(p) for p in held):
-        roots = {p[: next(i for i, n in enumerate(p) if n in CONTENT) + 1] for p in held}
+        held = content
+    if content:
+        roots = {tree.roots[p] for p in held}
+        near = {p for p in content if tree.roots[p] in roots}
     else:
-        root = held[0][:-1] or held[0]
-        for p in held[1:]:
-            root = root[: next((i for i, (a, b) in enumerate(zip(root, p, strict=False)) if a != b), min(len(root), len(p)))]
-        roots = {root}
-    picked = set(held)
-    for p in paths:
-        if any(p[: len(r)] == r for r in roots) and not any(n.endswith("!") for n in p) and (
-                "article" in p or sums[p][2] <= LINKED * sums[p][0]):
-            picked.add(p)
-    return picked
+        first = tree.parents[held[0]] if tree.depths[held[0]] > 1 else held[0]
+        inside = tree.inside(tree.meeting([first, *held[1:]]))
+        near = {p for p in paths if inside[p]}
+    return set(held) | {
+        p for p in near if not tree.own[p] and (tree.in_article[p] or sums[p][2] <= LINKED * sums[p][0])}
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -242,10 +338,10 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = text_blocks(page or "")
+    paths, blocks = read_page(page or "")
     if not blocks:
         return ""
-    picked = content_paths(blocks)
+    picked = content_paths(paths, blocks)
     return "\n".join(text for path, text, _ in blocks if path in picked)
 
 

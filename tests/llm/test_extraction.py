@@ -1,6 +1,13 @@
 """Main text of pages with known content."""
 
-from corpuslab.llm.extraction import extract, main_text, text_blocks
+import math
+import random
+import re
+import time
+
+import pytest
+
+from corpuslab.llm.extraction import content_paths, extract, main_text, read_page, text_blocks
 
 HEAD = '<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>'
 MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><header><p>Site header text, long enough.</p></header>'
@@ -82,3 +89,62 @@ def test_whole_names_still_go():
     text = "<p>A paragraph with text, commas, and more of it, so that it is the text of this page.</p>"
     for name in ('class="site-footer"', 'id="postComments"', 'class="x sidebar"', 'class="ad-slot-1"', 'role="navigation"'):
         assert main_text(f"<body><div><div>{text}</div><div {name}><p>Not this, but long, too.</p></div></div>") == text[3:-4], name
+
+
+@pytest.mark.parametrize("page", [
+    "<div><p>a</p>" * 80_000, "<div>" * 200_000 + "x", "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000,
+    "<div>" * 50_000 + "</section>" * 50_000, "<div class=ad>" * 70_000 + "x", "<span hidden>" * 80_000, "<article><div><p>a</p>" * 50_000,
+], ids=["unclosed", "nested", "items", "ends", "adverts", "spans", "articles"])
+def test_broken_pages_of_a_megabyte_end_soon(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 4
+
+
+def brute_paths(blocks):
+    """The chosen paths by the definition, over written-out paths."""
+    paths = list(dict.fromkeys(p for p, _, _ in blocks))
+    of = {p: [(t, n) for q, t, n in blocks if q == p] for p in paths}
+    length = {p: sum(len(t) - n for t, n in of[p]) / len(of[p]) for p in paths}
+    total = {p: sum(len(t) for t, _ in of[p]) for p in paths}
+    marks = {p: sum(len(re.findall(r"[.,;:!?…。，！？；：、]", t)) for t, _ in of[p]) * length[p] / total[p] for p in paths}
+
+    def smooth(value):
+        v = [value[p] for p in paths]
+        return [(2 * x + v[max(i - 1, 0)] + v[min(i + 1, len(v) - 1)]) / 4 for i, x in enumerate(v)]
+
+    score = {p: math.sqrt(a * (1 + b)) for p, a, b in zip(paths, smooth(length), smooth(marks))}
+    mean = sum(score.values()) / len(paths)
+    over = mean + 0.5 * math.sqrt(sum((s - mean) ** 2 for s in score.values()) / len(paths))
+    best = max(paths, key=lambda p: (length[p] * len(of[p]) * (1 + marks[p]), score[p], -paths.index(p)))
+    held = [p for p in paths if length[p] and score[p] >= over] + [best]
+    cut = lambda p: next((p[: i + 1] for i, n in enumerate(p) if n in ("article", "main")), None)
+    if any(cut(p) for p in paths):
+        held = [p for p in held if cut(p)] or [p for p in paths if cut(p)]
+        roots = {cut(p) for p in held}
+    else:
+        root = held[0][:-1] or held[0]
+        while not all(p[: len(root)] == root for p in held[1:]):
+            root = root[:-1]
+        roots = {root}
+    free = lambda p: sum(n for _, n in of[p]) <= 0.8 * total[p]
+    return set(held) | {
+        p for p in paths if any(p[: len(r)] == r for r in roots) and not any(n.endswith("!") for n in p) and ("article" in p or free(p))}
+
+
+def test_path_statistics_against_brute_force():
+    rng = random.Random(6)
+    tags = ["div", "div", "p", "p", "article", "main", "li", "ul", "section", "h2", "td", "table", 'div class="notice"', 'p class="ad"']
+    texts = ["word, and more.", "x", "A longer text, with commas, and more of them. Yes.", '<a href="/l">a link of words</a>', "two words"]
+    seen = 0
+    for _ in range(1500):
+        parts = []
+        for _ in range(rng.randint(2, 25)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag.split()[0]}>", rng.choice(texts), rng.choice(texts)]))
+        page = "".join(parts)
+        tree, blocks = read_page(page)
+        if blocks:
+            seen += 1
+            assert {tree.path(p) for p in content_paths(tree, blocks)} == brute_paths(text_blocks(page)), page
+    assert seen > 1000
