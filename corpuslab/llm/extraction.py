@@ -47,11 +47,11 @@ RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "if
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
-    "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
+    "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var",
 }
 LEFT_OUT = {
-    "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "label", "map", "math", "menu",
+    "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "map", "math", "menu",
     "nav", "noscript", "object", "option", "aside", "script", "select", "style", "svg", "template", "textarea", "title", "video",
 }
 LEFT_OUT_NAMES = {
@@ -69,7 +69,7 @@ BESIDE = {
     "right", "secondary", "section", "site", "slot", "text", "title", "top", "unit", "wrap", "wrapper",
 }
 #: In an article the scores decide about elements of these names.
-OWN = {"alert", "banner", "disclaimer", "discussion", "notice", "notices", "notification", "widget"}
+OWN = {"alert", "banner", "disclaimer", "discussion", "notice", "notices", "notification", "related", "widget"}
 MOST = 0.9
 #: Left out unless they lie in the article itself.
 OUTER = {"header", "masthead", "topbar"}

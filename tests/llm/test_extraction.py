@@ -91,6 +91,16 @@ def test_whole_names_still_go():
         assert main_text(f"<body><div><div>{text}</div><div {name}><p>Not this, but long, too.</p></div></div>") == text[3:-4], name
 
 
+def test_related_sections_and_labels_in_an_article():
+    work = "<p>Earlier studies, as told above, found the same, with other means, and for longer times, too.</p>"
+    body = f'<article><h1>Title</h1><section class="related"><h2>Related work</h2>{work}</section></article>'
+    assert work[3:-4] in main_text(page(body))
+    teasers = '<div class="related"><ul><li><a href="/1">Another page</a></li><li><a href="/2">One more</a></li></ul></div>'
+    assert main_text(page(f"<article>{work}{work}{teasers}</article>")) == "\n".join([work[3:-4]] * 2)
+    assert main_text(page("<article><p>The <label>term</label> used here, and so on.</p></article>")) == "The term used here, and so on."
+    assert main_text(page(f"<article>{work}<form><label>Your name, please.</label></form></article>")) == work[3:-4]
+
+
 @pytest.mark.parametrize("page", [
     "<div><p>a</p>" * 80_000, "<div>" * 200_000 + "x", "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000,
     "<div>" * 50_000 + "</section>" * 50_000, "<div class=ad>" * 70_000 + "x", "<span hidden>" * 80_000, "<article><div><p>a</p>" * 50_000,
