@@ -354,6 +354,52 @@ answers AS (SELECT metric, k, weights, own, y, y_train AS yhat FROM sums
 SELECT metric, k::BIGINT AS n_neighbors, weights, round(avg(f1), 6) AS cv_f1 FROM ({f1_sql('answers', 'metric, k, weights, own')}) GROUP BY metric, k, weights"""
 
 
+def _knn_report_sql(data_type: str) -> str:
+    """Brute force: distances of all pairs of a problem (feature kind and split); test documents have own = -1."""
+    return f"""WITH {PREP}, {VIEWS}, bag AS MATERIALIZED ({VIEW_BAG.format(data_type)}), sp AS MATERIALIZED ({split_sql(5)}),
+dfs AS (SELECT split, term, count(*) AS df FROM bag JOIN sp USING (doc_id) WHERE role = 'train' GROUP BY split, term),
+ns AS (SELECT split, count(*) AS n FROM sp WHERE role = 'train' GROUP BY split),
+raw AS (SELECT split, doc_id, term, value, value * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
+  FROM bag JOIN sp USING (doc_id) JOIN dfs USING (split, term) JOIN ns USING (split)),
+owned AS (SELECT split, doc_id, label, ntile(5) OVER (PARTITION BY split, label ORDER BY doc_id) - 1 AS own FROM sp WHERE role = 'train'
+  UNION ALL SELECT split, doc_id, label, -1 FROM sp WHERE role = 'test'),
+docs AS MATERIALIZED (SELECT kind * 10 + split AS g, doc_id, label, own FROM owned CROSS JOIN (VALUES (0), (1)) AS v(kind)),
+feat AS MATERIALIZED (SELECT split AS g, doc_id, term, value FROM raw
+  UNION ALL SELECT 10 + split, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY split, doc_id)) FROM raw),
+sq AS MATERIALIZED (SELECT d.g, d.doc_id, any_value(label) AS label, any_value(own) AS own, coalesce(sum(value), 0) AS s1,
+  coalesce(sum(value * value), 0) AS s2 FROM docs d LEFT JOIN feat ON feat.g = d.g AND feat.doc_id = d.doc_id GROUP BY d.g, d.doc_id),
+ov AS (SELECT a.g, a.doc_id AS ka, b.doc_id AS kb, sum(a.value * b.value) AS dotp, sum(least(a.value, b.value)) AS mins
+  FROM feat a JOIN feat b ON a.g = b.g AND a.term = b.term GROUP BY a.g, a.doc_id, b.doc_id),
+near AS (SELECT x.g, x.doc_id AS test_key, x.own, x.label AS y, z.doc_id AS train_key, z.label AS y_train, metric,
+  CASE metric WHEN 'euclidean' THEN round(sqrt(round(greatest(x.s2 + z.s2 - 2.0::DOUBLE * coalesce(dotp, 0), 0), 9)), 9)
+              ELSE round(greatest(x.s1 + z.s1 - 2.0::DOUBLE * coalesce(mins, 0), 0), 9) END AS dist
+  FROM sq x JOIN sq z ON z.g = x.g AND z.own >= 0 AND z.own <> x.own CROSS JOIN (VALUES ('euclidean'), ('manhattan')) AS v(metric)
+  LEFT JOIN ov ON ov.g = x.g AND ov.ka = x.doc_id AND ov.kb = z.doc_id),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g, metric, test_key ORDER BY dist, train_key) AS rank FROM near QUALIFY rank <= 20),
+low AS (SELECT g, metric, test_key, min(dist) AS lo FROM ranked GROUP BY g, metric, test_key),
+points AS (SELECT row_number() OVER (ORDER BY metric, k, w) - 1 AS point, metric, k, weights FROM (VALUES ('euclidean'), ('manhattan')) AS a(metric)
+  CROSS JOIN (VALUES (1), (2), (4), (8), (12), (15), (17), (20)) AS b(k) CROSS JOIN (VALUES (0, 'uniform'), (1, 'distance')) AS c(w, weights)),
+sums AS (SELECT g, point, test_key, own, y, y_train,
+  sum(CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE WHEN lo = 0 THEN (dist = 0)::INT::DOUBLE ELSE 1.0::DOUBLE / dist END) AS s
+  FROM ranked JOIN low USING (g, metric, test_key) JOIN points USING (metric) WHERE rank <= k GROUP BY g, point, test_key, own, y, y_train),
+answers AS (SELECT g, point, own, y, y_train AS yhat FROM sums
+  QUALIFY row_number() OVER (PARTITION BY g, point, test_key ORDER BY round(s, 9) DESC, y_train) = 1),
+runs AS MATERIALIZED (SELECT *, g // 10 AS kind, g % 10 AS split FROM ({f1_sql('answers', 'g, point, own')})),
+cv AS (SELECT g, point, avg(f1) AS cv_f1 FROM runs WHERE own >= 0 GROUP BY g, point),
+best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(cv_f1, 12) DESC, point) = 1),
+tested AS (SELECT runs.* FROM runs JOIN best USING (g, point) WHERE own = -1),
+params AS (SELECT kind, format('{{{{''algorithm'': ''brute'', ''metric'': ''{{}}'', ''n_neighbors'': {{}}, ''weights'': ''{{}}''}}}}', metric, k, weights) AS shown
+  FROM tested JOIN points USING (point) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(f1, 12) DESC, split) = 1)
+SELECT 'knn' AS model_type, CASE kind WHEN 0 THEN 'bow' ELSE 'tfidf' END AS feature_type, '{data_type}' AS data_type,
+  round_even(round(max(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_f1, round_even(round(avg(f1) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_f1,
+  round_even(round(max(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS best_accuracy, round_even(round(avg(accuracy) * 100.0::DOUBLE, 9), 0) / 100.0::DOUBLE AS avg_accuracy,
+  any_value(shown) AS best_params
+FROM tested JOIN params USING (kind) GROUP BY kind"""
+
+
+KNN_REPORT = " UNION ALL ".join(f"SELECT * FROM ({_knn_report_sql(kind)})" for kind in corpus.DATA_TYPES)
+
+
 _EUCLID = "round(sqrt(round(greatest(trs.s2 + tes.s2 - 2.0::DOUBLE * coalesce(dotp, 0), 0), 9)), 9)"
 _MANHATTAN = "round(greatest(trs.s1 + tes.s1 - 2.0::DOUBLE * coalesce(mins, 0), 0), 9)"
 _WEIGHTS = "SELECT doc_id, label, term, value FROM weights WHERE role = '{0}'"
@@ -418,6 +464,7 @@ sums AS (SELECT test_key, k, weights, y_train, sum(CASE WHEN weights = 'uniform'
 SELECT test_key, k::BIGINT AS k, weights, y_train AS yhat FROM sums
 QUALIFY row_number() OVER (PARTITION BY test_key, k, weights ORDER BY round(s, 9) DESC, y_train) = 1""",
     "knn_grid": KNN_GRID,
+    "knn_report": KNN_REPORT,
     "contrastive_pairs": """
 WITH base AS (SELECT doc_id, quality::VARCHAR AS label, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS place,
   count(*) OVER (PARTITION BY quality) AS size FROM labels),
