@@ -20,7 +20,7 @@ component of its fingerprint and is never its name unless no id is there (then n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +55,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fp): the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, carry: Sequence[str] = (),
+) -> DataFrame:
+    """(key, fp, carry..): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             marks = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(marks.view(np.int64)), *batch.columns[2:]], ["key", "fp", *carry])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *carry)
+    carried = "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
+    return rows.mapInArrow(run, f"key long, fp long{carried}").withColumnRenamed("key", key)
 
 
 def _mask(start: int, length: int) -> int:
@@ -116,9 +120,10 @@ def links(prints: DataFrame, node: str, distance: int = 2, segments: int = 5) ->
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, fp, component_id), one row per input row."""
-    prints = cut_lineage(fingerprints(docs, key, text, width))
+    """(key, fp, component_id, carry..), one row per input row; carried columns are given back as they came."""
+    prints = cut_lineage(fingerprints(docs, key, text, width, carry))
     nodes = prints.groupBy("fp").agg(F.min(key).alias("_node"))
     joined = links(nodes.filter(F.col("_node").isNotNull()), "_node", distance)
     groups = connected_components(joined).select(F.col("node").alias("_node"), "component")

@@ -91,3 +91,9 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
 def test_long_text():
     text = " ".join(f"w{i % 1000}" for i in range(100_000))
     assert simhash.fingerprint(text) == brute_print(text)
+
+
+def test_carried_columns(spark):
+    docs = spark.createDataFrame([(2, "a b c", "x"), (1, "A b c", None), (None, None, "y")], "doc_id long, text string, note string")
+    rows = simhash.near_duplicates(docs, carry=["note"]).collect()
+    assert sorted(((r.doc_id, r.component_id, r.note) for r in rows), key=str) == [(1, 1, None), (2, 1, "x"), (None, None, "y")]
