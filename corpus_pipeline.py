@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm import bpe, mixing, quality, simhash, suffix
 from corpuslab.llm.common import spread, table, word_count
 from corpuslab.llm.queries import vocabulary
+from corpuslab.plans.scale import cut_lineage
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,10 +21,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    found = simhash.near_duplicates(spread(docs))
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENTS)
+    """One row of each group stays: that with the smallest id, and one of the rows that share it. Rows without
+    an id go if their fingerprint's group has one with an id; else one row of each fingerprint stays."""
+    own = docs.select(*DOCUMENTS).withColumn("_row", F.xxhash64(*DOCUMENTS, *(F.col(c).isNull() for c in DOCUMENTS)))
+    found = cut_lineage(simhash.near_duplicates(spread(own), carry=["_row"]))
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = found.filter(head).withColumn("_print", F.when(F.col("doc_id").isNull(), F.col("fp")))
+    shared = cut_lineage(heads.groupBy("doc_id", "_print").agg(  # ids or fingerprints that several rows head a group with
+        F.count("*").alias("n"), F.min("_row").alias("_kept")).filter("n > 1"))
+    same = shared.select(F.col("doc_id").alias("_id"), F.col("_print").alias("_fp"))
+    others = heads.join(same, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_print").eqNullSafe(F.col("_fp")), "left_semi")
+    gone = found.filter(~head).unionByName(others.drop("_print")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_at"))
+    kept = shared.select(F.col("doc_id").alias("_id"), F.col("_kept").alias("_at"))
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_at"))
+    alone = own.join(gone.distinct(), match, "left_anti")
+    return alone.unionByName(own.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_row"])).select(*DOCUMENTS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
