@@ -98,3 +98,18 @@ def test_defined_cases_go_through_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() <= 2 * len(rows)
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, ids with two texts and null ids: what stays is decided by row, not by id."""
+    text = [" ".join(f"{chr(97 + i)}{k}" for k in range(60)) for i in range(5)]
+    rows = [
+        (1, text[0], "en"), (1, text[0], "en"), (1, text[0], "de"),  # one of three stays
+        (2, text[0], "en"), (2, text[1], "en"),  # a copy of 1 goes, the other text of 2 stays
+        (3, text[2], "en"), (None, text[2], "en"),  # the row without an id goes
+        (None, text[3], "en"), (None, text[3], "en"), (None, text[3], "fr"), (None, text[4], "en"),  # one of each text
+    ]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.simhash_dedup(spark, docs, DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(1, text[0]), (2, text[1]), (3, text[2]), (None, text[3]), (None, text[4])], key=str)
