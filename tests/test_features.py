@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from corpuslab.operators import embeddings, features
+from corpuslab.plans import scale
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +50,60 @@ def test_class_profile_ties_go_to_the_earliest_document(spark):
     assert {r.ngram: r.cnt for r in rows} == {"r": 2, "s": 1}
 
 
+def _plain_profile(rows, limits):
+    """(label, n, ngram) -> count of the kept n-grams, by counting everything."""
+    counts, first = {}, {}
+    for key, label, t in rows:
+        w = t.split()
+        for n in limits:
+            for at in range(len(w) - n + 1):
+                g = (label, n, " ".join(w[at: at + n]))
+                counts[g] = counts.get(g, 0) + 1
+                first[g] = min(first.get(g, (key, at)), (key, at))
+    kept = {}
+    for label, n in {g[:2] for g in counts}:
+        order = sorted((g for g in counts if g[:2] == (label, n)), key=lambda g: (-counts[g], first[g]))
+        kept |= {g: counts[g] for g in order[: limits[n]]}
+    return kept
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 15])
+def test_class_profile_is_exact_for_any_number_of_buckets(spark, monkeypatch, buckets):
+    monkeypatch.setattr(features, "BUCKETS", buckets)
+    rng = random.Random(buckets)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, rng.choice("AB"), " ".join(rng.choices(words, range(1, 41), k=rng.randint(0, 30)))) for i in range(60)]
+    limits = {1: 5, 2: 3, 3: 4}
+    df = spark.createDataFrame(rows, "id int, label string, t string")
+    got = features.class_profile(df, "label", "id", "t", limits).collect()
+    assert {(r.label, r.n, r.ngram): r.cnt for r in got} == _plain_profile(rows, limits)
+
+
+def test_class_profile_shuffles_no_rare_ngrams(spark):
+    """Rows of n-grams that cannot be in a profile stay in their task: what is exchanged is bounded by the buckets."""
+    rows = [(i, "A", f"top top top top u{i} v{i} x{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, label string, t string")
+    seen, real = [], features.cut_lineage
+    features.cut_lineage = lambda d: seen.append(real(d)) or seen[-1]
+    try:
+        got = features.class_profile(df, "label", "id", "t", {1: 1}).collect()
+    finally:
+        features.cut_lineage = real
+    assert [(r.ngram, r.cnt) for r in got] == [("top", 1200)]
+    assert max(d.count() for d in seen if "ngram" in d.columns) < 20
+
+
+def test_tasks_hold_a_bounded_share_of_the_texts(spark):
+    """More text makes more partitions, also past spark.sql.shuffle.partitions, and the rows of a key stay together."""
+    df = spark.range(64).selectExpr("id % 32 AS id", "repeat('ab cd ', 100) AS t")
+    placed = scale.place_by_size(df, "id", "t", per_task=1200)
+    assert placed.rdd.getNumPartitions() == 32 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    where = placed.selectExpr("id", "spark_partition_id() AS p").distinct()
+    assert where.count() == 32 and placed.count() == 64
+    many = spark.range(40).selectExpr("id", "repeat('ab cd ', 200000) AS t")
+    assert features.bag_of_words(many, "id", "t").rdd.getNumPartitions() >= 40 * 1_200_000 // scale.TEXT_PER_TASK
+
+
 def test_mean_word_vectors(spark):
     df = spark.createDataFrame([(1, "a a b zz"), (2, "zz"), (3, "")], "id int, t string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vec array<double>")
