@@ -104,6 +104,18 @@ def test_tasks_hold_a_bounded_share_of_the_texts(spark):
     assert features.bag_of_words(many, "id", "t").rdd.getNumPartitions() >= 40 * 1_200_000 // scale.TEXT_PER_TASK
 
 
+@pytest.mark.parametrize("kind", ["bow", "tfidf"])
+def test_terms_meet_the_vocabulary_in_as_many_partitions_as_the_texts_need(spark, monkeypatch, kind):
+    """Before, every join of terms had spark.sql.shuffle.partitions tasks, whatever the size of the texts."""
+    monkeypatch.setattr(features, "place_by_size", lambda df, key, text: scale.place_by_size(df, key, text, 300))
+    train = spark.range(90).selectExpr("id", "concat_ws(' ', 'all', concat('t', id % 7), concat('own', id), 'x y zz zz') AS t")
+    test = spark.range(90, 120).selectExpr("id", "concat_ws(' ', 'all', concat('t', id % 9)) AS t")
+    got = features.fit_features(train, test, "id", "t", kind)
+    assert all(side.rdd.getNumPartitions() >= 5 for side in got[kind == "bow":])
+    counts = {r.term for r in got[1].filter("id % 9 >= 7").collect()}
+    assert counts == {"all"}
+
+
 def test_mean_word_vectors(spark):
     df = spark.createDataFrame([(1, "a a b zz"), (2, "zz"), (3, "")], "id int, t string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vec array<double>")
