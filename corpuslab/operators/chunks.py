@@ -95,36 +95,34 @@ def pack_with_frames(
 
 
 def sentence_frames(annotations: DataFrame, key: str) -> DataFrame:
-    """One row per document: map of sentence position to its frames in order.
+    """One row per document: its frames in order, array<struct<sent_pos, frame_pos, frame>>.
 
-    annotations: (key, sent_pos, frame_pos, frame). One shuffle by document; rows are then
-    gathered per sentence and per document in place, bounded by the document's own length.
+    annotations: (key, sent_pos, frame_pos, frame). One shuffle by document and one gathering, bounded by the
+    document's own length.
     """
-    per_sentence = annotations.repartition(key).groupBy(key, "sent_pos").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("frame_pos", "frame"))), lambda f: f["frame"]
-        ).alias("frames")
-    )
-    return per_sentence.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("sent_pos", "frames"))).alias("sent_frames")
-    )
+    return annotations.repartition(key).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("sent_pos", "frame_pos", "frame"))).alias("sent_frames"))
 
 
 def annotate_sentences(docs: DataFrame, annotations: DataFrame, key: str, text: str) -> DataFrame:
     """Adds annotated: array<struct<sentence, frames>>, a sentence without annotation
-    keeping an empty list and empty sentences dropped."""
-    none = F.array().cast("array<string>")
-    paired = F.transform(
-        tx.sentences(F.col(text)),
-        lambda s, i: F.struct(
-            s.alias("sentence"), F.coalesce(F.try_element_at(F.col("sent_frames"), i), none).alias("frames")
-        ),
-    )
+    keeping an empty list and empty sentences dropped. Frames are cut into one list per sentence in a pass
+    along them, so the time of a document grows with its length."""
     # both sides are placed by document, so the merge join adds no shuffle
     frames = sentence_frames(annotations, key).hint("merge")
-    return (
-        docs.repartition(key)
-        .join(frames, key, "left")
-        .withColumn("annotated", F.filter(paired, lambda s: F.length(s["sentence"]) > 0))
-        .drop("sent_frames")
-    )
+    base = compute_once(docs.repartition(key).join(frames, key, "left"), _s=tx.sentences(F.col(text)))
+    inside = F.filter("sent_frames", lambda f: (f["sent_pos"] >= 0) & (f["sent_pos"] < F.size("_s")))
+    base = compute_once(base, _f=F.coalesce(inside, F.array().cast(frames.schema["sent_frames"].dataType)))
+    at = lambda i: F.get("_f", i)["sent_pos"]
+    base = compute_once(base, _b=F.filter(F.transform("_f", lambda f, i: i), lambda i: (i == 0) | (at(i) != at(i - 1))))
+    none = F.array().cast("array<string>")
+
+    def own(b: Column, i: Column) -> Column:
+        """Empty lists of the sentences before that have no frame, and the list of this one."""
+        gap = at(b) - F.coalesce(at(F.get("_b", i - 1)), F.lit(-1)) - 1
+        run = F.slice("_f", b + 1, F.coalesce(F.get("_b", i + 1), F.size("_f")) - b)
+        return F.concat(F.array_repeat(none, gap.cast("int")), F.array(F.transform(run, lambda f: f["frame"])))
+
+    base = compute_once(base, _l=F.flatten(F.transform("_b", own)))
+    paired = F.transform("_s", lambda s, i: F.struct(s.alias("sentence"), F.coalesce(F.get("_l", i), none).alias("frames")))
+    return base.withColumn("annotated", F.filter(paired, lambda s: F.length(s["sentence"]) > 0)).drop("sent_frames", "_s", "_f", "_b", "_l")
